@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlinspike.llm import boilerplate, near_duplicates
+from marlinspike.llm import boilerplate, canonical, languages, near_duplicates
 from marlinspike.session import table
 
 #: Problem 3: postings are alike from half of their three-word runs on; 40 bands of 4 slots meet such a pair with probability 0.92, one at 0.6 with 0.996.
@@ -38,12 +38,41 @@ def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.groupBy("source", "block").agg(F.count("*").alias("lines"), F.max("support").alias("support"), F.max("edge_support").alias("edge_support")).drop("block")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.language_errors(_postings(spark, d))
+
+
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every description's main language and every line in another one, with its confidence."""
+    return languages.languages(_postings(spark, d)).select("id", "line_no", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+#: Fields of a posting, the list each is mapped to and how.
+FREE_FIELDS = {"location_raw": ("places", "place"), "recruitment_office_raw": ("places", "place"), "title": ("professions", "title")}
+
+
+def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"places": table(spark, d, "ref_places"), "professions": table(spark, d, "ref_professions")}
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.canonical_values(_postings(spark, d), _lists(spark, d), FREE_FIELDS)
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched_values(_postings(spark, d), _lists(spark, d), FREE_FIELDS)
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_languages": p5_languages,
     "p6_found": p6_found,
     "p6_cleaned": p6_cleaned,
     "p6_blocks": p6_blocks,
+    "p7_found": p7_found,
+    "p7_unmatched": p7_unmatched,
 }
 
 _LINES = r"""
