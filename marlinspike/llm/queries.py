@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlinspike.llm import boilerplate, canonical, languages, near_duplicates
+from marlinspike.llm import boilerplate, canonical, languages, mixing, near_duplicates, packing, subjects
+from marlinspike.llm.tokens import count_tokens
 from marlinspike.session import table
 
 #: Problem 3: postings are alike from half of their three-word runs on; 40 bands of 4 slots meet such a pair with probability 0.92, one at 0.6 with 0.996.
@@ -63,6 +64,52 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched_values(_postings(spark, d), _lists(spark, d), FREE_FIELDS)
 
 
+def _packs(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
+    """Token counts, and the pack sizes (a small fixed table of parameters)."""
+    sizes = count_tokens(table(spark, d, "documents"))
+    return sizes, table(spark, d, "pack_sizes").orderBy("capacity_tokens", "pack_name").limit(1000).collect()
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes, packs = _packs(spark, d)
+    parts = [packing.pack(sizes, r["capacity_tokens"]).select(F.lit(r["pack_name"]).alias("pack_name"), "*") for r in packs]
+    return _all(parts).withColumnRenamed("id", "doc_id")
+
+
+def p8_unused(spark: SparkSession, d: str) -> DataFrame:
+    sizes, packs = _packs(spark, d)
+    return _all([packing.unused_space(packing.pack(sizes, r["capacity_tokens"]), r["capacity_tokens"]).select(F.lit(r["pack_name"]).alias("pack_name"), "*") for r in packs])
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    named = documents.withColumn("lang", languages.label_language(F.col("lang")))
+    return mixing.mix(count_tokens(named, keep=("source", "lang", "doc_kind")), table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_groups": p3_groups,
@@ -73,6 +120,12 @@ QUERIES = {
     "p6_blocks": p6_blocks,
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,
+    "p8_containers": p8_containers,
+    "p8_unused": p8_unused,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 _LINES = r"""
