@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlinspike.session import ensure_checkpoint_dir
+
 BINS = 1024
 
 
@@ -39,16 +41,66 @@ def rake(tokens: np.ndarray, groups: list[np.ndarray], wanted: list[np.ndarray],
     return w
 
 
-def mix(sizes: DataFrame, targets: DataFrame, marginals: Sequence[str] = ("lang", "doc_kind"), most_cells: int = 200_000, total: float | None = None) -> DataFrame:
+def wanted_tokens(share: np.ndarray, most: np.ndarray, total: float | None) -> np.ndarray:
+    """Tokens per source. Without a total: the largest at which every source can hold its share. With one: each
+    source's share of it, but no more than it can give; what small sources lack goes to the others by share."""
+    if total is None:
+        return share * float((most / share).min())
+    want, open_ = np.zeros(len(share)), np.ones(len(share), dtype=bool)
+    left = min(total, most.sum())
+    while open_.any() and left > 1e-9:
+        part = share * open_ / share[open_].sum() * left
+        full = open_ & (want + part >= most - 1e-9)
+        if not full.any():
+            want += part
+            break
+        left -= (most - want)[full].sum()
+        want[full], open_ = most[full], open_ & ~full
+    return want
+
+
+def settle(miss: float, adds: list[tuple], takes: list[tuple], moves: int = 60) -> dict:
+    """Changes {id: copies} that bring a source's tokens nearest to its target: always the one document more or
+    less, or the swap of two, that leaves least; adds and takes are lists of (tokens, id)."""
+    change: dict = {}
+    adds, takes = sorted(adds), sorted(takes)
+    for _ in range(moves):
+        options = [(abs(miss - t), t, 0, i, None) for t, i in adds] + [(abs(miss + t), 0, t, None, i) for t, i in takes]
+        sizes = np.array([t for t, _ in takes], dtype=np.float64)
+        if len(sizes):
+            for t, i in adds:
+                k = int(np.abs(miss - t + sizes).argmin())
+                if takes[k][1] != i:
+                    options.append((abs(miss - t + sizes[k]), t, takes[k][0], i, takes[k][1]))
+        if not options:
+            break
+        left, plus, minus, a, b = min(options, key=lambda o: (o[0], str(o[3]), str(o[4])))
+        if left >= abs(miss):
+            break
+        miss += minus - plus
+        if a is not None:
+            change[a] = change.get(a, 0) + 1
+            adds = [x for x in adds if x[1] != a]
+        if b is not None:
+            change[b] = change.get(b, 0) - 1
+            takes = [x for x in takes if x[1] != b]
+    return change
+
+
+def mix(
+    sizes: DataFrame, targets: DataFrame, marginals: Sequence[str] = ("lang", "doc_kind"), most_cells: int = 200_000, total: float | None = None, pool: int = 300
+) -> DataFrame:
     """(id, source, tokens, copies) of the chosen documents, copies >= 1.
 
     sizes: id, source, the marginal columns, tokens, each id once; targets: source, target_share, max_repeats.
     The total is the largest at which every source can hold its share with at most max_repeats copies of each
-    document (or `total`, if that is less). Sources without tokens can't hold a share: the others' shares are
+    document; or it is `total`, and sources too small for their share give all they may, the others the rest. Sources without tokens can't hold a share: the others' shares are
     scaled up to sum to 1. Cells are (source, marginals...) with null as a value of its own; raking holds the
     sources to their targets exactly and the marginals as near as the caps allow to what the documents of the
     wanted sources have. A document gets the whole part of its cell's weight, and one more copy if it lies in
-    the first part, by a hash of its id, that holds the rest of the cell's tokens.
+    the first part, by a hash of its id, that holds the rest of the cell's tokens. What a source then lacks or
+    has over for the size of whole documents is settled by single copies among the first `pool` documents by
+    hash, so that a source is off its target by a few tokens.
 
     The driver holds one row per cell and per source (more than most_cells raise an error). The cut in a cell is
     found over BINS sums per cell, then in one bin, so no cell is ever sorted or gathered whole, even one that
@@ -56,6 +108,7 @@ def mix(sizes: DataFrame, targets: DataFrame, marginals: Sequence[str] = ("lang"
     table gives no rows; ties are settled by id.
     """
     spark = sizes.sparkSession
+    ensure_checkpoint_dir(spark)
     names = ["source", *marginals]
     wanted_rows = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     known = sizes.where("tokens > 0 and id is not null").join(F.broadcast(wanted_rows.limit(most_cells)), "source")
@@ -76,9 +129,9 @@ def mix(sizes: DataFrame, targets: DataFrame, marginals: Sequence[str] = ("lang"
             share[g], cap[g] = r["share"], r["cap"]
         share /= share.sum()
         held = np.bincount(groups[0], weights=tokens)
-        top = float((cap * held / share).min())
-        top = min(top, total) if total else top
-        wanted = [share * top] + [np.bincount(g, weights=tokens) / tokens.sum() * top for g in groups[1:]]
+        goal = wanted_tokens(share, cap * held, total)
+        top = goal.sum()
+        wanted = [goal] + [np.bincount(g, weights=tokens) / tokens.sum() * top for g in groups[1:]]
         w = rake(tokens, groups, wanted, cap[groups[0]])
         for r, x, c in zip(summed, w, cap[groups[0]]):
             whole = int(min(np.floor(x + 1e-9), c))
@@ -87,7 +140,7 @@ def mix(sizes: DataFrame, targets: DataFrame, marginals: Sequence[str] = ("lang"
     weights = spark.createDataFrame(cells, schema)
     same = _same(names)
     h = F.xxhash64("id")
-    rows = known.select("id", *names, "tokens", F.pmod(h, F.lit(BINS)).cast("int").alias("bin"), h.alias("h")).alias("l").join(weights.alias("r"), same).select("l.*", "r.whole", "r.rest")
+    rows = known.select("id", *names, "tokens", "cap", F.pmod(h, F.lit(BINS)).cast("int").alias("bin"), h.alias("h")).alias("l").join(weights.alias("r"), same).select("l.*", "r.whole", "r.rest")
     per = rows.where("rest > 0").groupBy(*names, "bin", "rest").agg(F.sum("tokens").alias("t"))
     run = F.sum("t").over(Window.partitionBy(*names).orderBy("bin"))
     cut = per.select(*names, "bin", "rest", (run - F.col("t")).alias("before"), run.alias("after")).where("before < rest and after >= rest").select(*names, F.col("bin").alias("cut"), F.col("before").cast("double").alias("before"))
@@ -96,8 +149,21 @@ def mix(sizes: DataFrame, targets: DataFrame, marginals: Sequence[str] = ("lang"
     # Only the bin of the cut is ordered; of its documents those up to the middle of the one that crosses are taken.
     edge = joined.where("rest > 0 and bin = cut").withColumn("run", inside).withColumn("more", (F.col("before") + F.col("run") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
     others = joined.where("not (rest > 0 and bin <=> cut)").withColumn("more", F.when((F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), 1).otherwise(0))
-    out = ["id", "source", "tokens", (F.col("whole") + F.col("more")).cast("int").alias("copies")]
-    return edge.select(*out).unionByName(others.select(*out)).where("copies > 0")
+    out = ["id", "source", "tokens", "cap", (F.col("whole") + F.col("more")).cast("int").alias("copies")]
+    drawn = edge.select(*out).unionByName(others.select(*out)).checkpoint()
+    if not summed:
+        return drawn.drop("cap")
+    have = {r["source"]: r["t"] for r in drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()}
+    first = Window.partitionBy("source", "way").orderBy(F.xxhash64("id"), "id")
+    ways = drawn.select("id", "source", "tokens", F.explode(F.array_compact(F.array(F.when(F.col("copies") < F.col("cap"), 1), F.when(F.col("copies") > 0, -1)))).alias("way"))
+    near = ways.withColumn("n", F.row_number().over(first)).where(F.col("n") <= pool).collect()
+    changes: list[tuple] = []
+    for source, g in values[0].items():
+        mine = [r for r in near if r["source"] == source]
+        moved = settle(goal[g] - have.get(source, 0), [(r["tokens"], r["id"]) for r in mine if r["way"] == 1], [(r["tokens"], r["id"]) for r in mine if r["way"] == -1])
+        changes += moved.items()
+    settled = spark.createDataFrame(changes, f"id {sizes.schema['id'].dataType.simpleString()}, change int")
+    return drawn.join(F.broadcast(settled), "id", "left").select("id", "source", "tokens", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int").alias("copies")).where("copies > 0")
 
 
 def _same(names: Sequence[str]) -> Column:

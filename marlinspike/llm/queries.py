@@ -102,6 +102,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Actual shares of a mixture as large as the wanted sources' own tokens, in which small sources fall short."""
+    named = table(spark, d, "documents").withColumn("lang", languages.label_language(F.col("lang")))
+    sizes, targets = count_tokens(named, keep=("source", "lang", "doc_kind")), table(spark, d, "mix_targets")
+    total = sizes.join(targets.select("source"), "source", "left_semi").agg(F.sum("tokens")).first()[0]
+    return mixing.shares(mixing.mix(sizes, targets, total=float(total or 0)), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects(table(spark, d, "documents"))
 
@@ -124,6 +132,7 @@ QUERIES = {
     "p8_unused": p8_unused,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_shares_of_all": p9_shares_of_all,
     "p10_found": p10_found,
     "p10_composition": p10_composition,
 }
