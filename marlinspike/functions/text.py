@@ -175,7 +175,11 @@ STOP_WORDS = {"en": "the and of for with you will is", "ru": "и на в с дл
 def rough_language(text: Column) -> Column:
     """The language with most of its short words among a text's words, null if none has two; ties go in listed order."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    scores = [F.struct(F.size(F.filter(words, lambda w, ws=ws: w.isin(ws.split()))).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang")) for i, (lang, ws) in enumerate(STOP_WORDS.items())]
+
+    def score(rank: int, lang: str, listed: list[str]) -> Column:
+        return F.struct(F.size(F.filter(words, lambda w: w.isin(listed))).alias("n"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang"))
+
+    scores = [score(i, lang, ws.split()) for i, (lang, ws) in enumerate(STOP_WORDS.items())]
     best = F.array_max(F.array(*scores))
     return F.when(best["n"] >= 2, best["lang"])
 

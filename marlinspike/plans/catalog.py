@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlinspike.plans import problems
+from marlinspike.plans import problems, rules
 
-_PARTS = [problems]
+_PARTS = [problems, rules]
 
 
 def queries() -> dict:
