@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlinspike.plans import problems, rules
+from marlinspike.plans import matching, problems, quality, rules, storage, streams
 
-_PARTS = [problems, rules]
+_PARTS = [problems, rules, storage, quality, matching, streams]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p4_found(spark, sf_dir)
+    return quality.flagship(spark, sf_dir)
