@@ -24,20 +24,31 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np
     cuts = np.zeros((k, n), dtype=np.int32)
     for level in range(1, k):
         now = best.copy()
-        for j in range(level, n):
-            i = np.arange(level - 1, j)
-            cost = best[level - 1 : j] + lengths[j] * (c[j + 1] - c[i + 1]) - (s[j + 1] - s[i + 1])
-            at = int(cost.argmin())
-            if cost[at] < now[j]:
-                now[j], cuts[level, j] = cost[at], i[at] + 1
+        # The best cut moves right with the last length: midpoints narrow the search of both halves, all halves of one depth at once.
+        lo, hi, least, most = (np.array([x]) for x in (level, n - 1, level - 1, n - 2))
+        while len(lo):
+            mid = (lo + hi) // 2
+            size = np.minimum(most, mid - 1) - least + 1
+            at = np.concatenate([[0], np.cumsum(size)[:-1]])
+            own = np.repeat(np.arange(len(mid)), size)
+            i = np.arange(size.sum()) - at[own] + least[own]
+            j = mid[own]
+            cost = best[i] + lengths[j] * (c[j + 1] - c[i + 1]) - (s[j + 1] - s[i + 1])
+            lowest = np.minimum.reduceat(cost, at)
+            hits = np.flatnonzero(cost == lowest[own])
+            _, first = np.unique(own[hits], return_index=True)
+            cut = i[hits[first]]
+            now[mid], cuts[level, mid] = lowest, cut + 1
+            left, right = lo < mid, mid < hi
+            lo, hi, least, most = (np.concatenate([x[left], y[right]]) for x, y in ((lo, mid + 1), (mid - 1, hi), (least, cut), (cut, most)))
         best = now
-    bounds, j = [], n - 1
-    for level in range(k - 1, -1, -1):
+    bounds, j, level = [], n - 1, k - 1
+    while True:
         bounds.append(lengths[j])
-        at = cuts[level, j]
-        if level == 0 or at == 0:
+        if level == 0 or j == 0:
             break
-        j = at - 1
+        j = cuts[level, j] - 1
+        level = min(level - 1, j)
     return np.array(bounds[::-1])
 
 
