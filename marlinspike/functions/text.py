@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -35,9 +36,18 @@ def whole_word_hits(text: Column, terms: Sequence[str]) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?<!{W})(?=({'|'.join(map(quoted, ordered))})(?!{W}))"), F.lit(1))
 
 
-def literal_map(pairs: dict) -> Column:
-    """A map literal."""
-    return F.create_map(*[F.lit(x) for p in pairs.items() for x in p])
+def _kind(values: list) -> str:
+    return "string" if isinstance(values[0], str) else "double" if any(isinstance(v, float) for v in values) else "int"
+
+
+def literal_map(pairs: dict[str, object]) -> Column:
+    """A constant map with text keys. It is read from one literal, so the plan has no node per entry; the optimizer folds it."""
+    return F.from_json(F.lit(json.dumps(pairs, ensure_ascii=False)), f"map<string,{_kind(list(pairs.values()))}>")
+
+
+def literal_list(values: Sequence[object]) -> Column:
+    """A constant array, made like literal_map()."""
+    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), f"array<{_kind(list(values))}>")
 
 
 def unescape(text: Column) -> Column:
@@ -135,24 +145,23 @@ def address(text: Column) -> Column:
     return F.nullif(F.array_join(F.filter(cut, lambda x: x != ""), ", "), F.lit(""))
 
 
-def matches_at(text: Column, pattern: str) -> Column:
-    """Array of (start, end, hit) of all matches of a pattern, offsets from 0.
+def positions(hits: Column, pieces: Column) -> Column:
+    """Array of (start, end, hit), offsets from 0, from the hits of a pattern and the pieces that it splits the text into.
 
-    Rebuilt from the hits and the pieces between them; the pattern must consume what it matches (look-around is
-    fine), and have no group but a first one around all of it.
+    hits and pieces should be columns of an earlier projection: regexp_extract_all(text, pattern, 1) and
+    split(text, pattern, -1), of a pattern whose first group is all that it consumes. They are zipped before the
+    fold, so neither is computed again at every step; both are read twice here, which also keeps the optimizer
+    from moving their expressions into the fold.
     """
-    hits, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    zipped = F.slice(F.arrays_zip(pieces.alias("p"), hits.alias("h")), F.lit(1), F.least(F.size(hits), F.size(pieces)))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(pieces, i))
-        hit = F.get(hits, i)
-        end = begin + F.length(hit)
-        one = F.array(F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), hit.alias("hit")))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["found"], one).alias("found"))
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["p"])
+        end = begin + F.length(x["h"])
+        return F.struct(end.cast("int").alias("at"), F.concat(acc["found"], F.array(F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), x["h"].alias("hit")))).alias("found"))
 
-    steps = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: acc["found"])
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
 
 
 def around(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
@@ -163,7 +172,7 @@ def around(text: Column, start: Column, end: Column, before: int, after: int) ->
 
 def sentence_around(text: Column, start: Column, end: Column) -> Column:
     """The sentence (between '.', ';' and line breaks) about text[start:end]."""
-    left = F.regexp_extract(F.substring(text, F.lit(1), start), r"([^.;\n]*)$", 1)
+    left = F.element_at(F.split(F.substring(text, F.lit(1), start), r"[.;\n]", -1), -1)
     right = F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^([^.;\n]*)", 1)
     return F.concat(left, F.substring(text, start + 1, end - start), right)
 

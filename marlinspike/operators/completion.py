@@ -88,10 +88,11 @@ def complete(postings: DataFrame, cache: DataFrame, prompt_version: str, model_i
         F.coalesce("_r.required_certificates", F.from_json(F.lit("[]"), "array<struct<key:string,quote:string,basis:string>>")),
         lambda c: F.coalesce(c["key"].isin(*CERTIFICATES) & c["basis"].isin(*BASIS) & quote_in(F.col(text), c["quote"]) & named_by_quote(c["key"], c["quote"]), F.lit(False)),
     )
-    keys = F.array_distinct(F.transform(items, lambda c: c["key"]))
-    sure = F.when(F.exists(items, lambda c: c["basis"] == "inferred"), 0.6).otherwise(0.9)
-    certs = F.when(F.size(keys) > 0, F.struct(keys.alias("value"), F.lit("llm").alias("provenance"), sure.alias("confidence")))
-    return joined.withColumn("experience_level", F.coalesce("experience_level", level)).withColumn("required_certificates", F.coalesce("required_certificates", certs)).drop("_r")
+    joined = joined.withColumn("_items", items).withColumn("_level", level)
+    keys = F.array_distinct(F.transform("_items", lambda c: c["key"]))
+    sure = F.when(F.exists("_items", lambda c: c["basis"] == "inferred"), 0.6).otherwise(0.9)
+    certs = F.when(F.size("_items") > 0, F.struct(keys.alias("value"), F.lit("llm").alias("provenance"), sure.alias("confidence")))
+    return joined.withColumn("experience_level", F.coalesce("experience_level", "_level")).withColumn("required_certificates", F.coalesce("required_certificates", certs)).drop("_r", "_items", "_level")
 
 
 class Retrying:

@@ -25,15 +25,35 @@ def cite(field: Column, is_list: bool = False) -> Column:
     return F.when(field.isNotNull(), F.concat(text, F.lit(" ["), field["provenance"], F.lit("]")))
 
 
-def verdict(factor: str, outcome: Column, theirs: Column, ours: Column, their_text: Column, our_text: Column, caveats: Column | None = None) -> Column:
-    """A verdict struct; its weight is the product of both confidences (1 where unknown), 0 if not comparable."""
+#: A shortfall that the posting itself closes; it becomes "not comparable".
+TRAINED = "trained"
+
+
+def verdict(factor: str, outcome: Column, theirs: Column, ours: Column, their_text: Column, our_text: Column, caveats: Column | None = None, on_mismatch: str | None = None) -> Column:
+    """What a factor found, before weights: each expression stands here once, score() derives the rest from it."""
     return F.struct(
         F.lit(factor).alias("factor"),
         outcome.alias("outcome"),
-        F.when(outcome == NOT_COMPARABLE, 0.0).otherwise(F.coalesce(theirs, F.lit(1.0)) * F.coalesce(ours, F.lit(1.0))).alias("weight"),
+        theirs.cast("double").alias("theirs"),
+        ours.cast("double").alias("ours"),
         their_text.cast("string").alias("posting_evidence"),
         our_text.cast("string").alias("profile_evidence"),
-        F.coalesce(caveats, F.array().cast("array<string>")).alias("caveats") if caveats is not None else F.array().cast("array<string>").alias("caveats"),
+        (caveats if caveats is not None else F.lit(None).cast("array<string>")).alias("caveats"),
+        F.lit(on_mismatch).cast("string").alias("on_mismatch"),
+    )
+
+
+def _finish(v: Column) -> Column:
+    """A verdict with its weight: the product of both confidences (1 where unknown), 0 if not comparable."""
+    none = F.array().cast("array<string>")
+    out = F.when(v["outcome"] == TRAINED, NOT_COMPARABLE).otherwise(v["outcome"])
+    return F.struct(
+        v["factor"].alias("factor"),
+        out.alias("outcome"),
+        F.when(v["outcome"].isin(MATCH, MISMATCH), F.coalesce(v["theirs"], F.lit(1.0)) * F.coalesce(v["ours"], F.lit(1.0))).otherwise(0.0).alias("weight"),
+        F.when(v["outcome"] == TRAINED, "internship: training is part of the offer").otherwise(v["posting_evidence"]).alias("posting_evidence"),
+        v["profile_evidence"].alias("profile_evidence"),
+        F.when((v["outcome"] == MISMATCH) & v["on_mismatch"].isNotNull(), F.array(v["on_mismatch"])).otherwise(F.coalesce(v["caveats"], none)).alias("caveats"),
     )
 
 
@@ -64,15 +84,12 @@ def held_all(factor: str, posting_field: str, profile_field: str, training: bool
 
     def make(p: Column, o: Column) -> Column:
         theirs, ours = o[posting_field], p[profile_field]
-        short = F.size(F.array_except(_lower(theirs["value"]), _lower(ours["value"]))) > 0
-        out = F.when(_empty(theirs) | ours.isNull() | ours["value"].isNull(), NOT_COMPARABLE).when(short, MISMATCH).otherwise(MATCH)
+        held = F.size(F.array_except(_lower(theirs["value"]), _lower(ours["value"]))) == 0
+        out = F.when(_empty(theirs) | ours.isNull() | ours["value"].isNull(), NOT_COMPARABLE).when(held, MATCH)
+        if training:
+            out = out.when(o["type"] == "internship", TRAINED)
         text = F.coalesce(F.nullif(F.array_join(ours["value"], ", "), F.lit("")), F.when(ours.isNotNull(), "none"))
-        if not training:
-            return verdict(factor, out, theirs["confidence"], ours["confidence"], cite(theirs, True), text)
-        trained = (out == MISMATCH) & (o["type"] == "internship")
-        caveats = F.when((out == MISMATCH) & ~trained, F.array(F.lit(TRAINING_UNKNOWN)))
-        evidence = F.when(trained, F.concat(o["type"], F.lit(": training is part of the offer"))).otherwise(cite(theirs, True))
-        return verdict(factor, F.when(trained, NOT_COMPARABLE).otherwise(out), theirs["confidence"], ours["confidence"], evidence, text, caveats)
+        return verdict(factor, out.otherwise(MISMATCH), theirs["confidence"], ours["confidence"], cite(theirs, True), text, on_mismatch=TRAINING_UNKNOWN if training else None)
 
     return make
 
@@ -130,7 +147,9 @@ def score(pairs: DataFrame, profile: str = "profile", posting: str = "posting",
     Scoring is a projection: how pairs are formed (a candidate join, one profile, one posting) is the caller's
     choice, and the caller's can add factors of their own.
     """
-    out = pairs.withColumn("verdicts", F.array(*[f(F.col(profile), F.col(posting)) for f in factors]))
+    out = pairs.withColumn("_found", F.array(*[f(F.col(profile), F.col(posting)) for f in factors]))
+    # Read twice, so that the findings stay a projection of their own and are made once.
+    out = out.withColumn("verdicts", F.when(F.size("_found") > 0, F.transform("_found", _finish))).drop("_found")
     total = F.aggregate("verdicts", F.lit(0.0), lambda a, v: a + v["weight"])
     matched = F.aggregate("verdicts", F.lit(0.0), lambda a, v: a + F.when(v["outcome"] == MATCH, v["weight"]).otherwise(0.0))
     compared = F.size(F.filter("verdicts", lambda v: v["outcome"] != NOT_COMPARABLE))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlinspike.operators import enrich, scoring
 from marlinspike.plans.common import EVENTS, POSTINGS, RULE_OFFICE, RULE_PLACE, RULE_TEXT, STORED, once, once_sql
 from marlinspike.session import table
-from marlinspike.vocab import STAGE_LEVELS
+from marlinspike.vocab import PROFESSIONS, STAGE_LEVELS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -47,15 +47,17 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     texts = once(spark, d, "normalized_opportunities").select("id", "title", "description", "source_fields", F.expr(RULE_TEXT).alias("text"), F.expr(RULE_OFFICE).alias("office"), F.expr(RULE_PLACE).alias("place"))
     config = table(spark, d, "source_registry").select("source_id", "direction", "workplace_type_hint")
     rows = once(spark, d, "opportunities").select("id", "source_id", "type").join(texts, "id").join(config, "source_id", "left")
+    rows = enrich.with_experience(enrich.with_languages(rows, F.lit(""), F.col("text")), F.col("text"))
+    rows = rows.withColumns({"_p": enrich.longest_term(enrich.structured_text(F.col("source_fields")), PROFESSIONS), "_t": enrich.longest_term(F.col("title"), PROFESSIONS), "_certs": enrich.certificate_keys(F.col("text")), "_country": enrich.country_code(F.col("place")), "hiring_scope": enrich.hiring_scope(F.col("office"))})
     fields = {
         "type": F.col("type"),
-        "profession": enrich.profession(enrich.structured_text(F.col("source_fields")), F.col("title")),
+        "profession": F.coalesce(enrich.inferred(F.col("_p"), 0.9), enrich.inferred(F.col("_t"), 0.75)),
         "direction": enrich.inferred(F.col("direction"), 1.0),
-        "required_languages": enrich.inferred(enrich.language_needs(F.lit(""), F.col("text"))["required"], 0.9),
-        "experience_level": enrich.experience(F.col("text")),
-        "required_certificates": enrich.inferred(enrich.certificate_keys(F.col("text")), 0.9),
-        "country": enrich.country(F.col("place"), F.col("workplace_type_hint")),
-        "hiring_scope": enrich.hiring_scope(F.col("office")),
+        "required_languages": enrich.inferred(F.col("required"), 0.9),
+        "experience_level": F.col("experience_level"),
+        "required_certificates": enrich.inferred(F.col("_certs"), 0.9),
+        "country": F.when(~F.col("workplace_type_hint").eqNullSafe("vessel"), enrich.inferred(F.col("_country"), 0.9)),
+        "hiring_scope": F.col("hiring_scope"),
     }
     return rows.select(F.col("id").alias("opportunity_id"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("posting"))
 

@@ -191,7 +191,7 @@ def en11_completed(spark: SparkSession, d: str) -> DataFrame:
     from marlinspike.operators import completion
 
     rows = once(spark, d, "normalized_opportunities").select("id", F.expr(RULE_TEXT).alias("text"))
-    rows = rows.withColumn("experience_level", enrich.experience(F.col("text"))).withColumn("required_certificates", enrich.inferred(enrich.certificate_keys(F.col("text")), 0.9))
+    rows = enrich.with_experience(rows, F.col("text")).withColumn("_c", enrich.certificate_keys(F.col("text"))).withColumn("required_certificates", enrich.inferred(F.col("_c"), 0.9)).drop("_c")
     none = spark.createDataFrame([], completion.CACHE)
     cache = completion.merge_cache(none, completion.ask(rows, none, RecordedClient, "5", "recorded"))
     out = completion.complete(rows, cache, "5", "recorded")

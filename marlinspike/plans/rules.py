@@ -158,9 +158,9 @@ SELECT id, required, preferred FROM x LEFT JOIN r USING (id) LEFT JOIN p USING (
 )
 def en7_languages(spark: SparkSession, d: str) -> DataFrame:
     """EN7, ST4, FN11: languages required and preferred, judged by the sentence of each mention."""
-    needs = enrich.language_needs(F.expr(RULE_TITLE), F.expr(RULE_TEXT))
-    rows = once(spark, d, "normalized_opportunities").select("id", needs.alias("l"))
-    return rows.select("id", F.array_join("l.required", ",").alias("required"), F.array_join("l.preferred", ",").alias("preferred"))
+    rows = once(spark, d, "normalized_opportunities").select("id", F.expr(RULE_TITLE).alias("title"), F.expr(RULE_TEXT).alias("text"))
+    rows = enrich.with_languages(rows, F.col("title"), F.col("text"))
+    return rows.select("id", F.array_join("required", ",").alias("required"), F.array_join("preferred", ",").alias("preferred"))
 
 
 _UNIT = r"(\d{1,2}\+? (?:years?|months?|лет|год(?:а|ов)?|месяц(?:а|ев)?))(?:[^\p{L}\p{N}_]|$)"
@@ -179,7 +179,8 @@ FROM x LEFT JOIN y USING (id)"""
 )
 def en8_experience(spark: SparkSession, d: str) -> DataFrame:
     """EN8, AG12, FN12, FN20: level by the longest tenure asked for."""
-    return once(spark, d, "normalized_opportunities").select("id", enrich.experience(F.expr(RULE_TEXT))["value"].alias("level"))
+    rows = once(spark, d, "normalized_opportunities").select("id", F.expr(RULE_TEXT).alias("text"))
+    return enrich.with_experience(rows, F.col("text")).select("id", F.col("experience_level.value").alias("level"))
 
 
 _SIGN_SQL = sql_quote(enrich.SIGN_FORM)
