@@ -79,6 +79,7 @@ class Matcher:
         self.compact = [p.replace(" ", "") for p in self.phrases]
         self.bags = np.array([self._bag(c) for c in self.compact], dtype=np.int16).reshape(-1, 37)
         self.allowed = np.array([max(1, round(tolerance * len(c))) for c in self.compact])
+        self.longest = max((len(c) + a for c, a in zip(self.compact, self.allowed)), default=0)
 
     @staticmethod
     def _bag(s: str) -> list[int]:
@@ -90,7 +91,7 @@ class Matcher:
     def nearest(self, value: str, prefer: Callable[[str], bool] = lambda _: False) -> tuple[float, str] | None:
         """The phrase with the least share of edits, within the tolerance; ties go to a preferred one, then the first."""
         compact = value.replace(" ", "")
-        if len(compact) < 3 or not self.phrases:
+        if not self.phrases or not 3 <= len(compact) <= self.longest:
             return None
         diff = self.bags - np.array(self._bag(compact), dtype=np.int16)
         bound = np.maximum(np.clip(diff, 0, None).sum(axis=1), np.clip(-diff, 0, None).sum(axis=1))
