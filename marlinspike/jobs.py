@@ -73,3 +73,17 @@ def coverage(spark: SparkSession, folder: str, source_id: str) -> DataFrame:
     if rows is None or rows.isEmpty():
         raise LookupError(f"no data for {source_id}")
     return reports.coverage(rows, PLAIN, DERIVED)
+
+
+def evaluate(gold: DataFrame, predictions: DataFrame, log: ParquetTable | None = None, prompt_version: str = "1", model_id: str = "model") -> DataFrame:
+    """Extraction metrics of each run, spread over the runs: (field, metric, mean, least, most).
+
+    gold: source_id, external_id, text, level; predictions: source_id, external_id, run, level, quote. Records
+    without a prediction count as unfilled. With a log, each run's metrics are appended to it.
+    """
+    runs = predictions.select("run").distinct()
+    rows = gold.join(F.broadcast(runs)).join(predictions.withColumnsRenamed({"level": "predicted", "quote": "quote"}), ["source_id", "external_id", "run"], "left")
+    metrics = reports.extraction_metrics(rows, F.col("level"), F.col("predicted"), F.col("quote"), F.col("text"), by=["run"]).withColumn("field", F.lit("experience"))
+    if log is not None:
+        log.append(reports.run_log(metrics, "run", prompt_version, model_id))
+    return reports.spread(metrics, ["precision", "recall", "false_fill_rate", "invalid_quote_rate"])

@@ -113,6 +113,22 @@ def gold_violations(gold: DataFrame) -> DataFrame:
     return gold.select("external_id", F.explode(rules).alias("rule"))
 
 
+def gold_profile(gold: DataFrame) -> DataFrame:
+    """(source_id, level, records, with_certificates, no_signal_filled): what a labelled set consists of, null levels too.
+
+    gold: source_id, level, certificates, stratum.
+    """
+    held = F.coalesce(F.size("certificates") > 0, F.lit(False))
+    return gold.groupBy("source_id", "level").agg(
+        F.count("*").alias("records"), F.count_if(held).alias("with_certificates"), F.count_if((F.col("stratum") == "no-signal") & (F.col("level").isNotNull() | held)).alias("no_signal_filled")
+    )
+
+
+def run_log(metrics: DataFrame, run_id: str, prompt_version: str, model_id: str) -> DataFrame:
+    """Metrics as rows of the append-only measurement log."""
+    return metrics.select(F.lit(run_id).alias("run_id"), F.lit(prompt_version).alias("prompt_version"), F.lit(model_id).alias("model_id"), F.current_timestamp().alias("measured_at"), "*")
+
+
 def lost_keys(records: DataFrame, present: Column, readable: Column, expected: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """(by..., key, n, expected): keys that a payload holds and the readable record doesn't, most frequent first by nature of n."""
     gone = records.select(*by, F.explode(F.array_except(present, readable)).alias("key"))
