@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlinspike.plans import matching, problems, quality, rules, storage, streams
+from marlinspike.plans import matching, problems, quality, rules, scalars, storage, streams
 
-_PARTS = [problems, rules, storage, quality, matching, streams]
+_PARTS = [problems, rules, scalars, storage, quality, matching, streams]
 
 
 def queries() -> dict:
