@@ -13,56 +13,56 @@ from pyspark.sql import functions as F
 
 from marlinspike.functions.automaton import PhraseAutomaton
 
-#: Curated subject terms, English, Spanish and Russian, separated by commas.
+#: Curated subject terms, separated by commas: English topics / turns of phrase / further topics, Spanish and Russian ones.
 TERMS = {
     "navigation": """great-circle leg, tidal window, traffic lane, under-keel margin, buoy numbers, dead reckoning, radar echoes, bridge watch,
-        leading lights, magnetic course, passage plan, pilot ladder rendezvous, needle swung, church tower open of the cliff, two stars and a lead line,
-        fog came down, ship's horn, south of where we thought we were, leave the green one on, chart plotter, true bearing, watchkeeping,
+        leading lights, magnetic course, passage plan, pilot ladder rendezvous / needle swung, church tower open of the cliff, two stars and a lead line,
+        fog came down, ship's horn, south of where we thought we were, leave the green one on / chart plotter, true bearing, watchkeeping,
         radar, rumbo verdadero, carta náutica, guardia del puente, marea, balizas, mareas,
         буи, истинный курс, морскую карту, радар, таблицы приливов, ходовую вахту, морская карта, ходовая вахта""",
     "engineering": """cracked liner, leaking gland, seized bearing, spare impeller, insulation test, crankshaft deflection, hull plating, boiler feedwater,
-        fuel injector, lube oil sump, switchboard, turbocharger surge, took it apart, found metal in the drain, shakes when cold, sells the washer,
-        quarter turn, drain it, if it glitters, below began knocking, smoke for, after starting usually means, turbocharger, crankshaft,
+        fuel injector, lube oil sump, switchboard, turbocharger surge / took it apart, found metal in the drain, shakes when cold, sells the washer,
+        quarter turn, drain it, if it glitters, below began knocking, smoke for, after starting usually means / turbocharger, crankshaft,
         cojinete, cuadro eléctrico, motor principal, bomba de aceite, caldera, soldadura,
         главный двигатель, котёл, масляный насос, подшипник, сварной шов, электрощит""",
     "hospitality": """birthday cake, captain's dinner, wine pairing, dietary wishes, folded linen, room upgrades, table seating, breakfast buffet, galley menu,
-        tasting counter, welcome cocktail, turn-down service, corridors quiet, towels spare, leave the chocolate, knock twice, favourite dessert, came unasked,
-        wanted the soup without onions, plates up the stairs, remember the candle, second helping,
+        tasting counter, welcome cocktail, turn-down service / corridors quiet, towels spare, leave the chocolate, knock twice, favourite dessert, came unasked,
+        wanted the soup without onions, plates up the stairs, remember the candle, second helping /
         comedor, desayuno, carta de vinos, limpieza del camarote, pastelería, huéspedes,
         винную карту, десерты, завтрак, просьбы гостей, сервировку стола, уборку кают""",
     "sport_diving": """drift dive, freediving line, paddle race, reef dive, buoyancy drills, fin kicks, club relay, nitrox mix, podium finish, regatta start,
-        sprint swim, wetsuit sizes, clear your ears early, the octopus of, counted turtles, holding hands and, thumbs out, slow on the way back to the boat,
-        lengths on one breath, half a length, jumped in, mornings a week, still lose to, freediving, nitrox,
+        sprint swim, wetsuit sizes / clear your ears early, the octopus of, counted turtles, holding hands and, thumbs out, slow on the way back to the boat,
+        lengths on one breath, half a length, jumped in, mornings a week, still lose to / freediving, nitrox,
         traje de neopreno, competición, inmersión recreativa, natación, regata, aletas,
         гидрокостюм, заплыв, ласты, погружение на риф, регату, соревнование клубов""",
     "law": """breach notice, detention order, salvage claim, an appeal, flag-state rules, limitation of liability, arbitration seat, bill of lading, charter clause,
-        employment agreement, jurisdiction question, witness statements, both sides signed, walked away from what was signed, pays when the box falls,
-        promise was binding, the judge at, sent everyone home, depends on a comma, days to answer in writing, arbitration, jurisdiction,
+        employment agreement, jurisdiction question, witness statements / both sides signed, walked away from what was signed, pays when the box falls,
+        promise was binding, the judge at, sent everyone home, depends on a comma, days to answer in writing / arbitration, jurisdiction,
         contrato, recurso, tribunal, cláusula, demanda, responsabilidad civil,
         апелляцию, договор, исковое заявление, оговорку, ответственность сторон, решение суда""",
     "medicine": """broken wrist, fever case, fitness certificate, vaccination card, blood pressure, hearing loss, seasickness tablets, sleep hygiene, oxygen mask,
-        quarantine cabin, sick bay, wound dressing, could not keep water down, shivered all night, the swelling went, doses and some rest, small sips,
-        count breaths, press hard, raise the arm, slept badly since, forgets small things, the rash spread, past the elbow, vaccination, quarantine,
+        quarantine cabin, sick bay, wound dressing / could not keep water down, shivered all night, the swelling went, doses and some rest, small sips,
+        count breaths, press hard, raise the arm, slept badly since, forgets small things, the rash spread, past the elbow / vaccination, quarantine,
         reconocimiento médico, enfermería, fiebre, herida, presión arterial, vacuna,
         высокую температуру, давление крови, лазарет, медосмотр, прививку, рану""",
     "science": """plume model, salinity profile, el nino signal, coral bleaching, isotope ratios, krill counts, plankton samples, sediment cores, ice edge,
-        mooring sensor, tide gauge, whale song, eels came up the river, nets prove it, lower the frame, what the water tells, grey mud under, colder sea,
-        warm tongue off, tiny shrimp, ring in the shell, stands for one summer, salinity, plankton,
+        mooring sensor, tide gauge, whale song / eels came up the river, nets prove it, lower the frame, what the water tells, grey mud under, colder sea,
+        warm tongue off, tiny shrimp, ring in the shell, stands for one summer / salinity, plankton,
         arrecife, muestreo, plancton, sedimento, corriente oceánica, salinidad,
         коралловый риф, ледовый покров, океанское течение, планктон, пробы грунта, солёность воды""",
     "software": """cache miss, failing deployment, firmware patch, packet capture, api token, database replicas, backup script, crew app, login bug, message queue,
-        release branch, unit tests, worked on my laptop, freezes whenever, press save, screens went blank, read the log from the bottom up, first red line,
-        it off and on cured, shared one password, source code, firmware,
+        release branch, unit tests / worked on my laptop, freezes whenever, press save, screens went blank, read the log from the bottom up, first red line,
+        it off and on cured / shared one password, source code, firmware,
         código fuente, servidor, aplicación, base de datos, contraseña, red informática,
         базу данных, исходный код, пароль, приложение, сервер, сетевой шлюз""",
     "finance": """bank guarantee, pension top-up, wage ledger, overdue invoice, demurrage income, hull premiums, quarterly margins, tax residence, bunker hedge,
-        cash advance, exchange loss, freight index, each month's packet aside, pays late, pays twice, they owed, had half of it, lends to a firm, outstanding,
-        at the bottom of the page turned red, sold the ship for less, still owed on it, demurrage, invoice,
+        cash advance, exchange loss, freight index / each month's packet aside, pays late, pays twice, they owed, had half of it, lends to a firm, outstanding,
+        at the bottom of the page turned red, sold the ship for less, still owed on it / demurrage, invoice,
         flete, impuesto, préstamo, factura, nómina, prima del seguro,
         зарплатную ведомость, кредит, налог, страховую премию, счёт на оплату, фрахт""",
     "education": """refresher course, study grant, syllabus, oral exam, cadet workbooks, class attendance, graded essays, homework feedback, apprenticeship,
-        exam timetable, mentor scheme, simulator lesson, failed twice, explained it to a friend, pages a night did best, copied everything, on the third go,
-        marks in green, red frightens them, draw every knot, before tying one, ask the juniors, show it back to you, syllabus, homework,
+        exam timetable, mentor scheme, simulator lesson / failed twice, explained it to a friend, pages a night did best, copied everything, on the third go,
+        marks in green, red frightens them, draw every knot, before tying one, ask the juniors, show it back to you / syllabus, homework,
         alumno, curso, examen, simulador de clase, temario, beca,
         программу занятий, стипендию, тетради курсантов, урок на тренажёре, учебный курс, экзамен""",
 }
@@ -76,39 +76,54 @@ WEAK = set(
     whenever screens went blank worked what tells came frame lower night some rest away walked falls holding hands early clear your length still lose mornings week slow thumbs
     quiet spare quarter turn apart metal found usually means after starting sells cold when page late firm half they month each fuel leaking broken ship ships horn south where thought
     needle tower open stars lead down vaccination hull test birthday pairing wine certificate sleep hygiene hearing blood pressure sizes cores ratios exchange freight hedge
-    carta guardia del puente rumbo cuadro motor bomba aceite principal limpieza camarote vinos traje responsabilidad civil presión corriente código fuente base datos red prima clase
+    cadet leading great circle source failing cracked seized fitness hull liner overdue witness relay surge patch queue charter backup drills kicks seating tasting login margins
+    карта carta guardia del puente rumbo cuadro motor bomba aceite principal limpieza camarote vinos traje responsabilidad civil presión corriente código fuente base datos red prima clase
     курс карту главный стола просьбы воды решение код счёт урок программу""".split()
 )
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
+def phrases(text: str) -> tuple[list[str], list[str]]:
+    """(topics, turns of phrase) of a subject's terms."""
+    parts = [[" ".join(p.split()) for p in part.split(",") if p.strip()] for part in text.split("/")]
+    return [p for i, part in enumerate(parts) if i != 1 for p in part], parts[1] if len(parts) > 1 else []
+
+
 def weighted_terms(terms: dict[str, str] = TERMS, weak: set[str] = WEAK) -> list[tuple[str, tuple[str, float]]]:
-    """(phrase, (subject, weight)): whole terms weigh 1; a term's single word, if it is long, not weak and no other
-    subject's, weighs by its rarity among the terms (it stands in for the term where the rest is misspelled)."""
-    phrases = {s: [" ".join(p.split()) for p in text.split(",")] for s, text in terms.items()}
+    """(phrase, (subject, weight)): whole terms weigh 1; a topic's single word, if it is long, not weak and no other
+    subject's, weighs by its rarity among the terms (it stands in for the topic where the rest is misspelled)."""
+    listed = {s: phrases(text) for s, text in terms.items()}
     holders: dict[str, dict[str, int]] = {}
-    for s, ps in phrases.items():
-        for p in set(ps):
-            for w in set(re.findall(r"[^\W_]+", p)):
+    for s, (topics, turns) in listed.items():
+        for p in {*topics, *turns}:
+            for w in set(_WORD.findall(p)):
                 holders.setdefault(w, {}).setdefault(s, 0)
                 holders[w][s] += 1
-    out = [(p, (s, 1.0)) for s, ps in phrases.items() for p in ps]
-    total = sum(len(set(ps)) for ps in phrases.values())
-    whole = {p for p, _ in out}
+    out = [(p, (s, 1.0)) for s, both in listed.items() for ps in both for p in ps]
+    total, whole = len(out), {p for p, _ in out}
+    topical = {w for topics, _ in listed.values() for p in topics for w in _WORD.findall(p)}
     for w, by in holders.items():
-        if len(by) == 1 and len(w) >= 5 and w not in weak and w not in whole:
+        if len(by) == 1 and len(w) >= 5 and w in topical and w not in weak and w not in whole:
             (s, n), = by.items()
             out.append((w, (s, round(log(total / n) / log(total), 3))))
     return out
 
 
+def topic_words(terms: dict[str, str] = TERMS) -> set[str]:
+    """The words of topics that are long enough to be put right where they are misspelled."""
+    return {w for text in terms.values() for p in phrases(text)[0] for w in _WORD.findall(p) if len(w) >= 4}
+
+
 class TermFinder:
     """The automaton over the weighted terms, and a dictionary that puts one misspelt letter of a term's word right."""
 
-    def __init__(self, phrases: list[tuple[str, tuple[str, float]]]):
-        self.automaton = PhraseAutomaton(phrases)
-        self.words = {w for p, _ in phrases for w in _WORD.findall(p) if len(w) >= 4}
+    def __init__(self, terms: dict[str, str] = TERMS):
+        weighted = weighted_terms(terms)
+        self.automaton = PhraseAutomaton(weighted)
+        whole = {p for text in terms.values() for p in phrases(text)[0]}
+        self.topics = PhraseAutomaton(x for x in weighted if x[0] in whole)
+        self.words = topic_words(terms)
         self.near: dict[str, str] = {}
         for w in sorted(self.words):
             for shorter in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
@@ -144,7 +159,7 @@ def one_edit(a: str, b: str) -> bool:
 
 def sentence_shares(text: str, finder: TermFinder, least: float = 0.7) -> tuple[int, dict[str, int]]:
     """(sentences, sentences that deal with each subject): one automaton pass over the whole text, and a second
-    look with repaired words at sentences in which no term stands."""
+    look for whole topics, with repaired words, at sentences in which no term stands."""
     low = text.lower()
     spans, at = [], 0
     for m in [*_SENTENCE.finditer(low), None]:
@@ -166,7 +181,7 @@ def sentence_shares(text: str, finder: TermFinder, least: float = 0.7) -> tuple[
             put = [finder.repaired(w) for w in bare]
             if any(put):
                 fixed = " ".join(p or w for p, w in zip(put, words))
-                for _, _, (subject, weight) in finder.automaton.hits(fixed):
+                for _, _, (subject, weight) in finder.topics.hits(fixed):
                     best[k, subject] = max(weight, best.get((k, subject), 0.0))
     dealt: dict[str, int] = {}
     for (_, subject), weight in best.items():
@@ -186,10 +201,8 @@ def subject_scores(documents: DataFrame, terms: dict[str, str] = TERMS, id_colum
     A map over whole texts with no shuffle; the term list is a few hundred phrases. Null ids and texts, and
     texts without a sentence, give no rows; repeated rows give repeated rows; other columns are ignored.
     """
-    phrases = weighted_terms(terms)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = TermFinder(phrases)
+        finder = TermFinder(terms)
         for frame in frames:
             rows = []
             for doc, body in zip(frame["doc_id"], frame["text"]):
