@@ -150,6 +150,23 @@ def distinct_texts(records: DataFrame, id_column: str, head: str | None, body: s
     return records.where(F.col(id_column).isNotNull() & F.col(body).isNotNull()).select(F.col(id_column).alias("id"), F.xxhash64(mark, F.col(body)).alias("key"), h.alias("head"), F.col(body).alias("body"))
 
 
+#: Columns of once_each(); every reader takes them all, so that one shuffle of the texts serves all readers.
+ONCE = ["key", "head", "body", "lo", "hi"]
+
+
+def once_each(texts: DataFrame, min_words: int) -> DataFrame:
+    """Each different text once with its least and greatest id; copies collapse before the shuffle. Too short texts drop out."""
+    return texts.where(F.length("body") >= max(1, 2 * min_words - 1)).groupBy("key").agg(F.first("head").alias("head"), F.first("body").alias("body"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+
+
+def _copied(min_words: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.loc[[len(WORD.findall(x)) >= min_words for x in f["body"]], ["key"]]
+
+    return run
+
+
 def similar_texts(
     texts: DataFrame, width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 8, min_words: int = 1, bits: int | None = None
 ) -> DataFrame:
@@ -160,22 +177,24 @@ def similar_texts(
     their SuperMinHash signatures is equal; the join drops a pair at once unless a 128-bit sketch of the same
     signatures agrees in at least `bits` places (default: 2 standard deviations below what the threshold gives),
     so a band that many texts share costs comparisons of two longs and no rows; the join is a sort-merge join
-    that the planner splits where a band is skewed. Pairs that remain are checked on their whole texts. No
-    bucket is capped. A pair at similarity s is met with probability 1 - (1 - s^rows)^bands.
+    that the planner splits where a band is skewed. A pair that met in one band only, as chance pairs do, must
+    agree to within 1.2 standard deviations. Pairs that remain are checked on their whole texts. No bucket is
+    capped. A pair at similarity s is met with probability 1 - (1 - s^rows)^bands.
     """
     expected = 128 * (1 + threshold) / 2
-    if bits is None:
-        bits = int(expected - 2 * (128 * (1 + threshold) / 2 * (1 - (1 + threshold) / 2)) ** 0.5)
-    shortest = max(1, 2 * min_words - 1)
-    once = texts.where(F.length("body") >= shortest).groupBy("key").agg(F.first("head").alias("head"), F.first("body").alias("body"))
-    marks = once.select("key", "head", "body").mapInPandas(_sketcher(width, bands, rows, min_words), "band long, key long, s1 long, s2 long")
+    spread = (expected * (1 - (1 + threshold) / 2)) ** 0.5
+    bits = int(expected - 2 * spread) if bits is None else bits
+    lone = max(bits, int(expected - 1.2 * spread))
+    once = once_each(texts, min_words)
+    marks = once.select(*ONCE).mapInPandas(_sketcher(width, bands, rows, min_words), "band long, key long, s1 long, s2 long")
     x, y = marks.alias("x"), marks.alias("y")
     agree = F.lit(128) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
     met = x.join(y.hint("merge"), F.col("x.band") == F.col("y.band")).where((F.col("x.key") < F.col("y.key")) & (agree >= bits))
-    pairs = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    left = once.select(F.col("key").alias("a"), F.col("head").alias("head_a"), F.col("body").alias("body_a"))
-    right = once.select(F.col("key").alias("b"), F.col("head").alias("head_b"), F.col("body").alias("body_b"))
-    full = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "head_a", "body_a", "b", "head_b", "body_b")
+    counted = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("bands"), F.max(agree).alias("agree"))
+    pairs = counted.where((F.col("bands") > 1) | (F.col("agree") >= lone)).select("a", "b")
+    left = once.select(F.col("key").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ONCE[1:]])
+    right = once.select(F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ONCE[1:]])
+    full = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return full.mapInPandas(_verifier(width, threshold), "a long, b long, similarity double")
 
 
@@ -191,8 +210,7 @@ def near_duplicate_pairs(records: DataFrame, id_column: str = "id", head: str |
     found = similar_texts(texts, min_words=min_words, **how)
     ka, kb = members.select(F.col("key").alias("a"), F.col("id").alias("ia")), members.select(F.col("key").alias("b"), F.col("id").alias("ib"))
     across = found.join(ka, "a").join(kb, "b").select("ia", "ib")
-    copied = texts.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("body").alias("body")).where("lo < hi")
-    copied = copied.where(F.size(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) >= min_words).select("key")
+    copied = once_each(texts, min_words).where("lo < hi").select(*ONCE).mapInPandas(_copied(min_words), "key long")
     again = members.join(copied, "key", "left_semi")
     equal = again.alias("p").join(again.alias("q"), "key").where("p.id < q.id").select(F.col("p.id").alias("ia"), F.col("q.id").alias("ib"))
     return across.union(equal).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
