@@ -123,13 +123,13 @@ def both_spellings(text: str, lang: str) -> list[str]:
 
 
 def train(documents: DataFrame, text: str = "description", label: str = "language", per_language: int = 400, id_column: str = "id") -> LineModel:
-    """A model from at most `per_language` labelled documents of each language (the bound of the sample).
+    """A model from at most `per_language` labelled documents of 40 to 20,000 characters of each language (the sample's bound).
 
     Which documents is decided by a hash of the id, the same at any size; the window keeps its limit on the map
     side, so the shuffle is bounded too. Labels may be wrong: a first model trained on whole documents relabels
     every line of the sample, a second one is trained on the relabelled lines, with the seed sentences in both.
     """
-    named = documents.where(F.col(id_column).isNotNull() & (F.length(text) >= 40)).select(F.col(id_column).alias("id"), F.substring(text, 1, 20000).alias("text"), label_language(F.col(label)).alias("lang")).where("lang is not null")
+    named = documents.where(F.col(id_column).isNotNull() & F.length(text).between(40, 20_000)).select(F.col(id_column).alias("id"), F.col(text).alias("text"), label_language(F.col(label)).alias("lang")).where("lang is not null")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     sample = [(r["text"], r["lang"]) for r in named.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_language).select("text", "lang").collect()]
     seeds = [(s, lang) for lang, text in SEEDS.items() for s in both_spellings(text, lang)] * 3

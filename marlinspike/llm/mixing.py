@@ -111,7 +111,7 @@ def mix(
     ensure_checkpoint_dir(spark)
     names = ["source", *marginals]
     wanted_rows = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-    known = sizes.where("tokens > 0 and id is not null").join(F.broadcast(wanted_rows.limit(most_cells)), "source")
+    known = sizes.where("tokens > 0 and id is not null").join(wanted_rows, "source")
     summed = known.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.first("share").alias("share"), F.first("cap").alias("cap")).limit(most_cells + 1).collect()
     if len(summed) > most_cells:
         raise ValueError(f"more than {most_cells} cells; use coarser marginals")
