@@ -23,17 +23,17 @@ LABEL_NAMES = {
     "fr": ["fra", "fre", "french", "français"],
     "pl": ["pol", "polish", "polski"],
 }
-#: A few own sentences of each language, so that one without any labelled document isn't unknown.
+#: The first article of the Universal Declaration of Human Rights in each language, so that one without any labelled document isn't unknown; fixed values.
 SEEDS = {
-    "en": "You will work with the crew and report to the chief. The contract is for six months and travel is paid. Please send your papers before the end of the month. Tell us where you first heard about this job.",
-    "ru": "Вы будете работать с экипажем. Контракт на шесть месяцев, дорога оплачивается. Отправьте документы до конца месяца. Каюта отдельная, связь бесплатная, мы ждём вас на судне.",
-    "uk": "Ви будете працювати з екіпажем. Контракт на шість місяців, дорога сплачується. Надішліть документи до кінця місяця. Каюта окрема, зв'язок безкоштовний, ми чекаємо на вас.",
-    "es": "Usted trabajará con la tripulación. El contrato es de seis meses y el viaje está pagado. Envíe sus papeles antes del fin de mes. Comparta este anuncio con un compañero, por favor.",
-    "pt": "Você vai trabalhar com a tripulação. O contrato é de seis meses e a viagem é paga. Mande os papéis antes do fim do mês. Compartilhe este anúncio com um colega, não cobramos nada.",
-    "de": "Sie arbeiten mit der Mannschaft zusammen. Der Vertrag läuft über sechs Monate, die Anreise wird bezahlt. Bitte senden Sie die Unterlagen bis Ende des Monats. Teilen Sie diese Stelle mit jemandem.",
-    "nl": "Je werkt samen met de bemanning. Het contract loopt zes maanden en de reis wordt betaald. Stuur je papieren voor het einde van de maand. Deel deze vacature met iemand die je goed kent.",
-    "fr": "Vous travaillez avec l'équipage. Le contrat est de six mois et le voyage est payé. Envoyez vos papiers avant la fin du mois. Partagez cette annonce avec un collègue, s'il vous plaît.",
-    "pl": "Będziesz pracować z załogą. Kontrakt na sześć miesięcy, podróż jest opłacona. Prosimy wysłać dokumenty do końca miesiąca. Udostępnij tę ofertę koledze ze statku, nie pobieramy opłat.",
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "uk": "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.",
+    "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",
+    "nl": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
 }
 #: Latin spelling of Cyrillic letters; fixed values.
 LATIN = dict(zip("абвгдезийклмнопрстуфыэіґ", "a b v g d e z i y k l m n o p r s t u f y e i g".split())) | {
@@ -42,7 +42,7 @@ LATIN = dict(zip("абвгдезийклмнопрстуфыэіґ", "a b v g d
 LATIN_UK = LATIN | {"г": "h", "и": "y", "й": "i", "х": "kh", "ь": ""}
 
 BITS = 15
-_NOISE = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net)\b\S*")
+_NOISE = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+|\b[\w-]+(?:\.[\w-]+)*\.(?!\d)[^\W\d_]{2,24}(?:[/:?]\S*|\b(?=\s|$|[.,;)]))")
 _LETTER = np.zeros(0x110000, dtype=bool)
 for _lo, _hi in ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0x370, 0x530), (0x530, 0x600), (0x1E00, 0x2000)):
     _LETTER[_lo:_hi] = True
@@ -147,44 +147,57 @@ def train(documents: DataFrame, text: str = "description", label: str = "languag
     return model
 
 
+class ScoredLines:
+    """The lines of some texts with their likeliest languages, and each text's main language: that with most letters."""
+
+    def __init__(self, model: LineModel, texts: list[str]):
+        pieces, doc, number = [], [], []
+        for i, text in enumerate(texts):
+            for k, line in enumerate(text.split("\n"), 1):
+                if line:
+                    pieces.append(_clean(line))
+                    doc.append(i)
+                    number.append(k)
+        self.docs, self.numbers = np.array(doc, dtype=np.int64), np.array(number, dtype=np.int32)
+        self.sums, self.letters = model.score(pieces)
+        self.best = self.sums.argmax(axis=1)
+        self.per = np.zeros((len(texts), len(LANGUAGES)), dtype=np.int64)
+        np.add.at(self.per, (self.docs, self.best), self.letters)
+        self.total, self.main = self.per.sum(axis=1), self.per.argmax(axis=1)
+
+
+def main_languages(texts: list[str], weights: np.ndarray) -> list[str | None]:
+    """The main language of each text, None where it has no letters."""
+    model, out = LineModel(weights), []
+    for lo in range(0, len(texts), 2000):
+        scored = ScoredLines(model, texts[lo : lo + 2000])
+        out += [LANGUAGES[m] if t else None for m, t in zip(scored.main, scored.total)]
+    return out
+
+
 def _label(model_weights, least_letters: int, margin: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = LineModel(model_weights.value)
         for frame in frames:
             for lo in range(0, len(frame), 2000):
                 part = frame.iloc[lo : lo + 2000]
-                pieces: list[str] = []
-                doc: list[int] = []
-                number: list[int] = []
-                for i, text in enumerate(part["text"]):
-                    for k, line in enumerate(text.split("\n"), 1):
-                        if line:
-                            pieces.append(_clean(line))
-                            doc.append(i)
-                            number.append(k)
-                if not pieces:
+                of = ScoredLines(model, part["text"].tolist())
+                if not len(of.docs):
                     continue
-                docs, numbers = np.array(doc), np.array(number)
-                sums, letters = model.score(pieces)
-                best = sums.argmax(axis=1)
-                per = np.zeros((len(part), len(LANGUAGES)), dtype=np.int64)
-                np.add.at(per, (docs, best), letters)
-                total = per.sum(axis=1)
-                main = per.argmax(axis=1)
-                gap = sums[np.arange(len(best)), best] - sums[np.arange(len(best)), main[docs]]
-                odd = (best != main[docs]) & (letters >= least_letters) & (gap >= margin)
-                spread = np.exp(np.clip((sums - sums.max(axis=1, keepdims=True)) / np.maximum(1.0, np.sqrt(letters))[:, None], -50, 0))
+                gap = of.sums[np.arange(len(of.best)), of.best] - of.sums[np.arange(len(of.best)), of.main[of.docs]]
+                odd = (of.best != of.main[of.docs]) & (of.letters >= least_letters) & (gap >= margin)
+                spread = np.exp(np.clip((of.sums - of.sums.max(axis=1, keepdims=True)) / np.maximum(1.0, np.sqrt(of.letters))[:, None], -50, 0))
                 sure = 1 / spread.sum(axis=1)
-                whole = np.flatnonzero(total > 0)
-                share = per[whole, main[whole]] / total[whole]
+                whole = np.flatnonzero(of.total > 0)
+                share = of.per[whole, of.main[whole]] / of.total[whole]
                 ids, named = part["id"].to_numpy(), part["lang"].to_numpy()
                 at = np.flatnonzero(odd)
                 names = np.array(LANGUAGES, dtype=object)
                 yield pd.DataFrame(
                     {
-                        "id": np.concatenate([ids[whole], ids[docs[at]]]),
-                        "line_no": np.concatenate([np.zeros(len(whole), dtype=np.int32), numbers[at].astype(np.int32)]),
-                        "lang": np.concatenate([names[main[whole]], names[best[at]]]),
+                        "id": np.concatenate([ids[whole], ids[of.docs[at]]]),
+                        "line_no": np.concatenate([np.zeros(len(whole), dtype=np.int32), of.numbers[at]]),
+                        "lang": np.concatenate([names[of.main[whole]], names[of.best[at]]]),
                         "confidence": np.concatenate([share, sure[at]]),
                         "labelled": np.concatenate([named[whole], np.full(len(at), None, dtype=object)]),
                     }

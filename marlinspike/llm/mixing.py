@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +42,8 @@ def rake(tokens: np.ndarray, groups: list[np.ndarray], wanted: list[np.ndarray],
     return w
 
 
-def wanted_tokens(share: np.ndarray, most: np.ndarray, total: float | None) -> np.ndarray:
-    """Tokens per source. Without a total: the largest at which every source can hold its share. With one: each
-    source's share of it, but no more than it can give; what small sources lack goes to the others by share."""
-    if total is None:
-        return share * float((most / share).min())
+def wanted_tokens(share: np.ndarray, most: np.ndarray, total: float) -> np.ndarray:
+    """Tokens per source: its share of the total, but no more than it can give; what small sources lack goes to the others by share."""
     want, open_ = np.zeros(len(share)), np.ones(len(share), dtype=bool)
     left = min(total, most.sum())
     while open_.any() and left > 1e-9:
@@ -59,6 +57,11 @@ def wanted_tokens(share: np.ndarray, most: np.ndarray, total: float | None) -> n
     return want
 
 
+def exact_total(share: np.ndarray, most: np.ndarray) -> float:
+    """The largest total at which every source can hold its share exactly."""
+    return float((most / share).min())
+
+
 def settle(miss: float, adds: list[tuple], takes: list[tuple], moves: int = 60) -> dict:
     """Changes {id: copies} that bring a source's tokens nearest to its target: always the one document more or
     less, or the swap of two, that leaves least; adds and takes are lists of (tokens, id)."""
@@ -87,25 +90,26 @@ def settle(miss: float, adds: list[tuple], takes: list[tuple], moves: int = 60)
     return change
 
 
-def mix(
-    sizes: DataFrame, targets: DataFrame, marginals: Sequence[str] = ("lang", "doc_kind"), most_cells: int = 200_000, total: float | None = None, pool: int = 300
-) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, marginals: Sequence[str] = ("lang", "topic"), most_cells: int = 200_000, total: float | None = None, exact: bool = False, pool: int = 300) -> DataFrame:
     """(id, source, tokens, copies) of the chosen documents, copies >= 1.
 
     sizes: id, source, the marginal columns, tokens, each id once; targets: source, target_share, max_repeats.
-    The total is the largest at which every source can hold its share with at most max_repeats copies of each
-    document; or it is `total`, and sources too small for their share give all they may, the others the rest. Sources without tokens can't hold a share: the others' shares are
-    scaled up to sum to 1. Cells are (source, marginals...) with null as a value of its own; raking holds the
-    sources to their targets exactly and the marginals as near as the caps allow to what the documents of the
-    wanted sources have. A document gets the whole part of its cell's weight, and one more copy if it lies in
-    the first part, by a hash of its id, that holds the rest of the cell's tokens. What a source then lacks or
-    has over for the size of whole documents is settled by single copies among the first `pool` documents by
-    hash, so that a source is off its target by a few tokens.
-
-    The driver holds one row per cell and per source (more than most_cells raise an error). The cut in a cell is
-    found over BINS sums per cell, then in one bin, so no cell is ever sorted or gathered whole, even one that
-    holds a third of all rows. Texts without tokens and sources without target are in no mixture; an empty
-    table gives no rows; ties are settled by id.
+    The mixture is as large as `total`, by default all tokens the wanted sources have, so it grows with the
+    corpus; a source too small for its share gives all it may (max_repeats copies of each document) and the
+    others share the rest by their targets: see shares() for what came of it. With exact=True it's instead the
+    largest at which every source holds its share, which one tiny source may make small. Sources without
+    tokens can't hold a share: the others' shares are scaled up to sum to 1.
+
+    Cells are (source, marginals...) with null as a value of its own; raking holds the sources to their targets
+    exactly and the marginals as near as the caps allow to what the documents of the wanted sources have. A
+    document gets the whole part of its cell's weight, and one more copy if it lies in the first part, by a hash
+    of its id, that holds the rest of the cell's tokens. What a source then lacks or has over for the size of
+    whole documents is settled by single copies among the first `pool` documents by hash, source by source.
+
+    The driver holds one row per cell (more than most_cells raise an error). The cut in a cell is found over
+    BINS sums per cell, then in one bin, so no cell is ever sorted or gathered whole, even one that holds a
+    third of all rows; settling gathers 2 * pool rows of a source. Texts without tokens and sources without
+    target are in no mixture; an empty table gives no rows; ties are settled by id.
     """
     spark = sizes.sparkSession
     ensure_checkpoint_dir(spark)
@@ -117,6 +121,7 @@ def mix(
         raise ValueError(f"more than {most_cells} cells; use coarser marginals")
     schema = ", ".join([*(f"`{n}` {sizes.schema[n].dataType.simpleString()}" for n in names), "whole int", "rest double"])
     cells: list[tuple] = []
+    goals: list[tuple] = []
     if summed:
         tokens = np.array([r["tokens"] for r in summed], dtype=np.float64)
         groups, values = [], []
@@ -128,8 +133,8 @@ def mix(
         for r, g in zip(summed, groups[0]):
             share[g], cap[g] = r["share"], r["cap"]
         share /= share.sum()
-        held = np.bincount(groups[0], weights=tokens)
-        goal = wanted_tokens(share, cap * held, total)
+        most = cap * np.bincount(groups[0], weights=tokens)
+        goal = wanted_tokens(share, most, exact_total(share, most) if exact else tokens.sum() if total is None else total)
         top = goal.sum()
         wanted = [goal] + [np.bincount(g, weights=tokens) / tokens.sum() * top for g in groups[1:]]
         w = rake(tokens, groups, wanted, cap[groups[0]])
@@ -137,10 +142,10 @@ def mix(
             whole = int(min(np.floor(x + 1e-9), c))
             rest = 0.0 if whole >= c else max(0.0, float(x - whole))
             cells.append((*[r[n] for n in names], whole, rest * float(r["tokens"])))
+        goals = [(s, float(goal[g])) for s, g in values[0].items()]
     weights = spark.createDataFrame(cells, schema)
-    same = _same(names)
     h = F.xxhash64("id")
-    rows = known.select("id", *names, "tokens", "cap", F.pmod(h, F.lit(BINS)).cast("int").alias("bin"), h.alias("h")).alias("l").join(weights.alias("r"), same).select("l.*", "r.whole", "r.rest")
+    rows = known.select("id", *names, "tokens", "cap", F.pmod(h, F.lit(BINS)).cast("int").alias("bin"), h.alias("h")).alias("l").join(weights.alias("r"), _same(names)).select("l.*", "r.whole", "r.rest")
     per = rows.where("rest > 0").groupBy(*names, "bin", "rest").agg(F.sum("tokens").alias("t"))
     run = F.sum("t").over(Window.partitionBy(*names).orderBy("bin"))
     cut = per.select(*names, "bin", "rest", (run - F.col("t")).alias("before"), run.alias("after")).where("before < rest and after >= rest").select(*names, F.col("bin").alias("cut"), F.col("before").cast("double").alias("before"))
@@ -151,19 +156,23 @@ def mix(
     others = joined.where("not (rest > 0 and bin <=> cut)").withColumn("more", F.when((F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), 1).otherwise(0))
     out = ["id", "source", "tokens", "cap", (F.col("whole") + F.col("more")).cast("int").alias("copies")]
     drawn = edge.select(*out).unionByName(others.select(*out)).checkpoint()
-    if not summed:
-        return drawn.drop("cap")
-    have = {r["source"]: r["t"] for r in drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()}
+    return _settled(drawn, spark.createDataFrame(goals, f"source {sizes.schema['source'].dataType.simpleString()}, goal double"), pool)
+
+
+def _settled(drawn: DataFrame, goals: DataFrame, pool: int) -> DataFrame:
+    """The drawn documents, with single copies more or less that bring each source nearest to its goal."""
+    missing = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("have")).join(goals, "source").select("source", (F.col("goal") - F.col("have")).alias("miss"))
     first = Window.partitionBy("source", "way").orderBy(F.xxhash64("id"), "id")
     ways = drawn.select("id", "source", "tokens", F.explode(F.array_compact(F.array(F.when(F.col("copies") < F.col("cap"), 1), F.when(F.col("copies") > 0, -1)))).alias("way"))
-    near = ways.withColumn("n", F.row_number().over(first)).where(F.col("n") <= pool).collect()
-    changes: list[tuple] = []
-    for source, g in values[0].items():
-        mine = [r for r in near if r["source"] == source]
-        moved = settle(goal[g] - have.get(source, 0), [(r["tokens"], r["id"]) for r in mine if r["way"] == 1], [(r["tokens"], r["id"]) for r in mine if r["way"] == -1])
-        changes += moved.items()
-    settled = spark.createDataFrame(changes, f"id {sizes.schema['id'].dataType.simpleString()}, change int")
-    return drawn.join(F.broadcast(settled), "id", "left").select("id", "source", "tokens", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int").alias("copies")).where("copies > 0")
+    near = ways.withColumn("n", F.row_number().over(first)).where(F.col("n") <= pool).join(missing, "source")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [list(zip(x["tokens"].tolist(), x["id"].tolist())) for x in (frame[frame["way"] == 1], frame[frame["way"] == -1])]
+        moved = settle(float(frame["miss"].iloc[0]), *sides)
+        return pd.DataFrame({"id": list(moved), "change": list(moved.values())}, columns=["id", "change"])
+
+    changes = near.groupBy("source").applyInPandas(run, f"id {drawn.schema['id'].dataType.simpleString()}, change int")
+    return drawn.join(changes, "id", "left").select("id", "source", "tokens", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int").alias("copies")).where("copies > 0")
 
 
 def _same(names: Sequence[str]) -> Column:

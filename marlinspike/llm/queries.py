@@ -90,10 +90,12 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _mixture(spark: SparkSession, d: str) -> DataFrame:
+def _mixture(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
+    """The mixture raked to source, language (by problem 5's operator) and topic (by problem 10's); texts are read in one pass."""
     documents = table(spark, d, "documents")
-    named = documents.withColumn("lang", languages.label_language(F.col("lang")))
-    return mixing.mix(count_tokens(named, keep=("source", "lang", "doc_kind")), table(spark, d, "mix_targets"))
+    shared = spark.sparkContext.broadcast((languages.train(documents, "text", "lang", id_column="doc_id").weights, _subject_model(spark, d)))
+    features = {"lang": lambda texts: languages.main_languages(texts, shared.value[0]), "topic": lambda texts: [shared.value[1].topic(t) for t in texts]}
+    return mixing.mix(count_tokens(documents, keep=("source",), features=features), table(spark, d, "mix_targets"), exact=exact)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -101,23 +103,25 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Actual shares of the mixture, in which sources too small for their share fall short."""
     return mixing.shares(_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
-def p9_shares_of_all(spark: SparkSession, d: str) -> DataFrame:
-    """Actual shares of a mixture as large as the wanted sources' own tokens, in which small sources fall short."""
-    named = table(spark, d, "documents").withColumn("lang", languages.label_language(F.col("lang")))
-    sizes, targets = count_tokens(named, keep=("source", "lang", "doc_kind")), table(spark, d, "mix_targets")
-    total = sizes.join(targets.select("source"), "source", "left_semi").agg(F.sum("tokens")).first()[0]
-    return mixing.shares(mixing.mix(sizes, targets, total=float(total or 0)), targets)
+def p9_shares_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Actual shares of the largest mixture in which every source holds its share."""
+    return mixing.shares(_mixture(spark, d, exact=True), table(spark, d, "mix_targets"))
+
+
+def _subject_model(spark: SparkSession, d: str) -> subjects.SubjectModel:
+    return subjects.fit(table(spark, d, "documents"), table(spark, d, "subject_labels"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subjects(table(spark, d, "documents"))
+    return subjects.subjects(table(spark, d, "documents"), _subject_model(spark, d))
 
 
 def p10_composition(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.composition(table(spark, d, "documents"))
+    return subjects.composition(table(spark, d, "documents"), _subject_model(spark, d))
 
 
 QUERIES = {
@@ -134,7 +138,7 @@ QUERIES = {
     "p8_unused": p8_unused,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
-    "p9_shares_of_all": p9_shares_of_all,
+    "p9_shares_exact": p9_shares_exact,
     "p10_found": p10_found,
     "p10_composition": p10_composition,
 }

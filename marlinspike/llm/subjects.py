@@ -1,212 +1,257 @@
-"""Subject areas of documents: weighted subject terms found by automaton, scored by sentence, thresholds per subject."""
+"""Subject areas of documents: weighted subject terms found by automaton, scored by sentence, calibrated thresholds."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
-from math import log
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from math import log, log2, sqrt
+from random import Random
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlinspike.functions.automaton import PhraseAutomaton
-
-#: Curated subject terms, separated by commas: English topics / turns of phrase / further topics, Spanish and Russian ones.
-TERMS = {
-    "navigation": """great-circle leg, tidal window, traffic lane, under-keel margin, buoy numbers, dead reckoning, radar echoes, bridge watch,
-        leading lights, magnetic course, passage plan, pilot ladder rendezvous / needle swung, church tower open of the cliff, two stars and a lead line,
-        fog came down, ship's horn, south of where we thought we were, leave the green one on / chart plotter, true bearing, watchkeeping,
-        radar, rumbo verdadero, carta náutica, guardia del puente, marea, balizas, mareas,
-        буи, истинный курс, морскую карту, радар, таблицы приливов, ходовую вахту, морская карта, ходовая вахта""",
-    "engineering": """cracked liner, leaking gland, seized bearing, spare impeller, insulation test, crankshaft deflection, hull plating, boiler feedwater,
-        fuel injector, lube oil sump, switchboard, turbocharger surge / took it apart, found metal in the drain, shakes when cold, sells the washer,
-        quarter turn, drain it, if it glitters, below began knocking, smoke for, after starting usually means / turbocharger, crankshaft,
-        cojinete, cuadro eléctrico, motor principal, bomba de aceite, caldera, soldadura,
-        главный двигатель, котёл, масляный насос, подшипник, сварной шов, электрощит""",
-    "hospitality": """birthday cake, captain's dinner, wine pairing, dietary wishes, folded linen, room upgrades, table seating, breakfast buffet, galley menu,
-        tasting counter, welcome cocktail, turn-down service / corridors quiet, towels spare, leave the chocolate, knock twice, favourite dessert, came unasked,
-        wanted the soup without onions, plates up the stairs, remember the candle, second helping /
-        comedor, desayuno, carta de vinos, limpieza del camarote, pastelería, huéspedes,
-        винную карту, десерты, завтрак, просьбы гостей, сервировку стола, уборку кают""",
-    "sport_diving": """drift dive, freediving line, paddle race, reef dive, buoyancy drills, fin kicks, club relay, nitrox mix, podium finish, regatta start,
-        sprint swim, wetsuit sizes / clear your ears early, the octopus of, counted turtles, holding hands and, thumbs out, slow on the way back to the boat,
-        lengths on one breath, half a length, jumped in, mornings a week, still lose to / freediving, nitrox,
-        traje de neopreno, competición, inmersión recreativa, natación, regata, aletas,
-        гидрокостюм, заплыв, ласты, погружение на риф, регату, соревнование клубов""",
-    "law": """breach notice, detention order, salvage claim, an appeal, flag-state rules, limitation of liability, arbitration seat, bill of lading, charter clause,
-        employment agreement, jurisdiction question, witness statements / both sides signed, walked away from what was signed, pays when the box falls,
-        promise was binding, the judge at, sent everyone home, depends on a comma, days to answer in writing / arbitration, jurisdiction,
-        contrato, recurso, tribunal, cláusula, demanda, responsabilidad civil,
-        апелляцию, договор, исковое заявление, оговорку, ответственность сторон, решение суда""",
-    "medicine": """broken wrist, fever case, fitness certificate, vaccination card, blood pressure, hearing loss, seasickness tablets, sleep hygiene, oxygen mask,
-        quarantine cabin, sick bay, wound dressing / could not keep water down, shivered all night, the swelling went, doses and some rest, small sips,
-        count breaths, press hard, raise the arm, slept badly since, forgets small things, the rash spread, past the elbow / vaccination, quarantine,
-        reconocimiento médico, enfermería, fiebre, herida, presión arterial, vacuna,
-        высокую температуру, давление крови, лазарет, медосмотр, прививку, рану""",
-    "science": """plume model, salinity profile, el nino signal, coral bleaching, isotope ratios, krill counts, plankton samples, sediment cores, ice edge,
-        mooring sensor, tide gauge, whale song / eels came up the river, nets prove it, lower the frame, what the water tells, grey mud under, colder sea,
-        warm tongue off, tiny shrimp, ring in the shell, stands for one summer / salinity, plankton,
-        arrecife, muestreo, plancton, sedimento, corriente oceánica, salinidad,
-        коралловый риф, ледовый покров, океанское течение, планктон, пробы грунта, солёность воды""",
-    "software": """cache miss, failing deployment, firmware patch, packet capture, api token, database replicas, backup script, crew app, login bug, message queue,
-        release branch, unit tests / worked on my laptop, freezes whenever, press save, screens went blank, read the log from the bottom up, first red line,
-        it off and on cured / shared one password, source code, firmware,
-        código fuente, servidor, aplicación, base de datos, contraseña, red informática,
-        базу данных, исходный код, пароль, приложение, сервер, сетевой шлюз""",
-    "finance": """bank guarantee, pension top-up, wage ledger, overdue invoice, demurrage income, hull premiums, quarterly margins, tax residence, bunker hedge,
-        cash advance, exchange loss, freight index / each month's packet aside, pays late, pays twice, they owed, had half of it, lends to a firm, outstanding,
-        at the bottom of the page turned red, sold the ship for less, still owed on it / demurrage, invoice,
-        flete, impuesto, préstamo, factura, nómina, prima del seguro,
-        зарплатную ведомость, кредит, налог, страховую премию, счёт на оплату, фрахт""",
-    "education": """refresher course, study grant, syllabus, oral exam, cadet workbooks, class attendance, graded essays, homework feedback, apprenticeship,
-        exam timetable, mentor scheme, simulator lesson / failed twice, explained it to a friend, pages a night did best, copied everything, on the third go,
-        marks in green, red frightens them, draw every knot, before tying one, ask the juniors, show it back to you / syllabus, homework,
-        alumno, curso, examen, simulador de clase, temario, beca,
-        программу занятий, стипендию, тетради курсантов, урок на тренажёре, учебный курс, экзамен""",
+#: Curated general terms of each subject in English, Spanish and Russian; "*" stands for any ending.
+CURATED = {
+    "navigation": "navigat*, compass*, radar*, nautical chart*, buoy*, lighthouse*, sextant, latitude, longitude, gps, dead reckoning, tidal, brújula, carta náutica, rumbo, marea*, навигац*, компас*, маяк*, лоцман*",
+    "engineering": "engine, engines, turbine*, boiler*, piston*, crankshaft*, valve*, weld*, voltage, switchboard*, turbocharg*, hull, generator*, motor*, caldera*, soldad*, двигател*, подшипник*, насос*, генератор*",
+    "hospitality": "menu*, guest*, breakfast*, buffet*, waiter*, dessert*, recipe*, linen, banquet*, concierge*, hotel room*, cocktail*, huésped*, cocina*, desayuno*, camarote*, завтрак*, меню, десерт*, гостей",
+    "sport_diving": "scuba, snorkel*, wetsuit*, freediv*, nitrox, regatta*, swim*, marathon*, sprint*, football*, goalkeeper*, championship*, athlet*, podium*, buceo, natación, aletas, дайвинг*, регат*, заплыв*",
+    "law": "court, courts, lawsuit*, judge*, statute*, litigat*, plaintiff*, defendant*, arbitrat*, liabilit*, jurisdiction*, verdict*, clause*, contrato*, tribunal*, demanda*, cláusula*, договор*, исков*, апелляц*",
+    "medicine": "patient*, hospital*, vaccin*, fever*, wound*, disease*, infect*, diagnos*, symptom*, blood pressure, surgeon*, doses, fiebre*, vacuna*, herida*, médic*, прививк*, врач*, лечени*, больниц*",
+    "science": "plankton*, photosynthes*, isotop*, sediment*, salinity, hypothes*, laborator*, molecul*, ecosystem*, coral*, glacier*, geolog*, plancton*, arrecife*, sedimento*, salinidad*, планктон*, исследован*, солёност*, коралл*",
+    "software": "software, compiler*, server*, database*, source code, algorithm*, firmware, login*, deploy*, encrypt*, router*, api, servidor*, código fuente, contraseña*, base de datos, сервер*, парол*, программн*, исходный код",
+    "finance": "invoice*, loan*, tax, taxes, interest rate*, dividend*, stock market*, mortgage*, budget*, accountant*, revenue*, pension*, factura*, impuesto*, préstamo*, nómina*, кредит*, налог*, банковск*, зарплат*",
+    "education": "student*, teacher*, exams, exam timetable*, oral exam*, syllabus*, curricul*, homework*, classroom*, pupil*, universit*, scholarship*, essay*, alumno*, examen*, becas, учебн*, экзамен*, стипенди*, студент*",
 }
-#: Words of terms that say nothing alone, since any subject's texts may hold them.
-WEAK = set(
-    """menu exam fin engine captain cook diver lawyer cake dinner order start case course question notice line race finish mix sizes service wishes income rules plan watch test
-    clause tests window lane leg numbers echoes lights course ladder margin seat state claim liability agreement statements bench bank guarantee cash advance index loss card mask
-    cabin small count hard model signal song edge samples counts profile sensor cache token crew message release branch unit script class oral study grant feedback scheme lesson
-    spare table room welcome breakfast counter upgrades folded drift paddle reef sprint swim club start bridge traffic passage pilot dead bill under press raise leave green knock
-    twice favourite stairs water night second third summer since small things first log bottom shared both sides signed answer writing judge home everyone friend pages back before
-    whenever screens went blank worked what tells came frame lower night some rest away walked falls holding hands early clear your length still lose mornings week slow thumbs
-    quiet spare quarter turn apart metal found usually means after starting sells cold when page late firm half they month each fuel leaking broken ship ships horn south where thought
-    needle tower open stars lead down vaccination hull test birthday pairing wine certificate sleep hygiene hearing blood pressure sizes cores ratios exchange freight hedge
-    cadet leading great circle source failing cracked seized fitness hull liner overdue witness relay surge patch queue charter backup drills kicks seating tasting login margins
-    карта carta guardia del puente rumbo cuadro motor bomba aceite principal limpieza camarote vinos traje responsabilidad civil presión corriente código fuente base datos red prima clase
-    курс карту главный стола просьбы воды решение код счёт урок программу""".split()
-)
+PRIOR, PRIOR_DOCUMENTS = 0.9, 3.0
+LEAST_WEIGHT, LEAST_DOCUMENTS, LONGEST_RUN = 0.6, 3, 3
+#: Share of sentences from which a document has a subject (TESTDATA.md), and the length up to which a sentence's words don't count against it.
+SHARE, PLAIN_WORDS = 0.2, 40
+TRIES = tuple(round(0.5 + 0.025 * i, 3) for i in range(15))
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def phrases(text: str) -> tuple[list[str], list[str]]:
-    """(topics, turns of phrase) of a subject's terms."""
-    parts = [[" ".join(p.split()) for p in part.split(",") if p.strip()] for part in text.split("/")]
-    return [p for i, part in enumerate(parts) if i != 1 for p in part], parts[1] if len(parts) > 1 else []
-
-
-def weighted_terms(terms: dict[str, str] = TERMS, weak: set[str] = WEAK) -> list[tuple[str, tuple[str, float]]]:
-    """(phrase, (subject, weight)): whole terms weigh 1; a topic's single word, if it is long, not weak and no other
-    subject's, weighs by its rarity among the terms (it stands in for the topic where the rest is misspelled)."""
-    listed = {s: phrases(text) for s, text in terms.items()}
-    holders: dict[str, dict[str, int]] = {}
-    for s, (topics, turns) in listed.items():
-        for p in {*topics, *turns}:
-            for w in set(_WORD.findall(p)):
-                holders.setdefault(w, {}).setdefault(s, 0)
-                holders[w][s] += 1
-    out = [(p, (s, 1.0)) for s, both in listed.items() for ps in both for p in ps]
-    total, whole = len(out), {p for p, _ in out}
-    topical = {w for topics, _ in listed.values() for p in topics for w in _WORD.findall(p)}
-    for w, by in holders.items():
-        if len(by) == 1 and len(w) >= 5 and w in topical and w not in weak and w not in whole:
-            (s, n), = by.items()
-            out.append((w, (s, round(log(total / n) / log(total), 3))))
+def sentences(text: str) -> list[str]:
+    """Sentences with their words alone, in lower case between single blanks; pieces without words stay as sentences."""
+    return [f" {' '.join(_WORD.findall(s))} " for s in _SENTENCE.split(text.lower()) if s.strip()]
+
+
+def _pattern(term: str) -> str:
+    """How a term stands in a sentence of words: after a blank, and before one unless its ending is open."""
+    return f" {' '.join(_WORD.findall(term))}" + ("" if term.endswith("*") else " ")
+
+
+def curated_terms(curated: dict[str, str] = CURATED) -> dict[str, dict[str, float]]:
+    """pattern -> {subject: prior weight}."""
+    out: dict[str, dict[str, float]] = {}
+    for subject, text in curated.items():
+        for term in text.split(","):
+            out.setdefault(_pattern(term.strip()), {})[subject] = PRIOR
     return out
 
 
-def topic_words(terms: dict[str, str] = TERMS) -> set[str]:
-    """The words of topics that are long enough to be put right where they are misspelled."""
-    return {w for text in terms.values() for p in phrases(text)[0] for w in _WORD.findall(p) if len(w) >= 4}
-
-
-class TermFinder:
-    """The automaton over the weighted terms, and a dictionary that puts one misspelt letter of a term's word right."""
-
-    def __init__(self, terms: dict[str, str] = TERMS):
-        weighted = weighted_terms(terms)
-        self.automaton = PhraseAutomaton(weighted)
-        whole = {p for text in terms.values() for p in phrases(text)[0]}
-        self.topics = PhraseAutomaton(x for x in weighted if x[0] in whole)
-        self.words = topic_words(terms)
-        self.near: dict[str, str] = {}
-        for w in sorted(self.words):
-            for shorter in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
-                self.near.setdefault(shorter, w)
-        self.known: dict[str, str | None] = {}
-
-    def repaired(self, word: str) -> str | None:
-        """The term word that an unknown word is one edit away from, if any."""
-        if word not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = None
-            if len(word) >= 4 and word not in self.words:
-                for form in (word, *(word[:i] + word[i + 1 :] for i in range(len(word)))):
-                    w = self.near.get(form)
-                    if w and len(w) >= 4 and one_edit(word, w):
-                        found = w
+class Finder:
+    """One automaton over term patterns; hits are reported by sentence."""
+
+    def __init__(self, patterns: Iterable[str]):
+        self.auto = ahocorasick.Automaton()
+        for p in patterns:
+            if p.strip():
+                self.auto.add_word(p, (len(p), p))
+        self.any = len(self.auto) > 0
+        if self.any:
+            self.auto.make_automaton()
+
+    def hits(self, said: list[str]) -> Iterator[tuple[int, str]]:
+        """(sentence number, pattern) of every hit, in one pass over the sentences joined by line ends."""
+        if not self.any or not said:
+            return
+        starts, at = [], 0
+        for s in said:
+            starts.append(at)
+            at += len(s) + 1
+        for last, (n, p) in self.auto.iter("\n".join(said)):
+            yield bisect_right(starts, last - n + 1) - 1, p
+
+
+@dataclass
+class Evidence:
+    """What a labelled sample says of terms: documents, documents and sentences by term, sentences by term and label."""
+
+    documents: int = 0
+    held: Counter = field(default_factory=Counter)
+    said: Counter = field(default_factory=Counter)
+    agreed: Counter = field(default_factory=Counter)
+
+    def add(self, said: list[str], labels: set[str], finder: Finder) -> None:
+        self.documents += 1
+        found: dict[str, set[int]] = {}
+        for k, s in enumerate(said):
+            words = s.split()
+            for a in range(len(words)):
+                for b in range(a + 1, min(a + LONGEST_RUN, len(words)) + 1):
+                    if not words[b - 1].isalpha():
                         break
-            self.known[word] = found
-        return self.known[word]
-
-
-def one_edit(a: str, b: str) -> bool:
-    """Whether a becomes b by one inserted, missing or other letter, or by swapping two neighbours."""
-    if a == b or abs(len(a) - len(b)) > 1:
-        return a == b
-    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    long, short = (a, b) if len(a) > len(b) else (b, a)
-    return long[i + 1 :] == short[i:]
-
-
-def sentence_shares(text: str, finder: TermFinder, least: float = 0.7) -> tuple[int, dict[str, int]]:
-    """(sentences, sentences that deal with each subject): one automaton pass over the whole text, and a second
-    look for whole topics, with repaired words, at sentences in which no term stands."""
-    low = text.lower()
-    spans, at = [], 0
-    for m in [*_SENTENCE.finditer(low), None]:
-        end = m.start() if m else len(low)
-        if low[at:end].strip():
-            spans.append((at, end))
-        at = m.end() if m else end
-    starts = [a for a, _ in spans]
-    best: dict[tuple[int, str], float] = {}
-    seen = set()
-    for start, _, (subject, weight) in finder.automaton.hits(low):
-        k = bisect_right(starts, start)
-        seen.add(k)
-        best[k, subject] = max(weight, best.get((k, subject), 0.0))
-    for k, (a, b) in enumerate(spans, 1):
-        if k not in seen:
-            words = low[a:b].split(" ")
-            bare = [w.strip(".,;:!?\"'()") for w in words]
-            put = [finder.repaired(w) for w in bare]
-            if any(put):
-                fixed = " ".join(p or w for p, w in zip(put, words))
-                for _, _, (subject, weight) in finder.topics.hits(fixed):
-                    best[k, subject] = max(weight, best.get((k, subject), 0.0))
-    dealt: dict[str, int] = {}
-    for (_, subject), weight in best.items():
-        if weight >= least:
-            dealt[subject] = dealt.get(subject, 0) + 1
-    return len(spans), dealt
-
-
-#: Share of sentences from which a document has the subject, by subject; calibrate() proposes them from a labelled sample.
-THRESHOLD = 0.2
+                    found.setdefault(f" {' '.join(words[a:b])} ", set()).add(k)
+        for k, p in finder.hits(said):
+            found.setdefault(p, set()).add(k)
+        for p, where in found.items():
+            self.held[p] += 1
+            self.said[p] += len(where)
+            for label in labels:
+                self.agreed[p, label] += len(where)
+
+    def __add__(self, other: Evidence) -> Evidence:
+        return Evidence(self.documents + other.documents, self.held + other.held, self.said + other.said, self.agreed + other.agreed)
+
+
+def lower_bound(p: float, n: float, z: float = 1.64) -> float:
+    """Wilson's lower bound of a share p seen in n documents."""
+    return (p + z * z / 2 / n - z * sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+
+def weighted_terms(evidence: Evidence, curated: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
+    """pattern -> {subject: weight}.
+
+    A curated term's weight is its prior, moved by how often the sample's documents with it bear the subject; a
+    run of up to three words joins the list where even the lower bound of that share is high and no shorter run
+    in it says as much. Both fade by rarity: a term in more than a fifth or so of the documents (n^-0.2) says little.
+    """
+    def rarity(p: str) -> float:
+        n = evidence.documents
+        return 1.0 if n < 2 or not evidence.held[p] else min(1.0, log(n / evidence.held[p]) / log(n) / 0.2)
+
+    out: dict[str, dict[str, float]] = {}
+    for p, subjects_ in curated.items():
+        for s, prior in subjects_.items():
+            n = evidence.held[p]
+            share = evidence.agreed[p, s] / evidence.said[p] if n else 0.0
+            w = (PRIOR_DOCUMENTS * prior + n * share) / (PRIOR_DOCUMENTS + n) * rarity(p)
+            if w >= LEAST_WEIGHT:
+                out.setdefault(p, {})[s] = w
+    found = []
+    for (p, s), n in evidence.agreed.items():
+        if p.endswith(" ") and evidence.held[p] >= LEAST_DOCUMENTS:
+            w = lower_bound(n / evidence.said[p], evidence.held[p]) * rarity(p)
+            if w >= LEAST_WEIGHT:
+                found.append((p.count(" "), p, s, w))
+    for _, p, s, w in sorted(found):
+        words = p.split()
+        parts = [f" {' '.join(words[a:b])} " for a in range(len(words)) for b in range(a + 1, len(words) + 1) if b - a < len(words)]
+        if all(out.get(x, {}).get(s, 0.0) < w - 0.1 for x in parts):
+            held = out.setdefault(p, {})
+            held[s] = max(w, held.get(s, 0.0))
+    return out
+
+
+class SubjectModel:
+    """Weighted terms and, by subject, the least weight from which a sentence deals with it."""
+
+    def __init__(self, terms: dict[str, dict[str, float]], thresholds: dict[str, float] | None = None):
+        self.terms, self.thresholds = terms, thresholds or {}
+        self.finder: Finder | None = None
+
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "thresholds": self.thresholds, "finder": None}
+
+    def sentence_weights(self, text: str) -> tuple[int, dict[tuple[int, str], float]]:
+        """(sentences, weight by sentence and subject): the best term's, less where a sentence is very long."""
+        self.finder = self.finder or Finder(self.terms)
+        said = sentences(text)
+        best: dict[tuple[int, str], float] = {}
+        for k, p in self.finder.hits(said):
+            for s, w in self.terms[p].items():
+                if w > best.get((k, s), 0.0):
+                    best[k, s] = w
+        for k, s in best:
+            if len(said[k]) > 4 * PLAIN_WORDS and (n := said[k].count(" ")) > PLAIN_WORDS:
+                best[k, s] /= 1 + 0.1 * log2(n / PLAIN_WORDS)
+        return len(said), best
+
+    def dealt(self, text: str) -> tuple[int, dict[str, int]]:
+        """(sentences, sentences that deal with each subject)."""
+        n, weights = self.sentence_weights(text)
+        dealt: dict[str, int] = {}
+        for (_, s), w in weights.items():
+            if w >= self.thresholds.get(s, LEAST_WEIGHT):
+                dealt[s] = dealt.get(s, 0) + 1
+        return n, dealt
+
+    def topic(self, text: str, share: float = SHARE) -> str | None:
+        """The subject that most sentences deal with, at least `share` of them; of equal ones the first by name."""
+        n, dealt = self.dealt(text)
+        enough = [(-k, s) for s, k in dealt.items() if k >= share * n - 1e-9]
+        return min(enough)[1] if enough else None
+
+
+def calibrate(model: SubjectModel, sample: list[tuple[str, set[str]]], share: float = SHARE) -> dict[str, float]:
+    """By subject the sentence threshold with the best F1 on labelled texts; of equally good ones that nearest LEAST_WEIGHT."""
+    labelled: Counter = Counter()
+    found: dict[str, list[Counter]] = {}
+    for text, labels in sample:
+        labelled.update(labels)
+        n, weights = model.sentence_weights(text)
+        by: dict[str, list[float]] = {}
+        for (_, s), w in weights.items():
+            by.setdefault(s, []).append(w)
+        for s, ws in by.items():
+            for i, t in enumerate(TRIES):
+                if sum(w >= t for w in ws) >= share * n - 1e-9:
+                    found.setdefault(s, [Counter() for _ in TRIES])[i][s in labels] += 1
+    out = {}
+    for s, tries in found.items():
+        f1 = [2 * c[True] / max(1, c[True] + c[False] + labelled[s]) for c in tries]
+        out[s] = min((t for t, f in zip(TRIES, f1) if f >= max(f1)), key=lambda t: abs(t - LEAST_WEIGHT))
+    return out
+
+
+def fit(documents: DataFrame, labels: DataFrame, bound: int = 3000, longest: int = 20_000, id_column: str = "doc_id", text: str = "text", curated: dict[str, str] = CURATED) -> SubjectModel:
+    """A model from at most `bound` labelled documents of at most `longest` characters (the sample's documented bounds).
+
+    Which documents is decided by a hash of the id, the same at any size; the sampled ids, proven to be at most
+    `bound`, are broadcast. Terms learned from one half set the thresholds on the other half; the terms of both
+    halves are kept. Without labels the curated terms stand with their prior weights. Null ids, texts and
+    subjects drop out; labels may be wrong and repeated.
+    """
+    sample = labels.where("doc_id is not null and subject is not null").groupBy(F.col("doc_id").alias("sampled")).agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("sampled"), "sampled").limit(bound)
+    known = documents.where(F.col(id_column).isNotNull() & F.length(text).between(1, longest)).select(F.col(id_column).alias("sampled"), F.col(text).alias("text"))
+    rows = {r["sampled"]: (r["text"], set(r["subjects"])) for r in known.join(F.broadcast(sample), "sampled").collect()}
+    prior = curated_terms(curated)
+    finder = Finder(prior)
+    halves = [Evidence(), Evidence()]
+    taken: list[list[tuple[str, set[str]]]] = [[], []]
+    keys = sorted(rows)
+    Random(0).shuffle(keys)
+    for i, key in enumerate(keys):
+        said, subjects_ = rows[key]
+        halves[i % 2].add(sentences(said), subjects_, finder)
+        taken[i % 2].append((said, subjects_))
+    limits = calibrate(SubjectModel(weighted_terms(halves[0], prior)), taken[1]) if len(rows) >= 200 else {}
+    return SubjectModel(weighted_terms(halves[0] + halves[1], prior), limits)
+
+
 SCORED = "doc_id long, subject string, sentences int, dealt int, share double"
 
 
-def subject_scores(documents: DataFrame, terms: dict[str, str] = TERMS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def subject_scores(documents: DataFrame, model: SubjectModel, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, subject, sentences, dealt, share) for every subject that at least one sentence deals with.
 
-    A map over whole texts with no shuffle; the term list is a few hundred phrases. Null ids and texts, and
-    texts without a sentence, give no rows; repeated rows give repeated rows; other columns are ignored.
+    A map over whole texts with no shuffle; the model is a few thousand terms, bounded by its sample. Null ids
+    and texts, and texts without a sentence, give no rows; repeated rows give repeated rows; other columns are ignored.
     """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = TermFinder(terms)
         for frame in frames:
             rows = []
             for doc, body in zip(frame["doc_id"], frame["text"]):
-                n, dealt = sentence_shares(body, finder)
+                n, dealt = shared.value.dealt(body)
                 rows += [(doc, s, n, k, k / n) for s, k in dealt.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences", "dealt", "share"])
 
@@ -214,37 +259,14 @@ def subject_scores(documents: DataFrame, terms: dict[str, str] = TERMS, id_colum
     return known.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCORED)
 
 
-def subjects(documents: DataFrame, thresholds: dict[str, float] | None = None, **how) -> DataFrame:
-    """(doc_id, subject): every subject whose share of sentences reaches its threshold; a document twice counts once."""
-    scores = subject_scores(documents, **how)
-    if thresholds:
-        limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in thresholds.items() for x in p]), F.col("subject")), F.lit(THRESHOLD))
-    else:
-        limit = F.lit(THRESHOLD)
+def subjects(documents: DataFrame, model: SubjectModel, share: float = SHARE, **how) -> DataFrame:
+    """(doc_id, subject): every subject that at least `share` of the sentences deal with; a document twice counts once."""
     # Both sides are ratios of small whole numbers; the slack covers their rounding only.
-    return scores.where(F.col("share") >= limit - 1e-9).select("doc_id", "subject").distinct()
-
-
-def calibrate(documents: DataFrame, labels: DataFrame, bound: int = 20_000, id_column: str = "doc_id") -> dict[str, float]:
-    """Thresholds with the best F1 on a labelled sample of at most `bound` documents (chosen by a hash of the id)."""
-    sample = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    scores = subject_scores(documents.join(sample, documents[id_column] == sample["doc_id"], "left_semi")).join(sample, "doc_id")
-    held = labels.select("doc_id", "subject").distinct().join(sample, "doc_id").withColumn("labelled", F.lit(1))
-    both = scores.select("doc_id", "subject", "share").distinct().join(held, ["doc_id", "subject"], "full").select("subject", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("labelled", F.lit(0)).alias("y"))
-    tries = [round(0.1 + 0.01 * i, 2) for i in range(21)]
-    counted = both.groupBy("subject").agg(
-        F.sum("y").alias("all"), *[F.sum(F.when(F.col("share") >= t - 1e-9, F.col("y"))).alias(f"tp{i}") for i, t in enumerate(tries)], *[F.count_if(F.col("share") >= t - 1e-9).alias(f"n{i}") for i, t in enumerate(tries)]
-    )
-    best = {}
-    for r in counted.collect():
-        f1 = [2 * (r[f"tp{i}"] or 0) / max(1, r[f"n{i}"] + r["all"]) for i in range(len(tries))]
-        top = max(f1)
-        best[r["subject"]] = min((t for t, f in zip(tries, f1) if f >= top), key=lambda t: abs(t - THRESHOLD))
-    return best
-
-
-def composition(documents: DataFrame, **how) -> DataFrame:
+    return subject_scores(documents, model, **how).where(F.col("share") >= F.lit(share) - 1e-9).select("doc_id", "subject").distinct()
+
+
+def composition(documents: DataFrame, model: SubjectModel, **how) -> DataFrame:
     """(subject, documents, share): how much of the corpus has each subject."""
     total = documents.where("doc_id is not null").agg(F.count_distinct("doc_id").alias("total"))
-    counts = subjects(documents, **how).groupBy("subject").agg(F.count("*").alias("documents"))
+    counts = subjects(documents, model, **how).groupBy("subject").agg(F.count("*").alias("documents"))
     return counts.join(F.broadcast(total)).select("subject", "documents", F.round(F.col("documents") / F.col("total"), 6).alias("share"))

@@ -264,20 +264,37 @@ def test_shares_and_caps(spark):
     docs = [(i, rnd.choice("aaaaabc"), rnd.choice(["en", "de", None]), None, rnd.randint(5, 60)) for i in range(3000)] + [(9000, "z", "en", None, 50), (9001, None, "en", None, 50), (9002, "a", "en", None, 0)]
     df = spark.createDataFrame(docs, "id long, source string, lang string, doc_kind string, tokens long")
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 3), ("c", 0.3, 2), ("empty", 0.0, 1)], "source string, target_share double, max_repeats int")
-    rows = mixing.mix(df, targets).collect()
-    size = dict((d[0], d[4]) for d in docs)
-    by = {}
-    for r in rows:
-        assert 1 <= r.copies <= {"a": 1, "b": 3, "c": 2}[r.source] and r.tokens == size[r.id]
-        by[r.source] = by.get(r.source, 0) + r.copies * r.tokens
-    total, held = sum(by.values()), {s: sum(d[4] for d in docs if d[1] == s) for s in "abc"}
-    assert len(rows) == len({r.id for r in rows})
+    size, most = dict((d[0], d[4]) for d in docs), {"a": 1, "b": 3, "c": 2}
+    held = {s: sum(d[4] for d in docs if d[1] == s) for s in "abc"}
+
+    def drawn(**how):
+        rows, by = mixing.mix(df, targets, ("lang", "doc_kind"), **how).collect(), {}
+        assert len(rows) == len({r.id for r in rows})
+        for r in rows:
+            assert 1 <= r.copies <= most[r.source] and r.tokens == size[r.id]
+            by[r.source] = by.get(r.source, 0) + r.copies * r.tokens
+        return by
+
+    by = drawn(exact=True)
     for s, share in (("a", 0.2), ("b", 0.5), ("c", 0.3)):
-        assert by[s] / total == pytest.approx(share, abs=0.001)
-    assert total == pytest.approx(min(3 * held["b"] / 0.5, 2 * held["c"] / 0.3, held["a"] / 0.2), rel=0.01)
-    report = {r.source: r for r in mixing.shares(mixing.mix(df, targets, total=1e9), targets).collect()}
+        assert by[s] / sum(by.values()) == pytest.approx(share, abs=0.001)
+    assert sum(by.values()) == pytest.approx(min(3 * held["b"] / 0.5, 2 * held["c"] / 0.3, held["a"] / 0.2), rel=0.01)
+    # As large as the corpus: b and c give all they may, a fills up.
+    by = drawn()
+    assert by["b"] == 3 * held["b"] and by["c"] == 2 * held["c"] and by["a"] == pytest.approx(sum(held.values()) - by["b"] - by["c"], rel=0.01)
+    report = {r.source: r for r in mixing.shares(mixing.mix(df, targets, ("lang", "doc_kind"), total=1e9), targets).collect()}
     assert report["b"].most_copies == 3 and report["empty"].tokens == 0
-    assert mixing.mix(df.limit(0), targets).count() == 0
+    assert mixing.mix(df.limit(0), targets, ("lang", "doc_kind")).count() == 0
+
+
+def test_one_tiny_source_does_not_shrink_the_mixture(spark):
+    docs = [(i, "ab"[i % 2], "en", "law", 20 + i % 7) for i in range(2000)] + [(5000, "tiny", None, None, 30)]
+    df = spark.createDataFrame(docs, "id long, source string, lang string, topic string, tokens long")
+    targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.2, 1), ("tiny", 0.4, 1)], "source string, target_share double, max_repeats int")
+    rows = mixing.shares(mixing.mix(df, targets), targets).collect()
+    by, whole = {r.source: r for r in rows}, sum(d[4] for d in docs)
+    assert sum(r.tokens for r in rows) == pytest.approx(whole, rel=0.01) and by["tiny"].tokens == 30
+    assert by["a"].tokens == pytest.approx(2 * by["b"].tokens, rel=0.01)
 
 
 def test_raking_meets_all_marginals_without_caps():
@@ -289,19 +306,52 @@ def test_raking_meets_all_marginals_without_caps():
 
 # --- subjects
 
+SEA, PLAIN = "Nothing surprised us more than plankton samples.", "The weather held for 5 days."
+
 
 def test_subjects_by_share_of_sentences(spark):
-    sea, other = "Nothing surprised us more than krill counts.", "The weather held for 5 days."
-    rows = [(1, " ".join([sea] + [other] * 4)), (2, " ".join([sea] + [other] * 5)), (3, "She learned plankton samlpes the hard way. The bill of lading"), (4, ""), (5, None), (6, "The exam hall in Xyz is now a bakery."), (7, (sea + "\n") * 5000), (1, " ".join([sea] + [other] * 4)), (None, sea), (8, " \n ")]
+    rows = [(1, " ".join([SEA] + [PLAIN] * 4)), (2, " ".join([SEA] + [PLAIN] * 5)), (3, "She learned PLANKTON samples the hard way. The tribunal\nmet"), (4, ""), (5, None), (6, "The planks of the courtesy boat."), (7, (SEA + "\n") * 5000), (1, " ".join([SEA] + [PLAIN] * 4)), (None, SEA), (8, " \n ")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, subject string")
-    assert {tuple(r) for r in subjects.subjects(df).collect()} == {(1, "science"), (3, "science"), (3, "law"), (7, "science")}
-    assert subjects.subjects(df.limit(0)).count() == 0
-    labels = spark.createDataFrame([(1, "science"), (3, "law"), (7, "science")], "doc_id long, subject string")
-    limits = subjects.calibrate(df, labels)
-    assert limits["law"] == 0.2 and {r.subject for r in subjects.subjects(df, limits).collect()} == {"science", "law"}
-    assert {r.subject: r.documents for r in subjects.composition(df).collect()} == {"science": 3, "law": 1}
-
-
-@pytest.mark.parametrize(("a", "b", "near"), [("abc", "abd", True), ("abc", "acb", True), ("abc", "ab", True), ("abc", "abcd", True), ("abc", "xbd", False), ("", "a", True)])
-def test_one_edit(a, b, near):
-    assert subjects.one_edit(a, b) is near
+    none = spark.createDataFrame([], "doc_id long, subject string")
+    model = subjects.fit(df, none)
+    assert {tuple(r) for r in subjects.subjects(df, model).collect()} == {(1, "science"), (3, "science"), (3, "law"), (7, "science")}
+    assert subjects.subjects(df.limit(0), subjects.fit(df.limit(0), none)).count() == 0
+    assert {r.subject: r.documents for r in subjects.composition(df, model).collect()} == {"science": 3, "law": 1}
+
+
+def test_terms_are_learned_weighed_and_thresholds_calibrated(spark):
+    rnd, rows, labels = random.Random(4), [], []
+    for i in range(800):
+        topic = {0: ("science", "the murky gyre"), 1: ("law", "the parchment seal")}.get(i % 10)
+        # "court" stands anywhere, so it says nothing; a third of the documents only mention their term.
+        few, n = i % 3 == 0, rnd.randint(1, 6)
+        own = [f"On day {i} we saw {topic[1]} again"] * (1 if few else n) if topic else []
+        rows.append((i, ". ".join(own + ["The court yard was wet"] * (9 if few else n) + ["It rained"])))
+        if not few and topic:
+            labels.append((i, topic[0]))
+        elif not topic:
+            labels.append((i, "other"))
+    df, named = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (None, "law"), (9999, None), (9998, "law")], "doc_id long, subject string")
+    model = subjects.fit(df, named)
+    assert model.terms[" gyre "]["science"] > 0.9 and " court " not in model.terms and " we saw the " not in model.terms
+    assert {"science", "law"} <= set(model.thresholds)
+    assert {tuple(r) for r in subjects.subjects(df, model).where("subject <> 'other'").collect()} == {x for x in labels if x[1] != "other"}
+
+
+OUTSIDE = {
+    "navigation": "The navigator took a sextant sight and worked out the latitude. A lighthouse gave one line of position. The compass was checked at noon.",
+    "engineering": "Steam from the boiler drives the turbine. Each piston turns the crankshaft through a rod. A worn valve lowers the pressure.",
+    "hospitality": "Guests choose from the menu until ten. A waiter brings the dessert. The breakfast room is on the second floor.",
+    "sport_diving": "The football team won the championship in extra time. Their goalkeeper saved a penalty. The swimmers finished second.",
+    "law": "The court ruled that the defendant had broken the agreement. The plaintiff may appeal the verdict. A judge will hear the lawsuit in May.",
+    "medicine": "The patient came to the hospital with a fever. The surgeon cleaned the wound. No other symptoms were seen.",
+    "science": "Photosynthesis turns light into chemical energy. The hypothesis was tested in a laboratory. Two molecules of water are split.",
+    "software": "The compiler turns source code into machine instructions. A bug in the database driver broke the login. The server was deployed again.",
+    "finance": "The bank raised its interest rates twice. Investors expect a smaller dividend. Taxes on revenue will rise.",
+    "education": "Students hand in their essays on Friday. The teacher marks the homework. A new curriculum starts at the university.",
+}
+
+
+@pytest.mark.parametrize("subject", OUTSIDE)
+def test_texts_from_elsewhere(subject):
+    assert subjects.SubjectModel(subjects.curated_terms()).topic(OUTSIDE[subject]) == subject
