@@ -162,4 +162,15 @@ SELECT o.id, o.source_id AS source, CASE WHEN gone IS NULL THEN description ELSE
   array_to_string([x FOR x, i IN string_split(description, chr(10)) IF NOT list_contains(gone, i::INT)], chr(10)) END AS text,
   coalesce(len(gone), 0)::INT AS removed_lines
 FROM once o LEFT JOIN gone g ON o.id = g.id""",
+    "p6_blocks": _LINES.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, lettered AS (SELECT id, source_id, k, lead(k) OVER (PARTITION BY id ORDER BY line_no) AS n FROM keyed WHERE k <> ''),
+strong AS (SELECT source_id, k, n, count(DISTINCT id) AS w FROM lettered JOIN total USING (source_id) WHERE k <> n GROUP BY source_id, k, n, total
+           HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.03 * total),
+links AS (SELECT source_id, k AS a, n AS b, w FROM strong UNION ALL SELECT source_id, n, k, w FROM strong),
+reach(source_id, node, root) AS (SELECT source_id, k, k FROM kept UNION SELECT r.source_id, l.b, r.root FROM reach r JOIN links l ON l.source_id = r.source_id AND l.a = r.node),
+block AS (SELECT source_id, node AS k, min(root) AS block FROM reach GROUP BY source_id, node),
+seen AS (SELECT source_id, k, count(DISTINCT id) AS support FROM keyed SEMI JOIN kept USING (source_id, k) GROUP BY source_id, k),
+best AS (SELECT source_id, a AS k, max(w) AS edge_support FROM links GROUP BY source_id, a)
+SELECT source_id AS source, count(*) AS lines, max(support) AS support, max(edge_support) AS edge_support
+FROM block JOIN seen USING (source_id, k) LEFT JOIN best USING (source_id, k) GROUP BY source_id, block""",
 }

@@ -142,6 +142,27 @@ def test_repeated_lines_equal_a_count(spark):
     assert boilerplate.boilerplate_lines(df.limit(0)).count() == 0
 
 
+def test_blocks_of_many_lines_and_both_joins(spark, monkeypatch):
+    rows = []
+    for i in range(30):
+        own = [f"own {'x' * i}"]
+        # a-b-c always together; d only alone; e after c in four documents, too few for an edge.
+        rows.append((i, "s", "\n".join(own + (["a", "---", "b", "c"] if i < 10 else []) + (["e"] if i < 4 or 10 <= i < 20 else []) + (["d", *own] if i > 24 else []))))
+    df = spark.createDataFrame(rows, "id long, source_id string, description string")
+    got = [sorted((r.support, r.edge_support) for r in rs) for rs in _by_block(boilerplate.boilerplate_blocks(df).collect())]
+    assert sorted(got, key=str) == [[(10, 10)] * 3, [(14, None)], [(5, None)]]
+    found = {tuple(r) for r in boilerplate.boilerplate_lines(df).collect()}
+    monkeypatch.setattr(boilerplate, "BROADCAST_LINES", 0)
+    assert {tuple(r) for r in boilerplate.boilerplate_lines(df).collect()} == found and (0, 3) not in found and {(0, 2), (0, 4), (0, 5), (0, 6), (29, 2)} <= found
+
+
+def _by_block(rows):
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r.block, []).append(r)
+    return list(blocks.values())
+
+
 # --- languages
 
 
