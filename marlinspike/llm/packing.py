@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,14 +52,14 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np
     return np.array(bounds[::-1])
 
 
-def fill_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> list[dict[str, int]]:
+def fill_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int, top_up: bool = True) -> list[dict[str, int]]:
     """How containers are filled: rows of (bucket, first, items, per, container, place).
 
     Items `first` .. `first` + `items` - 1 of a bucket go `per` to a container, into containers from number
-    `container` on, from place `place` on. Batches form by token budget from the longest bucket down: a
-    container takes as many items of a bucket as the rest of its budget allows, then of the next shorter one
-    that fits; one such mixture is repeated while its buckets last, so the plan's size depends on the number of
-    buckets and not of items.
+    `container` on, from place `place` on. Batches form inside a bucket by token budget, from the longest bucket
+    down: a container takes as many items of the bucket as the budget allows. With top_up the room that a batch
+    leaves is filled by a batch of the next shorter bucket that fits, and so on; one such mixture is repeated
+    while its buckets last, so the plan's size depends on the number of buckets and not of items.
     """
     left, used = counts.astype(np.int64).copy(), np.zeros(len(counts), dtype=np.int64)
     plan, container = [], 0
@@ -70,6 +70,8 @@ def fill_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> list[dic
                 take = int(min(left[b], room // bounds[b]))
                 mix.append((b, take))
                 room -= take * int(bounds[b])
+                if not top_up:
+                    break
         times = min(int(left[b]) // take for b, take in mix)
         place = 1
         for b, take in mix:
@@ -81,70 +83,111 @@ def fill_plan(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> list[dic
     return plan
 
 
-def _rank(by: Sequence[str], salts: int) -> tuple[Column, Column]:
-    return F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), F.row_number().over(Window.partitionBy(*by, "salt").orderBy("id"))
-
-
-def pack(sizes: DataFrame, capacity: int, buckets: int = 96, rows_per_task: int = 100_000) -> DataFrame:
-    """(id, piece, container, place, tokens, unused): where each text goes in containers of `capacity` tokens.
-
-    sizes: (id, tokens) with each id once, as from count_tokens(). A text of at most `capacity` tokens is piece
-    1 and never split; a longer one gives full pieces that fill containers of their own and a last piece that
-    is packed as any text. Texts without tokens take no place: container, place and unused are null. unused is
-    what the piece's whole container leaves free. An empty table gives no rows; ties are settled by id.
-
-    The driver holds the histogram of lengths (at most `capacity` rows) and the plan (bounded by the buckets),
-    nothing by document. Items are numbered inside their bucket by a count per (bucket, salt) and a row number
-    inside, so a bucket that holds a third of all rows is spread over many tasks.
+@dataclass
+class PackPlan:
+    """The bucket bounds of one pack size and how its containers are filled, from the histogram of lengths."""
+
+    capacity: int
+    bounds: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    steps: list[dict[str, int]] = field(default_factory=list)
+    containers: int = 0
+    whole: int = 0
+    padding_share: float | None = None
+    inside_unused_share: float | None = None
+
+    @classmethod
+    def of(cls, capacity: int, histogram: list[tuple[int, int]], whole: int, buckets: int, top_up: bool) -> PackPlan:
+        """whole: full containers of pieces of longer texts, which stand apart from the buckets."""
+        if not histogram:
+            return cls(capacity, whole=whole)
+        lengths, counts = (np.array(x, dtype=np.int64) for x in zip(*sorted(histogram)))
+        bounds = optimal_buckets(lengths, counts, buckets)
+        held = np.bincount(np.searchsorted(bounds, lengths), weights=counts, minlength=len(bounds)).astype(np.int64)
+        steps = fill_plan(bounds, held, capacity, top_up)
+        tokens = int((lengths * counts).sum())
+        inside = int((-(-held // (capacity // bounds))).sum())
+        return cls(
+            capacity, bounds, steps, max(p["container"] + p["items"] // p["per"] for p in steps), whole,
+            round(float((held * bounds).sum() - tokens) / tokens, 6), round(1 - (tokens + whole * capacity) / ((inside + whole) * capacity), 6),
+        )
+
+
+def _pieces(sizes: DataFrame, capacities: dict[str, int]) -> DataFrame:
+    """(pack_name, capacity, id, full, rest): how many full pieces a text gives in each pack size, and what is left of it."""
+    packs = F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(c).alias("capacity")) for name, c in capacities.items()])
+    each = sizes.select("id", "tokens", F.explode(packs).alias("p")).select("p.pack_name", "p.capacity", "id", "tokens")
+    return each.select("pack_name", "capacity", "id", F.floor(F.col("tokens") / F.col("capacity")).cast("int").alias("full"), (F.col("tokens") % F.col("capacity")).cast("int").alias("rest"))
+
+
+def plan_packs(sizes: DataFrame, capacities: dict[str, int], buckets: int = 96, top_up: bool = True) -> dict[str, PackPlan]:
+    """The plan of each pack size, from one histogram query; the driver holds at most a row per length and pack size."""
+    if not 1 <= len(capacities) <= 100 or any(c < 1 for c in capacities.values()):
+        raise ValueError("one to 100 pack sizes, each of a token or more")
+    totals = _pieces(sizes.where("tokens > 0"), capacities).groupBy("pack_name", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect()
+    return {
+        name: PackPlan.of(c, [(r["rest"], r["n"]) for r in totals if r["pack_name"] == name and r["rest"]], sum(r["full"] for r in totals if r["pack_name"] == name), buckets, top_up)
+        for name, c in capacities.items()
+    }
+
+
+def pack(sizes: DataFrame, capacities: dict[str, int], buckets: int = 96, rows_per_task: int = 100_000, top_up: bool = True, plans: dict[str, PackPlan] | None = None) -> DataFrame:
+    """(pack_name, id, piece, container, place, tokens, unused): where each text goes in containers of each pack size.
+
+    sizes: (id, tokens) with each id once, as from count_tokens(); capacities: pack name -> tokens. A text of at
+    most the capacity is piece 1 and never split; a longer one gives full pieces that fill containers of their
+    own and a last piece that is packed as any text. Texts without tokens take no place: container, place and
+    unused are null. unused is what the piece's whole container leaves free. An empty table gives no rows; ties
+    are settled by id. With top_up=False batches stay inside their buckets, as the plain method has it; a text
+    of over half the capacity then has a container to itself.
+
+    All pack sizes run in one plan, the size being part of every key. Items are numbered inside their bucket by
+    a count per (pack, bucket, salt) and a row number inside, so a bucket that holds a third of all rows is
+    spread over many tasks.
     """
     spark = sizes.sparkSession
+    plans = plans or plan_packs(sizes, capacities, buckets, top_up)
     known = sizes.where("tokens > 0").select("id", "tokens")
-    pieces = known.select("id", F.floor(F.col("tokens") / capacity).cast("int").alias("full"), (F.col("tokens") % capacity).cast("int").alias("rest"))
-    totals = pieces.groupBy("rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect()
-    items = sum(r["n"] for r in totals)
-    histogram = sorted((r["rest"], r["n"]) for r in totals if r["rest"])
-    whole = sum(r["full"] for r in totals)
-    salts = max(8, -(-items // rows_per_task))
-    nothing = sizes.where("tokens is null or tokens <= 0").select("id", F.lit(1).alias("piece"), F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("place"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("int").alias("unused"))
+    items = sum(p["items"] for plan in plans.values() for p in plan.steps) + sum(plan.whole for plan in plans.values())
+    packs = F.explode(F.array(*[F.lit(name) for name in capacities])).alias("pack_name")
+    nothing = sizes.where("tokens is null or tokens <= 0").select(packs, "id", F.lit(1).alias("piece"), F.lit(None).cast("long").alias("container"), F.lit(None).cast("int").alias("place"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("int").alias("unused"))
     if not items:
         return nothing
-    # Full pieces: container numbers follow those of the plan.
-    salt, _ = _rank([], salts)
-    parts = []
-    containers = 0
-    if histogram:
-        lengths, counts = np.array([x for x, _ in histogram], dtype=np.int64), np.array([n for _, n in histogram], dtype=np.int64)
-        bounds = optimal_buckets(lengths, counts, buckets)
-        which = np.searchsorted(bounds, lengths)
-        plan = fill_plan(bounds, np.bincount(which, weights=counts, minlength=len(bounds)).astype(np.int64), capacity)
-        containers = max(p["container"] + p["items"] // p["per"] for p in plan)
-        edges = [int(x) for x in bounds]
-        bucket = F.size(F.filter(F.lit(edges).cast("array<int>"), lambda x: x < F.col("rest"))).alias("bucket")
-        placed = pieces.where("rest > 0").select("id", "rest", "full", bucket, salt)
-        per = placed.groupBy("bucket", "salt").agg(F.count("*").alias("n"))
-        offset = per.select("bucket", "salt", (F.sum("n").over(Window.partitionBy("bucket").orderBy("salt")) - F.col("n")).alias("offset"))
-        _, number = _rank(["bucket"], salts)
-        ranked = placed.withColumn("number", number).join(offset, ["bucket", "salt"]).withColumn("rank", F.col("offset") + F.col("number") - 1)
-        steps = spark.createDataFrame([tuple(p.values()) for p in plan], "bucket int, first long, items long, per int, container long, place int")
-        at = F.col("rank") - F.col("first")
-        found = ranked.join(steps, (ranked["bucket"] == steps["bucket"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("items")))
-        parts.append(found.select("id", (F.col("full") + 1).alias("piece"), (F.col("container") + F.floor(at / F.col("per"))).cast("long").alias("container"), (F.col("place") + at % F.col("per")).cast("int").alias("place"), F.col("rest").cast("long").alias("tokens")))
-    if whole:
-        long = pieces.where("full > 0").select("id", "full", salt)
-        per = long.groupBy("salt").agg(F.sum("full").alias("n"))
-        offset = per.select("salt", (F.sum("n").over(Window.orderBy("salt")) - F.col("n")).alias("offset"))
-        before = F.sum("full").over(Window.partitionBy("salt").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-        numbered = long.withColumn("before", F.coalesce(before, F.lit(0))).join(offset, "salt")
-        exploded = numbered.select("id", "before", "offset", F.posexplode(F.sequence(F.lit(1), F.col("full"))).alias("at", "piece"))
-        parts.append(exploded.select("id", "piece", (F.lit(containers) + F.col("offset") + F.col("before") + F.col("at")).cast("long").alias("container"), F.lit(1).alias("place"), F.lit(capacity).cast("long").alias("tokens")))
-    rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    used = rows.groupBy("container").agg((F.lit(capacity) - F.sum("tokens")).cast("int").alias("unused"))
-    return rows.join(used, "container").select("id", "piece", "container", "place", "tokens", "unused").union(nothing)
-
-
-def unused_space(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, tokens, unused, unused_share."""
-    filled = packed.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("tokens"))
-    return filled.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.count("*") * capacity - F.sum("tokens")).alias("unused")).select(
-        "containers", "tokens", "unused", F.round(F.try_divide(F.col("unused"), F.col("containers") * capacity), 6).alias("unused_share")
-    )
+    salts = max(8, -(-items // (rows_per_task * max(1, len(capacities)))))
+    edges = F.create_map(*[x for name, plan in plans.items() for x in (F.lit(name), F.lit([int(b) for b in plan.bounds]).cast("array<int>"))])
+    bucket = F.size(F.filter(F.element_at(edges, F.col("pack_name")), lambda x: x < F.col("rest")))
+    pieces = _pieces(known, capacities).select("pack_name", "capacity", "id", "full", "rest", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
+    group = ["pack_name", "bucket", "salt"]
+
+    def numbered(rows: DataFrame, size: str) -> DataFrame:
+        """Rows with `before`: the sum of `size` over the rows of lower salt, then lower id, in their pack and bucket."""
+        per = rows.groupBy(*group).agg(F.sum(size).alias("n"))
+        offset = per.select(*group, (F.sum("n").over(Window.partitionBy("pack_name", "bucket").orderBy("salt")) - F.col("n")).alias("offset"))
+        inside = F.sum(size).over(Window.partitionBy(*group).orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offset, group).withColumn("before", F.col("offset") + F.col("inside"))
+
+    rests = numbered(pieces.where("rest > 0").withColumn("bucket", bucket).withColumn("one", F.lit(1)), "one")
+    steps = spark.createDataFrame([(name, *p.values()) for name, plan in plans.items() for p in plan.steps], "pack_name string, bucket int, first long, items long, per int, container long, place int")
+    at = F.col("before") - F.col("first")
+    ends = rests.alias("r").join(steps.alias("s"), (F.col("r.pack_name") == F.col("s.pack_name")) & (F.col("r.bucket") == F.col("s.bucket")) & (F.col("before") >= F.col("first")) & (F.col("before") < F.col("first") + F.col("items")))
+    ends = ends.select("r.pack_name", "capacity", "id", (F.col("full") + 1).alias("piece"), (F.col("container") + F.floor(at / F.col("per"))).cast("long").alias("container"), (F.col("place") + at % F.col("per")).cast("int").alias("place"), F.col("rest").cast("long").alias("tokens"))
+    # Full pieces: their containers follow those of the plan.
+    after = F.element_at(F.create_map(*[F.lit(x) for name, plan in plans.items() for x in (name, plan.containers)]), F.col("pack_name"))
+    wholes = numbered(pieces.where("full > 0").withColumn("bucket", F.lit(-1)), "full").select("pack_name", "capacity", "id", "before", F.posexplode(F.sequence(F.lit(1), F.col("full"))).alias("at", "piece"))
+    wholes = wholes.select("pack_name", "capacity", "id", "piece", (after + F.col("before") + F.col("at")).cast("long").alias("container"), F.lit(1).alias("place"), F.col("capacity").cast("long").alias("tokens"))
+    filled = F.sum("tokens").over(Window.partitionBy("pack_name", "container"))
+    return ends.union(wholes).select("pack_name", "id", "piece", "container", "place", "tokens", (F.col("capacity") - filled).cast("int").alias("unused")).union(nothing)
+
+
+def unused_space(packed: DataFrame, plans: dict[str, PackPlan]) -> DataFrame:
+    """(pack_name, containers, tokens, unused, unused_share, padding_share, inside_unused_share) of each pack size that holds anything.
+
+    padding_share is what the buckets' bounds add to the texts' tokens; inside_unused_share is the space that
+    batches kept inside their buckets would leave unused.
+    """
+    spark = packed.sparkSession
+    known = spark.createDataFrame([(name, p.capacity, p.padding_share, p.inside_unused_share) for name, p in plans.items()], "pack_name string, capacity int, padding_share double, inside_unused_share double")
+    by = packed.where("container is not null").groupBy("pack_name").agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    return by.join(known, "pack_name").select(
+        "pack_name", "containers", "tokens", (F.col("containers") * F.col("capacity") - F.col("tokens")).alias("unused"),
+        F.round(1 - F.try_divide(F.col("tokens"), F.col("containers") * F.col("capacity")), 6).alias("unused_share"), "padding_share", "inside_unused_share",
+    )

@@ -64,30 +64,21 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched_values(_postings(spark, d), _lists(spark, d), FREE_FIELDS)
 
 
-def _packs(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
+def _packs(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
     """Token counts, and the pack sizes (a small fixed table of parameters)."""
-    packs = table(spark, d, "pack_sizes").orderBy("capacity_tokens", "pack_name").limit(101).collect()
-    if len(packs) > 100:
-        raise ValueError("more than 100 pack sizes")
-    return count_tokens(table(spark, d, "documents")), packs
+    packs = table(spark, d, "pack_sizes").where("pack_name is not null and capacity_tokens > 0").orderBy("capacity_tokens", "pack_name").limit(101).collect()
+    return count_tokens(table(spark, d, "documents")), {r["pack_name"]: r["capacity_tokens"] for r in packs}
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    sizes, packs = _packs(spark, d)
-    parts = [packing.pack(sizes, r["capacity_tokens"]).select(F.lit(r["pack_name"]).alias("pack_name"), "*") for r in packs]
-    return _all(parts).withColumnRenamed("id", "doc_id")
+    return packing.pack(*_packs(spark, d)).withColumnRenamed("id", "doc_id")
 
 
 def p8_unused(spark: SparkSession, d: str) -> DataFrame:
+    """Unused space by pack size, and what the buckets' padding and batches inside buckets alone would leave."""
     sizes, packs = _packs(spark, d)
-    return _all([packing.unused_space(packing.pack(sizes, r["capacity_tokens"]), r["capacity_tokens"]).select(F.lit(r["pack_name"]).alias("pack_name"), "*") for r in packs])
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    plans = packing.plan_packs(sizes, packs)
+    return packing.unused_space(packing.pack(sizes, packs, plans=plans), plans)
 
 
 def _mixture(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:

@@ -242,7 +242,7 @@ def test_containers_hold_each_text_once_and_whole(spark):
     rng = random.Random(1)
     sizes = [(i, rng.choice([0, 5, 40, 41, 77, 100, 130, 355])) for i in range(500)] + [(900, None)]
     df = spark.createDataFrame(sizes, "id long, tokens long")
-    rows = packing.pack(df, 100, buckets=4, rows_per_task=50).collect()
+    rows = [r for r in packing.pack(df, {"small": 100, "large": 1000}, buckets=4, rows_per_task=50).collect() if r.pack_name == "small"]
     placed = [r for r in rows if r.container is not None]
     fill, seats, pieces = {}, set(), {}
     for r in placed:
@@ -257,13 +257,25 @@ def test_containers_hold_each_text_once_and_whole(spark):
             parts = sorted(pieces[i])
             assert [p for p, _ in parts] == list(range(1, len(parts) + 1)) and sum(t for _, t in parts) == n and len(parts) == -(-n // 100)
     assert {r.id for r in rows if r.container is None} == {i for i, n in sizes if not n}
-    share = packing.unused_space(packing.pack(df, 100), 100).first()
-    assert share.tokens == sum(n or 0 for _, n in sizes) and share.unused_share < 0.15
-    assert packing.pack(df.limit(0), 100).count() == 0
+    plans = packing.plan_packs(df, {"small": 100})
+    share = packing.unused_space(packing.pack(df, {"small": 100}, plans=plans), plans).first()
+    assert share.tokens == sum(n or 0 for _, n in sizes) and share.unused_share < 0.15 and share.inside_unused_share > share.unused_share
+    assert packing.pack(df.limit(0), {"small": 100}).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(df, {"none": 0})
+
+
+def test_batches_inside_their_buckets(spark):
+    df = spark.createDataFrame([(i, 30 if i % 2 else 60) for i in range(100)], "id long, tokens long")
+    plans = packing.plan_packs(df, {"p": 100}, top_up=False)
+    inside = packing.unused_space(packing.pack(df, {"p": 100}, plans=plans), plans).first()
+    assert inside.containers == 50 + 17 and inside.unused_share == inside.inside_unused_share and inside.padding_share == 0
+    plans = packing.plan_packs(df, {"p": 100})
+    assert packing.unused_space(packing.pack(df, {"p": 100}, plans=plans), plans).first().containers == 50
 
 
 def test_one_length_for_all(spark):
-    rows = packing.pack(spark.range(1000).select("id", F.lit(30).cast("long").alias("tokens")), 100, rows_per_task=100)
+    rows = packing.pack(spark.range(1000).select("id", F.lit(30).cast("long").alias("tokens")), {"p": 100}, rows_per_task=100)
     assert rows.select("container").distinct().count() == 334 and rows.groupBy("container").count().agg(F.max("count")).first()[0] == 3
 
 
