@@ -102,7 +102,7 @@ class TokenSets:
                 for t, n in common.items():
                     most = max(1, round(self.tolerance * len(t)))
                     # An edit touches two letter pairs, a swap three.
-                    if t != word and len(t) >= 3 and n >= len(set(t)) - 3 * most and (d := osa(word, t, most)) <= most:
+                    if t != word and len(t) >= 3 and abs(len(t) - len(word)) <= most and n >= len(t) - 2 * most and (d := osa(word, t, most)) <= most:
                         found.append((t, 1 - d / max(len(t), len(word))))
             self.known[word] = found
         return found
