@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -47,7 +48,11 @@ class PhraseAutomaton:
         """Longest non-overlapping hits in text order."""
         found = sorted(self.hits(text), key=lambda h: (h[0] - h[1], h[0]))
         kept: list[tuple[int, int, object]] = []
+        starts: list[int] = []
         for hit in found:
-            if all(hit[1] <= k[0] or hit[0] >= k[1] for k in kept):
-                kept.append(hit)
-        return sorted(kept, key=lambda h: h[0])
+            at = bisect_left(starts, hit[0])
+            # Kept hits don't overlap one another, so only the neighbours can overlap a new one.
+            if (at == 0 or kept[at - 1][1] <= hit[0]) and (at == len(kept) or hit[1] <= kept[at][0]):
+                kept.insert(at, hit)
+                starts.insert(at, hit[0])
+        return kept

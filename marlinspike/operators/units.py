@@ -32,16 +32,16 @@ CURRENCY_ALIASES = {
 }
 #: Words for a period that may stand right beside a figure.
 PERIOD_ALIASES = {
-    "hour": ["per hour", "an hour", "a hour", "/hour", "/ hour", "/hr", "/ hr", "/h", "/ h", "hourly", "/hourly", "/ hourly", "by the hour", "one hour", "p.h.", "pro stunde", "/stunde", "za godzinę"],
-    "day": ["per day", "a day", "/day", "/ day", "/d", "/ d", "daily", "/daily", "/ daily", "by the day", "one day", "p.d.", "pro tag", "/tag", "dziennie", "в день"],
-    "week": ["per week", "a week", "/week", "/ week", "/wk", "/ wk", "weekly", "/weekly", "/ weekly", "by the week", "one week", "p.w.", "pro woche", "/woche", "tygodniowo", "в неделю"],
-    "month": ["per month", "a month", "/month", "/ month", "/mo", "/ mo", "monthly", "/monthly", "/ monthly", "by the month", "one month", "p.m.", "pcm", "mtl.", "mtl", "/monat", "/ monat", "pro monat", "miesięcznie", "в месяц", "/мес.", "/ мес.", "/мес", "мес."],
-    "year": ["per year", "a year", "/year", "/ year", "/yr", "/ yr", "yearly", "/yearly", "/ yearly", "annually", "per annum", "/annum", "p.a.", "annual", "by the year", "one year", "a full year", "full year", "pro jahr", "/jahr", "rocznie", "в год"],
+    "hour": ["per hour", "an hour", "a hour", "/hour", "/ hour", "/hr", "/ hr", "/h", "/ h", "ph", "hourly", "/hourly", "/ hourly", "by the hour", "one hour", "p.h.", "pro stunde", "/stunde", "za godzinę"],
+    "day": ["per day", "a day", "/day", "/ day", "/d", "/ d", "pd", "daily", "/daily", "/ daily", "by the day", "one day", "p.d.", "pro tag", "/tag", "dziennie", "в день"],
+    "week": ["per week", "a week", "/week", "/ week", "/wk", "/ wk", "pw", "weekly", "/weekly", "/ weekly", "by the week", "one week", "p.w.", "pro woche", "/woche", "tygodniowo", "в неделю"],
+    "month": ["per month", "a month", "/month", "/ month", "/mo", "/ mo", "monthly", "/monthly", "/ monthly", "by the month", "one month", "p.m.", "pm", "pcm", "mtl.", "mtl", "/monat", "/ monat", "pro monat", "miesięcznie", "в месяц", "/мес.", "/ мес.", "/мес", "мес."],
+    "year": ["per year", "a year", "/year", "/ year", "/yr", "/ yr", "yearly", "/yearly", "/ yearly", "annually", "per annum", "/annum", "p.a.", "pa", "annual", "by the year", "one year", "a full year", "full year", "pro jahr", "/jahr", "rocznie", "в год"],
 }
 #: Further notations in a field that holds nothing but the period.
 PERIOD_FIELD = {"h": "hour", "hr": "hour", "hour": "hour", "d": "day", "day": "day", "wk": "week", "week": "week", "mo": "month", "mth": "month", "month": "month", "yr": "year", "year": "year", "annum": "year"}
 SCALE_ALIASES = {"thousands of": Decimal(1000), "cents of": Decimal("0.01"), "cents": Decimal("0.01"), "in thousands": Decimal(1000)}
-#: Words that may surround a figure without saying anything about its unit.
+#: Words that may stand beside a figure without saying what it counts; a figure that has no unit may have no other words about it.
 FILLER = ["salary", "pay", "wage", "wages", "approx", "approx.", "about", "ca", "ca.", "plus keep", "plus", "keep", "depending on rank", "to", "and", "gross", "net", "basic", "figure"]
 LOW_WORDS, HIGH_WORDS = ["from", "min.", "min", "at least", "starting at"], ["up to", "max.", "max", "not more than"]
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())} | {"thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
@@ -83,48 +83,102 @@ def _value(m: re.Match) -> Decimal:
     return Decimal(total * (100 if m["hundreds"] or "hundred" in (m["words"] or "") else 1) * (1000 if m["words"] else 1))
 
 
+_OTHER = re.compile(r"[^\W\d_]|[$€£¥₹₩₺₴₫₦₱฿]")
+_NEXT_WORD = re.compile(r"\s*([^\W\d_]+|[¥₹₩₺₴₫₦])")
+_LAST_WORD = re.compile(r"([^\W\d_]+|[¥₹₩₺₴₫₦])[.:]?\s*$")
+
+
+class _Figures:
+    """The numbers of a pay text, the unit aliases about them, and what is neither."""
+
+    def __init__(self, s: str):
+        self.s, self.numbers = s, list(_NUMBER.finditer(s))
+        rest = list(s)
+        for m in self.numbers:
+            rest[m.start() : m.end()] = " " * (m.end() - m.start())
+        # A mark between letters and a figure ("us$1", "a day10") doesn't hide the alias: figures became blanks.
+        self.found = _aliases().longest("".join(rest)) if self.numbers else []
+        for start, end, _ in self.found:
+            rest[start:end] = " " * (end - start)
+        #: The text without its numbers and aliases.
+        self.left = "".join(rest)
+
+    def plain(self) -> bool:
+        return not _OTHER.search(self.left)
+
+    def beside(self, m: re.Match, *kinds: str) -> bool:
+        """Whether an alias of such a kind stands right beside a number, or only other aliases between."""
+        for start, end, (kind, _) in self.found:
+            if kind in kinds:
+                a, b = (end, m.start()) if end <= m.start() else (m.end(), start)
+                if 0 <= b - a <= 40 and not _OTHER.search(self.left, a, b) and not re.search(r"\d", self.s[a:b]) and self.s[a:b].count(",") < 2:
+                    return True
+        return False
+
+    def counts_other_things(self, m: re.Match) -> bool:
+        """Whether the word or sign right beside a number is no alias: "3 meals", "rs 60 000"."""
+        after, before = _NEXT_WORD.match(self.left, m.end()), _LAST_WORD.search(self.left[max(0, m.start() - 30) : m.start()])
+        covered = lambda at: any(start <= at < end for start, end, _ in self.found)
+        after_is = after and not re.search(r"[^\s]", self.s[m.end() : after.start(1)]) and not covered(after.start(1))
+        before_is = before and not self.s[m.start() - len(before[0]) + len(before[1]) : m.start()].strip(".: ")
+        return bool(after_is or before_is)
+
+    def nearest(self, kind: str, first: re.Match, last: re.Match) -> object | None:
+        """What the alias of a kind nearest to a figure says; one behind it goes before one ahead at the same distance."""
+        ranked = [(start - last.end() if start >= last.end() else first.start() - end + 0.5 if end <= first.start() else 0, start, code) for start, end, (k, code) in self.found if k == kind]
+        return min(ranked, key=lambda x: x[:2])[2] if ranked else None
+
+
 @lru_cache(200_000)
 def parse_pay(text: str) -> tuple[Decimal | None, Decimal | None, str | None, str | None] | None:
     """(minimum, maximum, currency, period) of a pay text, or None if it states no figure for pay.
 
-    A text with words other than unit aliases and filler isn't a figure for pay ("3 meals a day", "Rs 60 000":
-    a currency that isn't known). Of two different currencies or periods the one stated first holds.
+    A number is pay if a currency stands beside it, or else a period, whatever other words the text has ("USD
+    3000 per month plus bonus"); without any unit beside a number the text may hold nothing but filler. A number
+    beside a word that is neither counts other things ("3 meals a day") or bears a currency that isn't known
+    ("Rs 60 000"). The first such number holds, with the one it makes a range with; the currency and period
+    nearest to them are theirs.
     """
     s = text.lower().strip()
-    numbers = list(_NUMBER.finditer(s))
-    if not numbers or len(numbers) > 2:
+    of = _Figures(s)
+    if not of.numbers or any(not s[a.end() : b.start()].strip() for a, b in zip(of.numbers, of.numbers[1:])):
         return None
-    rest = list(s)
-    for m in numbers:
-        rest[m.start() : m.end()] = " " * (m.end() - m.start())
-    # A mark between letters and a figure ("us$1", "a day10") doesn't hide the alias: figures became blanks.
-    rest = "".join(rest)
-    found = _aliases().longest(rest)
-    left = list(rest)
-    for start, end, _ in found:
-        left[start:end] = " " * (end - start)
-    if any(ch.isalpha() or ch in "$€£¥₹" for ch in left):
-        return None
-    first = {}
-    for _, _, (kind, code) in found:
-        first.setdefault(kind, code)
-    values = [_value(m) for m in numbers]
-    if len(values) == 2:
-        between = s[numbers[0].end() : numbers[1].start()]
-        for start, end, (kind, _) in found:
-            if kind in ("currency", "filler") and numbers[0].end() <= start and end <= numbers[1].start() and s[start:end] != "to":
-                between = between.replace(s[start:end], " ", 1)
-        if not _RANGE.fullmatch(f" {between.strip()} "):
+    priced = [m for m in of.numbers if of.beside(m, "currency")]
+    if not priced:
+        priced = [m for m in of.numbers if of.beside(m, "period") and not of.counts_other_things(m)]
+    if not priced:
+        if not of.plain() or len(of.numbers) > 2:
             return None
-        if numbers[1]["k"] and not numbers[0]["k"] and values[0] * 1000 <= values[1]:
+        priced = of.numbers
+    at = of.numbers.index(priced[0])
+    # The other end of a range may stand before the one that has the unit.
+    pair = next(((a, b) for a, b in zip(of.numbers[max(0, at - 1) :], of.numbers[max(1, at) :]) if priced[0] in (a, b) and _is_range(of, a, b)), None)
+    if pair is None and len(of.numbers) == 2 and of.plain():
+        return None
+    first, last = pair or (priced[0], priced[0])
+    values = [_value(m) for m in (pair or (first,))]
+    if pair:
+        if last["k"] and not first["k"] and values[0] * 1000 <= values[1]:
             values[0] *= 1000
         low, high = values
     else:
-        low = None if "high" in first else values[0]
-        high = None if "low" in first or "+" in rest else values[0]
+        up, down = of.beside(first, "high"), of.beside(first, "low") or bool(re.match(r"[^\d,;]{0,12}\+", of.left[first.end() :]) and of.left[first.end() :].split("+")[0].strip() == "")
+        low = None if up else values[0]
+        high = None if down else values[0]
         if low is None and high is None:
             low = high = values[0]
-    return low, high, first.get("currency"), first.get("period")
+    return low, high, of.nearest("currency", first, last), of.nearest("period", first, last)
+
+
+def _is_range(of: _Figures, a: re.Match, b: re.Match) -> bool:
+    """Whether two numbers are the ends of a range: a dash or "to" between them, units aside."""
+    between = list(of.s[a.end() : b.start()])
+    for start, end, (kind, _) in of.found:
+        if kind in ("currency", "filler") and a.end() <= start and end <= b.start() and of.s[start:end] != "to":
+            between[start - a.end() : end - a.end()] = " " * (end - start)
+    if not "".join(between).strip():
+        return "between" in of.s[: a.start()] and " and " in of.s[a.end() : b.start()]
+    return bool(_RANGE.fullmatch(f" {' '.join(''.join(between).split())} "))
 
 
 _CUE = re.compile(r"\b(pay|wages?|salary|salaries|figures?)\b")

@@ -17,6 +17,15 @@ from marlinspike.operators.units import monthly_pay, parse_pay, stated_units
         ("1800 +", (1800, None, None, None)),
         ("US$ 1'650 - US$ 2'150", (1650, 2150, "USD", None)),
         ("13 500,50 NOK", (Decimal("13500.50"), Decimal("13500.50"), "NOK", None)),
+        ("USD 3000 per month plus bonus", (3000, 3000, "USD", "month")),
+        ("3000 EUR monthly negotiable", (3000, 3000, "EUR", "month")),
+        ("Salary: 4,500 USD/month (tax free)", (4500, 4500, "USD", "month")),
+        ("USD 250 per day, all found", (250, 250, "USD", "day")),
+        ("$ 4k-5k pm", (4000, 5000, "USD", "month")),
+        ("1800 per week, 2 meals a day and travel", (1800, 1800, None, "week")),
+        ("paid monthly in arrears: 90 GBP per day worked for 6 weeks", (90, 90, "GBP", "day")),
+        ("2 positions, up to EUR 400/day depending on experience", (None, 400, "EUR", "day")),
+        ("between 3000 and 3,500 EUR, rotation 5/5", (3000, 3500, "EUR", None)),
         ("12,50 - 19,50 € an hour plus keep", (Decimal("12.5"), Decimal("19.5"), "EUR", "hour")),
     ],
 )
@@ -25,7 +34,7 @@ def test_pay_notations(text, want):
     assert (low, high, currency, period) == want
 
 
-@pytest.mark.parametrize("text", ["3 meals a day", "Rs 60 000", "to be discussed after 2 months", "DOE", "", "x" * 100_000, "1 2 3 USD"])
+@pytest.mark.parametrize("text", ["3 meals a day", "Rs 60 000", "to be discussed after 2 months", "DOE", "", "x" * 100_000, "$" * 50_000, "1 2 3 USD", "Rs 60 000 per month plus bonus", "60 000 INR", "rotation 5/5, 28 days"])
 def test_texts_without_a_figure_for_pay(text):
     assert parse_pay(text) is None
 
