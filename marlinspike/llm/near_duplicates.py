@@ -175,23 +175,21 @@ def similar_texts(
     texts: as from distinct_texts(). Copies collapse to one text before anything else, pre-aggregated on the map
     side, so a text that makes up a third of all rows is sketched and compared once. Texts meet where a band of
     their SuperMinHash signatures is equal; the join drops a pair at once unless a 128-bit sketch of the same
-    signatures agrees in at least `bits` places (default: 2 standard deviations below what the threshold gives),
+    signatures agrees in at least `bits` places (default: 2.4 standard deviations below what the threshold gives),
     so a band that many texts share costs comparisons of two longs and no rows; the join is a sort-merge join
-    that the planner splits where a band is skewed. A pair that met in one band only, as chance pairs do, must
-    agree to within 1.2 standard deviations. Pairs that remain are checked on their whole texts. No bucket is
-    capped. A pair at similarity s is met with probability 1 - (1 - s^rows)^bands.
+    that the planner splits where a band is skewed. Pairs that remain are checked on their whole texts. No
+    bucket is capped. A pair at similarity s is met with probability 1 - (1 - s^rows)^bands, and passes the
+    sketch with 0.99 at the threshold and nearly 1 above; tests/llm/recall.py counts what is found.
     """
     expected = 128 * (1 + threshold) / 2
     spread = (expected * (1 - (1 + threshold) / 2)) ** 0.5
-    bits = int(expected - 2 * spread) if bits is None else bits
-    lone = max(bits, int(expected - 1.2 * spread))
+    bits = int(expected - 2.4 * spread) if bits is None else bits
     once = once_each(texts, min_words)
     marks = once.select(*ONCE).mapInPandas(_sketcher(width, bands, rows, min_words), "band long, key long, s1 long, s2 long")
     x, y = marks.alias("x"), marks.alias("y")
     agree = F.lit(128) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
     met = x.join(y.hint("merge"), F.col("x.band") == F.col("y.band")).where((F.col("x.key") < F.col("y.key")) & (agree >= bits))
-    counted = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("bands"), F.max(agree).alias("agree"))
-    pairs = counted.where((F.col("bands") > 1) | (F.col("agree") >= lone)).select("a", "b")
+    pairs = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     left = once.select(F.col("key").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ONCE[1:]])
     right = once.select(F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ONCE[1:]])
     full = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")

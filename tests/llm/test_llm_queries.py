@@ -6,6 +6,7 @@ import pytest
 
 from marlinspike.llm import queries, subjects
 from marlinspike.session import table
+from tests.llm.recall import recall
 
 DIR = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
@@ -33,3 +34,10 @@ def test_subjects_agree_with_labels_held_out_from_fitting(spark):
     ids = {i for i, _ in apart}
     mine = {tuple(r) for r in subjects.subjects(table(spark, d, "documents").where("doc_id % 4 = 0"), model).collect() if r[0] in ids}
     assert len(mine & apart) / len(apart) > 0.9 and len(mine & apart) / len(mine) > 0.9
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Ids divisible by 3 against all rows; the whole count is in tests/llm/recall.py."""
+    found, wrong = recall(spark, DIR.replace("0.001", "0.01"), 3)
+    pairs, hits = (sum(x) for x in zip(*found.values()))
+    assert wrong == 0 and pairs > 50 and hits / pairs > 0.97
