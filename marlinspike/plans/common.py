@@ -1,4 +1,4 @@
-"""What several query modules share: tables with each row once, and texts that both Spark and SQL make alike."""
+"""What several query modules share: tables with each row once, in Spark and in SQL."""
 
 from __future__ import annotations
 
@@ -6,21 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlinspike.session import table
 
-#: Sentences with requirements, appended to each description by id, since the test texts state few; same expression in Spark and SQL.
-RULE_TEXT = """(coalesce(description, '') || chr(10) || CASE id % 9
-  WHEN 0 THEN 'Must hold STCW and a valid medical certificate. Minimum 12 months of experience in rank.'
-  WHEN 1 THEN 'Fluency in Dutch or German is advantageous; English is mandatory.'
-  WHEN 2 THEN 'No prior experience needed. Basic Safety (BST) required, GMDSS a plus.'
-  WHEN 3 THEN 'Contract duration: 6 months. At least 3 years experience with crane work'
-  WHEN 4 THEN 'Another language such as: Spanish, Italian or French'
-  WHEN 5 THEN 'Good command of the Japanese language. 5+ years of experience, BOSIET and HUET.'
-  WHEN 6 THEN 'Passport, C1/D and seaman book. Опыт от 24 месяцев в должности.'
-  WHEN 7 THEN 'Able to speak Russian and Korean. Crowd Management preferred'
-  ELSE 'Food Hygiene course every 2 years' END)"""
-RULE_TITLE = "(coalesce(title, '') || CASE WHEN id % 10 = 3 THEN ' (Japanese Speaking)' ELSE '' END)"
-RULE_OFFICE = """CASE id % 7 WHEN 0 THEN 'Global' WHEN 1 THEN 'Netherlands - Agency A' WHEN 2 THEN 'Guinea-Bissau - X'
-  WHEN 3 THEN 'Caribbean Netherlands – Y' WHEN 4 THEN 'United Kingdom/Scotland' ELSE recruitment_office_raw END"""
-RULE_PLACE = "CASE id % 5 WHEN 0 THEN 'Zanzibar, Tanzania' WHEN 1 THEN 'Indiana Road, Thailand' ELSE location_raw END"
+#: What the rules read of a posting that has no text or title.
+TEXT, TITLE = "coalesce(description, '')", "coalesce(title, '')"
 
 
 def once(spark: SparkSession, d: str, name: str, key: str = "id") -> DataFrame:

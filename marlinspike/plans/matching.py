@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlinspike.operators import enrich, scoring
-from marlinspike.plans.common import EVENTS, POSTINGS, RULE_OFFICE, RULE_PLACE, RULE_TEXT, STORED, once, once_sql
+from marlinspike.plans.common import EVENTS, POSTINGS, TEXT, STORED, once, once_sql
 from marlinspike.session import table
 from marlinspike.vocab import PROFESSIONS, STAGE_LEVELS
 
@@ -42,9 +42,9 @@ def people(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", F.struct(*rows.columns[1:]).alias("profile"))
 
 
-def postings(spark: SparkSession, d: str) -> DataFrame:
-    """(opportunity_id, posting): stored postings with their rule fields."""
-    texts = once(spark, d, "normalized_opportunities").select("id", "title", "description", "source_fields", F.expr(RULE_TEXT).alias("text"), F.expr(RULE_OFFICE).alias("office"), F.expr(RULE_PLACE).alias("place"))
+def postings(spark: SparkSession, d: str, wanted: DataFrame) -> DataFrame:
+    """(opportunity_id, posting): the stored postings among `wanted` (opportunity_id) with their rule fields; no others are read by rules."""
+    texts = once(spark, d, "normalized_opportunities").join(wanted.select(F.col("opportunity_id").alias("id")).distinct(), "id", "left_semi").select("id", "title", "description", "source_fields", F.expr(TEXT).alias("text"), F.col("recruitment_office_raw").alias("office"), F.col("location_raw").alias("place"))
     config = table(spark, d, "source_registry").select("source_id", "direction", "workplace_type_hint")
     rows = once(spark, d, "opportunities").select("id", "source_id", "type").join(texts, "id").join(config, "source_id", "left")
     rows = enrich.with_experience(enrich.with_languages(rows, F.lit(""), F.col("text")), F.col("text"))
@@ -65,7 +65,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """(user_id, opportunity_id, verdicts, value, comparable_factors) of every pair in the journal."""
     pairs = once(spark, d, "behaviour_events").select("user_id", "opportunity_id").distinct()
-    return scoring.score(pairs.join(people(spark, d), "user_id").join(postings(spark, d), "opportunity_id")).drop("profile", "posting")
+    return scoring.score(pairs.join(people(spark, d), "user_id").join(postings(spark, d, pairs), "opportunity_id")).drop("profile", "posting")
 
 
 def jn7_match_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlinspike.functions import text as fn
 from marlinspike.operators import enrich, reports
-from marlinspike.plans.common import POSTINGS, RAW, RULE_TEXT, STORED, once
+from marlinspike.plans.common import POSTINGS, RAW, TEXT, STORED, once
 from marlinspike.session import table
 from marlinspike.sources import feeds
 
@@ -177,11 +177,11 @@ def so7_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT id, length(regexp_replace(trim(regexp_replace(t, '[\\s\\x{{A0}}]+', ' ', 'g')), '\\s', '', 'g')) >= 20 AS enough FROM (SELECT id, {RULE_TEXT} AS t FROM {POSTINGS})"""
+    f"""SELECT id, length(regexp_replace(trim(regexp_replace(t, '[\\s\\x{{A0}}]+', ' ', 'g')), '\\s', '', 'g')) >= 20 AS enough FROM (SELECT id, {TEXT} AS t FROM {POSTINGS})"""
 )
 def pr17_needs_model(spark: SparkSession, d: str) -> DataFrame:
     """PR17: whether a text is long enough to be asked about."""
-    visible = F.length(F.regexp_replace(fn.plain_spaces(F.expr(RULE_TEXT)), r"\s", ""))
+    visible = F.length(F.regexp_replace(fn.plain_spaces(F.expr(TEXT)), r"\s", ""))
     return once(spark, d, "normalized_opportunities").select("id", (visible >= 20).alias("enough"))
 
 
@@ -190,7 +190,7 @@ def en11_completed(spark: SparkSession, d: str) -> DataFrame:
     """EN11, EN12, EN13, SC15: null fields completed by a recorded client behind a cache, quotes verified."""
     from marlinspike.operators import completion
 
-    rows = once(spark, d, "normalized_opportunities").select("id", F.expr(RULE_TEXT).alias("text"))
+    rows = once(spark, d, "normalized_opportunities").select("id", F.expr(TEXT).alias("text"))
     rows = enrich.with_experience(rows, F.col("text")).withColumn("_c", enrich.certificate_keys(F.col("text"))).withColumn("required_certificates", enrich.inferred(F.col("_c"), 0.9)).drop("_c")
     none = spark.createDataFrame([], completion.CACHE)
     cache = completion.merge_cache(none, completion.ask(rows, none, RecordedClient, "5", "recorded"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlinspike.functions import text as fn
 from marlinspike.operators import enrich, gate
-from marlinspike.plans.common import POSTINGS, RAW, RULE_OFFICE, RULE_PLACE, RULE_TEXT, RULE_TITLE, WB, WE, once, sql_quote, sql_regex
+from marlinspike.plans.common import POSTINGS, RAW, TEXT, TITLE, WB, WE, once, sql_regex
 from marlinspike.session import table
 from marlinspike.vocab import CERTIFICATES, COUNTRIES, DECLARED_TYPES, JUNK_TITLES, LANGUAGES, PROFESSIONS, TYPE_KEYWORDS, terms
 
@@ -107,21 +107,21 @@ def en2_source_config(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT id, CASE WHEN workplace_type_hint IS DISTINCT FROM 'vessel' THEN {_longest("place", COUNTRIES)} END AS country
-FROM (SELECT id, source_id, {RULE_PLACE} AS place FROM {POSTINGS}) LEFT JOIN source_registry USING (source_id)"""
+FROM (SELECT id, source_id, location_raw AS place FROM {POSTINGS}) LEFT JOIN source_registry USING (source_id)"""
 )
 def en3_country(spark: SparkSession, d: str) -> DataFrame:
     """EN3: country of work of shore postings, the longest name wins."""
-    rows = once(spark, d, "normalized_opportunities").withColumn("place", F.expr(RULE_PLACE)).join(table(spark, d, "source_registry").select("source_id", "workplace_type_hint"), "source_id", "left")
-    return rows.select("id", enrich.country(F.col("place"), F.col("workplace_type_hint"))["value"].alias("country"))
+    rows = once(spark, d, "normalized_opportunities").join(table(spark, d, "source_registry").select("source_id", "workplace_type_hint"), "source_id", "left")
+    return rows.select("id", enrich.country(F.col("location_raw"), F.col("workplace_type_hint"))["value"].alias("country"))
 
 
 @query(
     f"""SELECT id, lower(head) = 'global' AS anywhere, CASE WHEN lower(head) <> 'global' THEN code END AS country, CASE WHEN lower(head) <> 'global' AND code IS NULL THEN head END AS unresolved
-FROM (SELECT id, head, {_longest("head", COUNTRIES)} AS code FROM (SELECT id, trim(string_split_regex({RULE_OFFICE}, '\\s[-–]\\s')[1]) AS head FROM {POSTINGS})) WHERE length(head) > 0"""
+FROM (SELECT id, head, {_longest("head", COUNTRIES)} AS code FROM (SELECT id, trim(string_split_regex(recruitment_office_raw, '\\s[-–]\\s')[1]) AS head FROM {POSTINGS})) WHERE length(head) > 0"""
 )
 def en5_hiring_scope(spark: SparkSession, d: str) -> DataFrame:
     """EN5: what the recruiting office says about who is hired."""
-    s = enrich.hiring_scope(F.expr(RULE_OFFICE))
+    s = enrich.hiring_scope(F.col("recruitment_office_raw"))
     rows = once(spark, d, "normalized_opportunities").select("id", s.alias("s")).where("s is not null")
     return rows.select("id", "s.anywhere", F.get("s.countries", F.lit(0)).alias("country"), F.get("s.unresolved", F.lit(0)).alias("unresolved"))
 
@@ -129,10 +129,10 @@ def en5_hiring_scope(spark: SparkSession, d: str) -> DataFrame:
 _CERTS = ", ".join(f"CASE WHEN regexp_matches(t, '{WB}({'|'.join(sql_regex(p.lower()) for p in ps)}){WE}') THEN '{k}' END" for k, ps in CERTIFICATES.items() if ps)
 
 
-@query(f"SELECT id, nullif(array_to_string(list_filter([{_CERTS}], lambda x: x IS NOT NULL), ','), '') AS certificates FROM (SELECT id, lower({RULE_TEXT}) AS t FROM {POSTINGS})")
+@query(f"SELECT id, nullif(array_to_string(list_filter([{_CERTS}], lambda x: x IS NOT NULL), ','), '') AS certificates FROM (SELECT id, lower({TEXT}) AS t FROM {POSTINGS})")
 def en6_certificates(spark: SparkSession, d: str) -> DataFrame:
     """EN6: certificates that a text names, in the vocabulary's order."""
-    return once(spark, d, "normalized_opportunities").select("id", F.array_join(enrich.certificate_keys(F.expr(RULE_TEXT)), ",").alias("certificates"))
+    return once(spark, d, "normalized_opportunities").select("id", F.array_join(enrich.certificate_keys(F.expr(TEXT)), ",").alias("certificates"))
 
 
 _NAMES = "|".join(t.lower() for _, t, _ in terms(LANGUAGES))
@@ -141,7 +141,7 @@ _ORDER = "CASE k " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(LANGU
 
 
 @query(
-    rf"""WITH x AS (SELECT id, lower({RULE_TITLE}) AS ti, lower({RULE_TEXT}) AS t FROM {POSTINGS}),
+    rf"""WITH x AS (SELECT id, lower({TITLE}) AS ti, lower({TEXT}) AS t FROM {POSTINGS}),
 h AS (SELECT id, ti, t, regexp_extract_all(t, '\b({_NAMES})\b', 1) AS hits, string_split_regex(t, '\b({_NAMES})\b') AS ps FROM x),
 m AS (SELECT id, ti, t, hits[i] AS hit, (list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda p: length(p))), 0))::INT AS st
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h)),
@@ -158,7 +158,7 @@ SELECT id, required, preferred FROM x LEFT JOIN r USING (id) LEFT JOIN p USING (
 )
 def en7_languages(spark: SparkSession, d: str) -> DataFrame:
     """EN7, ST4, FN11: languages required and preferred, judged by the sentence of each mention."""
-    rows = once(spark, d, "normalized_opportunities").select("id", F.expr(RULE_TITLE).alias("title"), F.expr(RULE_TEXT).alias("text"))
+    rows = once(spark, d, "normalized_opportunities").select("id", F.expr(TITLE).alias("title"), F.expr(TEXT).alias("text"))
     rows = enrich.with_languages(rows, F.col("title"), F.col("text"))
     return rows.select("id", F.array_join("required", ",").alias("required"), F.array_join("preferred", ",").alias("preferred"))
 
@@ -167,7 +167,7 @@ _UNIT = r"(\d{1,2}\+? (?:years?|months?|лет|год(?:а|ов)?|месяц(?:
 
 
 @query(
-    rf"""WITH x AS (SELECT id, lower({RULE_TEXT}) AS t FROM {POSTINGS}),
+    rf"""WITH x AS (SELECT id, lower({TEXT}) AS t FROM {POSTINGS}),
 h AS (SELECT id, t, regexp_extract_all(t, '\b{_UNIT}', 0) AS whole, regexp_extract_all(t, '\b{_UNIT}', 1) AS hits, string_split_regex(t, '\b{_UNIT}') AS ps FROM x),
 m AS (SELECT id, t, hits[i] AS hit, (list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(whole[1:i-1], lambda p: length(p))), 0))::INT AS st
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM h)),
@@ -179,27 +179,26 @@ FROM x LEFT JOIN y USING (id)"""
 )
 def en8_experience(spark: SparkSession, d: str) -> DataFrame:
     """EN8, AG12, FN12, FN20: level by the longest tenure asked for."""
-    rows = once(spark, d, "normalized_opportunities").select("id", F.expr(RULE_TEXT).alias("text"))
+    rows = once(spark, d, "normalized_opportunities").select("id", F.expr(TEXT).alias("text"))
     return enrich.with_experience(rows, F.col("text")).select("id", F.col("experience_level.value").alias("level"))
 
 
-_SIGN_SQL = sql_quote(enrich.SIGN_FORM)
-_ISO_SQL = sql_quote(enrich.ISO_FORM)
-_SIGN_CASE = "CASE upper(coalesce(nullif(regexp_extract(s, '{0}', 1), ''), nullif(regexp_extract(s, '{0}', 3), ''))) ".format(_SIGN_SQL) + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in enrich.SIGNS.items()) + " END"
-
-
-def _num(form: str, i: int) -> str:
-    return f"try_cast(regexp_replace(nullif(regexp_extract(s, '{form}', {i}), ''), '[, ]', '', 'g') AS DECIMAL(18,2))"
+_SIGN_CODES = "CASE sign " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in enrich.SIGNS.items()) + " END"
+_SIGN_LIST = ", ".join(f"'{x}'" for x in ("", *enrich.SIGNS, *enrich.UNKNOWN_SIGNS))
 
 
 @query(
     f"""WITH x AS (SELECT id, trim(regexp_replace(salary_raw, '\\s+', ' ', 'g')) AS s FROM {POSTINGS} WHERE salary_raw IS NOT NULL),
-a AS (SELECT id, {_num(_SIGN_SQL, 2)} AS minimum, coalesce({_num(_SIGN_SQL, 4)}, {_num(_SIGN_SQL, 2)}) AS maximum, {_SIGN_CASE} AS currency, lower(regexp_extract(s, '{_SIGN_SQL}', 5)) AS p FROM x WHERE regexp_matches(s, '{_SIGN_SQL}')),
-b AS (SELECT id, CASE WHEN regexp_extract(s, '{_ISO_SQL}', 1) = '' THEN {_num(_ISO_SQL, 2)} END AS minimum, coalesce({_num(_ISO_SQL, 3)}, {_num(_ISO_SQL, 2)}) AS maximum,
-  upper(regexp_extract(s, '{_ISO_SQL}', 4)) AS currency, CASE WHEN regexp_extract(s, '{_ISO_SQL}', 5) <> '' THEN 'day' ELSE 'month' END AS period
-  FROM x WHERE regexp_matches(s, '{_ISO_SQL}') AND NOT (regexp_extract(s, '{_ISO_SQL}', 1) <> '' AND regexp_extract(s, '{_ISO_SQL}', 3) <> ''))
-SELECT id, minimum, maximum, currency, CASE p WHEN 'monthly' THEN 'month' WHEN 'weekly' THEN 'week' WHEN 'hourly' THEN 'hour' ELSE 'day' END AS period FROM a WHERE currency IS NOT NULL
-UNION ALL SELECT id, minimum, maximum, currency, period FROM b"""
+halves AS (SELECT id, string_split(s, '/') AS h FROM x), sided AS (SELECT id, lower(trim(h[2])) AS per, list_transform(string_split(h[1], '-'), lambda b: trim(b)) AS bs FROM halves WHERE len(h) = 2),
+cut AS (SELECT id, per, list_transform(bs, lambda b: regexp_extract(b, '[0-9][0-9,]*([.][0-9][0-9])?', 0)) AS ns, bs FROM sided WHERE len(bs) <= 2),
+parts AS (SELECT id, per, ns, list_transform(bs, lambda b, i: upper(trim(b[1 : strpos(b, ns[i]) - 1]))) AS pre, list_transform(bs, lambda b, i: trim(b[strpos(b, ns[i]) + length(ns[i]) :])) AS post FROM cut WHERE NOT list_contains(ns, '')),
+a AS (SELECT id, ns, per, coalesce(nullif(pre[1], ''), nullif(post[1], '')) AS sign FROM parts WHERE len(list_filter(pre, lambda p: p NOT IN ({_SIGN_LIST}))) = 0 AND len(list_filter(post, lambda p: p NOT IN ('', '$'))) = 0),
+b AS (SELECT id, lower(s) LIKE 'up to %' AS upto, lower(s) LIKE '% per day' AS daily, regexp_replace(regexp_replace(lower(s), '^up to ', ''), ' per day$', '') AS core FROM x),
+c AS (SELECT id, upto, daily, upper(core[-3:]) AS currency, string_split(core[:-5], ' - ') AS ns FROM b WHERE core[-4] = ' '),
+num AS (SELECT * FROM c WHERE currency IN ('USD', 'EUR', 'GBP') AND len(ns) <= 2 AND NOT (upto AND len(ns) = 2) AND len(list_filter(ns, lambda n: NOT regexp_full_match(n, '[0-9]+( [0-9][0-9][0-9])*'))) = 0)
+SELECT id, replace(ns[1], ',', '')::DECIMAL(18,2) AS minimum, replace(ns[len(ns)], ',', '')::DECIMAL(18,2) AS maximum, {_SIGN_CODES} AS currency, CASE per WHEN 'monthly' THEN 'month' WHEN 'weekly' THEN 'week' WHEN 'hourly' THEN 'hour' ELSE 'day' END AS period
+FROM a WHERE {_SIGN_CODES} IS NOT NULL AND per IN ('monthly', 'weekly', 'hourly', 'daily')
+UNION ALL SELECT id, CASE WHEN NOT upto THEN replace(ns[1], ' ', '')::DECIMAL(18,2) END, replace(ns[len(ns)], ' ', '')::DECIMAL(18,2), currency, CASE WHEN daily THEN 'day' ELSE 'month' END FROM num"""
 )
 def en9_salary(spark: SparkSession, d: str) -> DataFrame:
     """EN9, EN10, FN19: the two regular pay notations."""
@@ -279,11 +278,11 @@ def fn21_rough_language(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT id, CASE WHEN e AND c THEN 'both' WHEN e THEN 'experience' WHEN c THEN 'certificates' ELSE 'no-signal' END AS stratum FROM (
-SELECT id, regexp_matches(t, 'experience|опыт|стаж|плавценз') AS e, regexp_matches(t, 'certificat|licen[cs]e|stcw|passport|visa|сертификат|диплом|паспорт|виза') AS c FROM (SELECT id, lower({RULE_TEXT}) AS t FROM {POSTINGS}))"""
+SELECT id, regexp_matches(t, 'experience|опыт|стаж|плавценз') AS e, regexp_matches(t, 'certificat|licen[cs]e|stcw|passport|visa|сертификат|диплом|паспорт|виза') AS c FROM (SELECT id, lower({TEXT}) AS t FROM {POSTINGS}))"""
 )
 def fn29_stratum(spark: SparkSession, d: str) -> DataFrame:
     """FN29: which requirement hints a text holds."""
-    return once(spark, d, "normalized_opportunities").select("id", fn.stratum(F.expr(RULE_TEXT)).alias("stratum"))
+    return once(spark, d, "normalized_opportunities").select("id", fn.stratum(F.expr(TEXT)).alias("stratum"))
 
 
 @query(

@@ -109,10 +109,18 @@ def sk8_delete_people(spark: SparkSession, d: str) -> DataFrame:
     return profiles.without_people(once(spark, d, "behaviour_events"), gone).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT u.user_id, coalesce(n, 0) AS events, ids FROM {USERS} u LEFT JOIN (SELECT user_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY occurred_at, id) AS ids FROM {EVENTS} GROUP BY user_id) USING (user_id)")
+@query(f"SELECT u.user_id, e.id AS event_id, epoch_us(e.occurred_at) AS at_us, e.opportunity_id, e.action FROM {USERS} u LEFT JOIN {EVENTS} e USING (user_id)")
 def sk9_export(spark: SparkSession, d: str) -> DataFrame:
-    """SK9: each person's export, events in order; a person's own list is what is asked for."""
+    """SK9: everybody's export, a row per event in order."""
     out = profiles.export(table(spark, d, "user_profiles").select("user_id").distinct(), once(spark, d, "behaviour_events"))
+    return out.select("user_id", "event_id", F.unix_micros("occurred_at").alias("at_us"), "opportunity_id", "action")
+
+
+@query(f"SELECT user_id, count(id) AS events, string_agg(id::VARCHAR, ',' ORDER BY occurred_at, id) AS ids FROM (SELECT max(user_id) AS user_id FROM user_profiles) u LEFT JOIN {EVENTS} e USING (user_id) GROUP BY user_id")
+def sk9_export_of_one(spark: SparkSession, d: str) -> DataFrame:
+    """SK9, SC11: one named person's list of events."""
+    people = table(spark, d, "user_profiles").select("user_id").distinct()
+    out = profiles.export_of(people, once(spark, d, "behaviour_events"), people.agg(F.max("user_id")).first()[0])
     return out.select("user_id", F.size("events").alias("events").cast("long"), F.nullif(F.array_join(F.transform("events", lambda e: e["id"].cast("string")), ","), F.lit("")).alias("ids"))
 
 

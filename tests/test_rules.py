@@ -17,7 +17,7 @@ def test_longest_alias_at_a_word_start(spark, title, key):
     assert _one(spark, title, lambda c: enrich.longest_term(c, enrich.PROFESSIONS)) == key
 
 
-@pytest.mark.parametrize(("place", "code"), [("Caribbean Netherlands", "BQ"), ("Indiana", "IN"), ("Silayukti 5", None), ("Virgin Islands (U.S.)", "VI")])
+@pytest.mark.parametrize(("place", "code"), [("Caribbean Netherlands", "BQ"), ("Indiana", "IN"), ("Silayukti 5", None), ("Zanzibar, Tanzania", "TZ"), ("Indiana Road, Thailand", "TH"), ("United Kingdom/Scotland", "GB"), ("Virgin Islands (U.S.)", "VI")])
 def test_countries(spark, place, code):
     assert _one(spark, place, enrich.country_code) == code
 
@@ -37,6 +37,18 @@ def test_scope_is_one_of_three_kinds(spark):
         ("up to 3 500 EUR", (None, 3500, "EUR", "month", 0.8)),
         ("up to 3 000 - 3 500 EUR", None),
         ("200 USD per day", (200, 200, "USD", "day", 1.0)),
+        ("Up To 200 usd PER DAY", (None, 200, "USD", "day", 1.0)),
+        ("3 000 - 3 500 GBP", (3000, 3500, "GBP", "month", 0.8)),
+        ("1,300 $ - 1,500$ / weekly", (1300, 1500, "USD", "week", 0.6)),
+        ("SR 2,000 - Rs 3,000 / Daily", (2000, 3000, "SAR", "day", 1.0)),
+        ("$20 / Hourly / Daily", None),
+        ("$20 or so / Hourly", None),
+        ("€ - € / Monthly", None),
+        ("20 / Monthly", None),
+        ("1-2-3 EUR", None),
+        ("30 00 EUR", None),
+        ("EUR", None),
+        ("/", None),
         ("", None),
         (None, None),
     ],
@@ -55,6 +67,8 @@ def test_regular_pay(spark, raw, want):
         ("", "Required: speak English. Preferred: a degree.", ["en"], None),
         ("", "English must be fluent; English is a plus.", ["en"], None),
         ("", "An English breakfast", None, None),
+        ("", "Good command of the Japanese language. Able to speak Russian and Korean.", ["ja", "ru", "ko"], None),
+        ("", "English is mandatory; Dutch is advantageous", ["en"], ["nl"]),
         ("", "", None, None),
     ],
 )
@@ -74,6 +88,10 @@ def test_languages_by_sentence(spark, title, text, required, preferred):
         ("without prior experience, 10 years", "entry"),
         ("Опыт работы от 3 лет", "mid"),
         ("12  years experience", None),
+        ("Must hold STCW. Minimum 12 months of experience in rank.", "junior"),
+        ("No prior experience needed. BST required.", "entry"),
+        ("Contract duration: 6 months. At least 3 years experience with crane work", None),
+        ("Опыт от 24 месяцев в должности.", "mid"),
         ("", None),
         (None, None),
     ],
@@ -86,6 +104,7 @@ def test_experience(spark, text, level):
 def test_certificates_keep_the_order_of_the_vocabulary(spark):
     assert _one(spark, "HUET, valid STCW and C1/D; no xSTCWx", enrich.certificate_keys) == ["stcw", "c1d_visa", "huet"]
     assert _one(spark, "PADI", enrich.certificate_keys) is None
+    assert _one(spark, "Passport, C1/D and seaman book; Crowd Management preferred", enrich.certificate_keys) is not None
 
 
 def test_offsets_of_matches(spark):

@@ -28,6 +28,20 @@ def test_facts_fold_like_one_change_after_another(spark):
     assert profiles.current_facts(df.limit(0)).count() == 0
 
 
+def test_facts_and_export_of_one_very_busy_person(spark):
+    log = spark.range(6000).selectExpr("if(id % 3 = 0, 'busy', 'u' || id % 500) AS user_id", "'goal' AS field", "if(id % 1000 = 0, 'stated', 'observed') AS source", "timestamp_seconds(id) AS at", "id AS seq", "if(id % 2000 = 0, null, 'v' || id) AS value", "id AS extra")
+    facts = {r.user_id: (r.value, r.source) for r in profiles.current_facts(log).collect()}
+    # The last stated change of the busy person is the one of 3000 (4500 and others aren't stated); it stands.
+    assert facts["busy"] == ("v3000", "stated") and len(facts) == 501
+    journal = spark.range(3000).selectExpr("if(id % 3 = 0, 'busy', 'u' || id % 50) AS user_id", "3000 - id AS id", "timestamp_seconds(id % 7) AS occurred_at", "id AS opportunity_id", "'view' AS action")
+    people = spark.createDataFrame([("busy",), ("silent",)], "user_id string")
+    rows = profiles.export(people, journal)
+    assert rows.where("user_id = 'busy'").count() == 1000 and rows.where("user_id = 'silent' and event_id is null").count() == 1
+    got = [(r.user_id, r.occurred_at, r.event_id) for r in rows.collect()]
+    assert [x for x in got if x[0] == "busy"] == sorted(x for x in got if x[0] == "busy")
+    assert [len(profiles.export_of(people, journal, u).first().events) for u in ("busy", "silent")] == [1000, 0] and profiles.export_of(people, journal, "none").count() == 0
+
+
 def test_interest_counts_keep_null_keys_apart(spark):
     j = spark.createDataFrame([("u", 1, "view"), ("u", 1, "view"), ("u", 9, "view")], "user_id string, opportunity_id long, action string")
     o = spark.createDataFrame([(1, "cruise", None)], "id long, direction string, profession string")
