@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlinspike.functions.text import literal_map, plain_spaces, quote_in, quoted
+from marlinspike.operators.tables import ParquetTable
 from marlinspike.vocab import CERTIFICATES, EXPERIENCE_LEVELS
 
 CACHE = "content_hash string, prompt_version string, model_id string, response string"
@@ -65,6 +66,18 @@ def merge_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(F.min_by("response", F.struct("_age", "response")).alias("response"))
 
 
+def refresh_cache(table: ParquetTable, postings: DataFrame, make_client: Callable[[], Client], prompt_version: str, model_id: str, text: str = "text") -> DataFrame:
+    """The stored cache after asking what it doesn't answer; the answers are written before anything reads them.
+
+    A plan over ask() itself would ask again whenever it or a task of it runs again.
+    """
+    table.ensure(CACHE)
+    answers = ParquetTable(table.spark, f"{table.path}/asked")
+    answers.replace(ask(postings, table.read(), make_client, prompt_version, model_id, text))
+    table.replace(merge_cache(table.read(), answers.read()))
+    return table.read()
+
+
 def named_by_quote(key: Column, quote: Column) -> Column:
     """Whether a quote names the certificate by one of its patterns; a certificate without patterns passes."""
     rx = {k: "|".join(rf"(?<!\w){quoted(p.lower())}(?!\w)" for p in ps) for k, ps in CERTIFICATES.items() if ps}
@@ -77,13 +90,13 @@ def complete(postings: DataFrame, cache: DataFrame, prompt_version: str, model_i
 
     A level needs a known value and basis and a quote that stands in the text; so does each certificate, whose
     quote must name it too. Of a certificate given twice the first counts; one inferred item makes the list
-    inferred.
+    inferred. The verified quotes stay with the value, by level or certificate, for its evidence.
     """
     hits = cache.where((F.col("prompt_version") == prompt_version) & (F.col("model_id") == model_id)).select("content_hash", F.from_json("response", RESPONSE).alias("_r"))
     joined = postings.withColumn("content_hash_", F.sha2(plain_spaces(F.col(text)), 256)).join(hits.withColumnRenamed("content_hash", "content_hash_"), "content_hash_", "left").drop("content_hash_")
     e = F.col("_r.experience_level")
     ok = e["value"].isin(*EXPERIENCE_LEVELS) & e["basis"].isin(*BASIS) & quote_in(F.col(text), e["quote"])
-    level = F.when(ok, F.struct(e["value"].alias("value"), F.lit("llm").alias("provenance"), F.try_element_at(literal_map(BASIS), e["basis"]).alias("confidence")))
+    level = F.when(ok, F.struct(e["value"].alias("value"), F.lit("llm").alias("provenance"), F.try_element_at(literal_map(BASIS), e["basis"]).alias("confidence"), F.create_map(e["value"], e["quote"]).alias("quotes")))
     items = F.filter(
         F.coalesce("_r.required_certificates", F.from_json(F.lit("[]"), "array<struct<key:string,quote:string,basis:string>>")),
         lambda c: F.coalesce(c["key"].isin(*CERTIFICATES) & c["basis"].isin(*BASIS) & quote_in(F.col(text), c["quote"]) & named_by_quote(c["key"], c["quote"]), F.lit(False)),
@@ -91,7 +104,8 @@ def complete(postings: DataFrame, cache: DataFrame, prompt_version: str, model_i
     joined = joined.withColumn("_items", items).withColumn("_level", level)
     keys = F.array_distinct(F.transform("_items", lambda c: c["key"]))
     sure = F.when(F.exists("_items", lambda c: c["basis"] == "inferred"), 0.6).otherwise(0.9)
-    certs = F.when(F.size("_items") > 0, F.struct(keys.alias("value"), F.lit("llm").alias("provenance"), sure.alias("confidence")))
+    first = F.transform(keys, lambda k: F.struct(k.alias("key"), F.get(F.filter("_items", lambda c: c["key"] == k), F.lit(0))["quote"].alias("value")))
+    certs = F.when(F.size("_items") > 0, F.struct(keys.alias("value"), F.lit("llm").alias("provenance"), sure.alias("confidence"), F.map_from_entries(first).alias("quotes")))
     return joined.withColumn("experience_level", F.coalesce("experience_level", "_level")).withColumn("required_certificates", F.coalesce("required_certificates", certs)).drop("_r", "_items", "_level")
 
 

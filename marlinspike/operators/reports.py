@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlinspike.functions.text import percent, quote_in
+from marlinspike.functions.text import percent, quote_in, strip_markup
+from marlinspike.operators.enrich import certificate_keys
 from marlinspike.vocab import CERTIFICATES, EXPERIENCE_LEVELS
 
 
@@ -130,9 +131,17 @@ def run_log(metrics: DataFrame, run_id: str, prompt_version: str, model_id: str)
 
 
 def lost_keys(records: DataFrame, present: Column, readable: Column, expected: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
-    """(by..., key, n, expected): keys that a payload holds and the readable record doesn't, most frequent first by nature of n."""
+    """(by..., key, n, expected): keys that a payload holds and the readable record doesn't; unexpected ones first, then by count."""
     gone = records.select(*by, F.explode(F.array_except(present, readable)).alias("key"))
-    return gone.groupBy(*by, "key").agg(F.count("*").alias("n")).withColumn("expected", F.col("key").isin(*expected) if expected else F.lit(False))
+    counted = gone.groupBy(*by, "key").agg(F.count("*").alias("n")).withColumn("expected", F.col("key").isin(*expected) if expected else F.lit(False))
+    return counted.orderBy("expected", F.desc("n"), *by, "key")
+
+
+def lost_certificates(records: DataFrame, payload: Column, readable: Column, expected: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """lost_keys() of the certificates named anywhere in a payload, markup aside, against those named in the readable text."""
+    none = F.array().cast("array<string>")
+    named = records.select(*by, F.coalesce(certificate_keys(strip_markup(payload)), none).alias("present"), F.coalesce(certificate_keys(readable), none).alias("readable"))
+    return lost_keys(named, F.col("present"), F.col("readable"), expected, by)
 
 
 def quotas(sizes: dict[str, int], total: int, favoured: str | None = None, favoured_most: int = 0) -> dict[str, int]:

@@ -20,8 +20,12 @@ def _none() -> Column:
 
 
 def cite(field: Column, is_list: bool = False) -> Column:
-    """Evidence of a derived value: "value [provenance]", list items joined by commas."""
-    text = F.array_join(field["value"], ", ") if is_list else field["value"].cast("string")
+    """Evidence of a derived value: "value: quote [provenance]", list items joined by commas; without a quote the value alone."""
+    def with_quote(value: Column) -> Column:
+        quote = F.try_element_at(field["quotes"], value)
+        return F.when(quote.isNotNull(), F.concat(value, F.lit(": "), quote)).otherwise(value)
+
+    text = F.array_join(F.transform(field["value"], with_quote), ", ") if is_list else with_quote(field["value"].cast("string"))
     return F.when(field.isNotNull(), F.concat(text, F.lit(" ["), field["provenance"], F.lit("]")))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,21 +154,30 @@ def entity(adjacency: DataFrame, level: str, fields: dict[str, str], layout: Lay
     """One level's flat table: doc, node, parent, <level>_no of it and all above it, and its fields.
 
     Object nodes meet their scalar children in one grouping by (doc, node), pre-aggregated before the shuffle;
-    fields maps column name -> dotted label. An absent field is null; of a label written twice the greatest holds.
+    fields maps column name -> dotted label, with "[]" behind it for a list: all its scalars in written order, as
+    an array, null without any. An absent field is null; of a single label written twice the last one holds.
     """
     names = list(layout.entities)
     depth = names.index(level)
-    cells = adjacency.where((F.col("level") == level) | (F.col("level").isNull() & (F.size("path") == depth + 1) & F.col("label").isin(*fields.values())))
+    cells = adjacency.where((F.col("level") == level) | (F.col("level").isNull() & (F.size("path") == depth + 1) & F.col("label").isin(*(label.removesuffix("[]") for label in fields.values()))))
     own = F.col("level") == level
     grouped = cells.groupBy("doc", F.when(own, F.col("node")).otherwise(F.col("parent")).alias("node")).agg(
         F.max(F.when(own, F.col("parent"))).alias("parent"),
         F.max(F.when(own, F.col("path"))).alias("path"),
-        *[F.max(F.when(~own.eqNullSafe(True) & (F.col("label") == label), F.col("scalar"))).alias(name) for name, label in fields.items()],
+        *[_field(F.when(~own.eqNullSafe(True) & (F.col("label") == label.removesuffix("[]")), F.struct("node", "scalar")), label.endswith("[]")).alias(name) for name, label in fields.items()],
     )
     numbers = [F.col("path")[i].alias(f"{names[i]}_no") for i in range(depth + 1)]
     return grouped.where("path is not null").select("doc", "node", "parent", *numbers, *fields)
 
 
+def _field(cell: Column, is_list: bool) -> Column:
+    """The scalar of the last such cell, or all of them in the order of their nodes; a record delivered twice has each once."""
+    if is_list:
+        found = F.array_sort(F.collect_set(cell))
+        return F.when(F.size(found) > 0, F.transform(found, lambda c: c["scalar"]))
+    return F.max(cell)["scalar"]
+
+
 def certificates(raw_items: DataFrame) -> DataFrame:
     """One row per certificate: raw_id, vessel_no, rotation_no, position_no, cert_no, cert_code."""
     rows = entity(shred(raw_items, levels_only=True).where("level = 'certificate' or (level is null and label = 'code' and size(path) = 4)"), "certificate", {"cert_code": "code"})

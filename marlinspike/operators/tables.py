@@ -53,20 +53,40 @@ class ParquetTable:
         pointers = f"{self.path}/current"
         if not self._fs.exists(self._path(pointers)):
             return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(pointers)))
-        return names[-1].split("-", 1)[1] if names else None
+        numbers = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(pointers)))
+        if not numbers:
+            return None
+        pointer = self._fs.open(self._path(f"{pointers}/{numbers[-1]}"))
+        try:
+            return bytes(pointer.readAllBytes()).decode()
+        finally:
+            pointer.close()
 
     def read(self) -> DataFrame | None:
         v = self.version()
         return None if v is None else self.spark.read.parquet(f"{self.path}/data/{v}")
 
     def replace(self, rows: DataFrame) -> None:
-        """Writes a new version and then points to it; old versions stay for readers until vacuum()."""
-        name = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/data/{name}")
-        pointers = self._path(f"{self.path}/current")
+        """Writes a new version and then points to it; old versions stay for readers until vacuum().
+
+        The pointer's name is the number of the version, so of two writers that started from the same version
+        the second fails with FileExistsError, and none overwrites the other unseen.
+        """
+        name, pointers = uuid.uuid4().hex, self._path(f"{self.path}/current")
         count = len(self._fs.listStatus(pointers)) if self._fs.exists(pointers) else 0
-        self._fs.create(self._path(f"{self.path}/current/{count:012d}-{name}"), False).close()
+        rows.write.parquet(f"{self.path}/data/{name}")
+        self._point(count, name)
+
+    def _point(self, number: int, name: str) -> None:
+        at = self._path(f"{self.path}/current/{number:012d}")
+        try:
+            out = self._fs.create(at, False)
+        except Exception as e:  # noqa: BLE001  the JVM's error; only a pointer that is there is a conflict
+            if self._fs.exists(at):
+                raise FileExistsError(f"{self.path}: version {number} was written by another writer") from e
+            raise
+        out.write(name.encode())
+        out.close()
 
     def append(self, rows: DataFrame) -> None:
         v = self.version()

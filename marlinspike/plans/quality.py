@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marlinspike.functions import text as fn
 from marlinspike.operators import enrich, reports
 from marlinspike.plans.common import POSTINGS, RAW, TEXT, STORED, once
-from marlinspike.session import table
+from marlinspike.plans.rules import SQL as RULES
+from marlinspike.session import scratch_folder, table
 from marlinspike.sources import feeds
 
 QUERIES: dict = {}
@@ -136,18 +137,30 @@ def ag17_list_lengths(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, "opportunities").groupBy("source_id").agg(F.sum(F.size("quality_flags")).alias("flags"), F.sum(F.size("quality_notes")).alias("notes"))
 
 
+_READ_KEYS = ("id", "url", "title", "location", "job", "compensation", "name", "description", "employment_type", "division", "department", "structure_custom_group_one", "item", "link", "guid", "pubDate", "salary", "category", "sector", "employer")
+_EXPECTED_KEYS = ("revision", "contacts")
+_LABELS = r'''"([A-Za-z_][A-Za-z0-9_]*)" *:|<([A-Za-z][A-Za-z0-9_]*)[ />]'''
+
+
 @query(
-    f"""WITH j AS (SELECT source_id, json_keys(payload) AS present FROM {RAW} WHERE regexp_matches(payload, '^\\s*\\{{') AND json_valid(payload))
-SELECT source_id, key, count(*) AS n, key IN ('revision', 'contacts') AS expected FROM (SELECT source_id, unnest(list_distinct(present)) AS key FROM j)
-WHERE key NOT IN ('id', 'url', 'title', 'location', 'job', 'compensation') GROUP BY source_id, key"""
+    f"""WITH p AS (SELECT source_id, payload FROM {RAW} WHERE regexp_matches(payload, '^\\s*[\\[{{<]')),
+k AS (SELECT source_id, list_distinct(list_concat(regexp_extract_all(payload, '{_LABELS}', 1), regexp_extract_all(payload, '{_LABELS}', 2))) AS present FROM p)
+SELECT source_id, key, count(*) AS n, key IN {_EXPECTED_KEYS} AS expected FROM (SELECT source_id, unnest(present) AS key FROM k) WHERE key <> '' AND key NOT IN {_READ_KEYS} GROUP BY source_id, key"""
 )
 def ag14_lost_keys(spark: SparkSession, d: str) -> DataFrame:
-    """AG14, ST6, SO6: payload keys that normalization doesn't read, expected or not."""
-    raw = once(spark, d, "raw_items").where(F.col("payload").rlike(r"^\s*\{"))
-    # json_object_keys is null where the object is broken; try_parse_json says whether it is whole.
-    rows = raw.where(F.try_parse_json("payload").isNotNull()).select("source_id", F.array_distinct(F.json_object_keys("payload")).alias("present"))
-    readable = F.array(*[F.lit(k) for k in ("id", "url", "title", "location", "job", "compensation")])
-    return reports.lost_keys(rows, F.col("present"), readable, expected=["revision", "contacts"], by=["source_id"])
+    """AG14, ST6, SO6: labels at any depth of JSON and RSS payloads that normalization doesn't read, most frequent first."""
+    raw = once(spark, d, "raw_items").where(F.col("payload").rlike(r"^\s*[\[{<]"))
+    found = [F.regexp_extract_all("payload", F.lit(_LABELS), F.lit(i)) for i in (1, 2)]
+    rows = raw.select("source_id", F.filter(F.array_distinct(F.concat(*found)), lambda k: k != "").alias("present"))
+    return reports.lost_keys(rows, F.col("present"), F.array(*[F.lit(k) for k in _READ_KEYS]), expected=_EXPECTED_KEYS, by=["source_id"])
+
+
+@query()
+def ag14_lost_certificates(spark: SparkSession, d: str) -> DataFrame:
+    """AG14: certificates that a posting's whole payload names and the text that the rules read doesn't, JSON and RSS."""
+    raw = once(spark, d, "raw_items")
+    read = feeds.normalize(raw).select("id", enrich.qualification_text(F.col("source_fields"), F.col("description")).alias("readable"))
+    return reports.lost_certificates(raw.join(read, "id"), F.col("payload"), F.col("readable"), by=["source_id"])
 
 
 _GV = f"""(SELECT external_id, description AS text, {_PRED} AS level, CASE WHEN id % 8 <> 0 THEN {_BASIS} END AS level_basis, CASE WHEN id % 3 = 0 THEN substring(description, 1, 20) WHEN id % 3 = 1 THEN 'not there at all' END AS level_quote FROM {POSTINGS})"""
@@ -185,17 +198,27 @@ def pr17_needs_model(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d, "normalized_opportunities").select("id", (visible >= 20).alias("enough"))
 
 
-@query()
+_TENURE_SQL, _CERTS_SQL = RULES["en8_experience"], RULES["en6_certificates"]
+_SPACED = """trim(regexp_replace(translate({0}, '‘’“”', '''''""'), '[\\s\\x{{A0}}]+', ' ', 'g'))"""
+
+
+@query(
+    f"""WITH l AS ({_TENURE_SQL}), c AS ({_CERTS_SQL}), x AS (SELECT id, {TEXT} AS t, lower({TEXT}) AS low FROM {POSTINGS}),
+a AS (SELECT id, level, certificates, low, (level IS NULL OR certificates IS NULL) AND length(regexp_replace({_SPACED.format("t")}, '\\s', '', 'g')) >= 20 AS asked, contains({_SPACED.format("t")}, {_SPACED.format("t[1:30]")}) AS held, t FROM x JOIN l USING (id) JOIN c USING (id)),
+m AS (SELECT *, asked AND level IS NULL AND held AND (contains(low, 'captain') OR contains(low, 'master')) AS filled FROM a)
+SELECT id, coalesce(level, CASE WHEN filled THEN 'senior' END) AS value, CASE WHEN level IS NOT NULL THEN 'rule' WHEN filled THEN 'llm' END AS provenance, CASE WHEN filled THEN t[1:30] END AS quote, certificates FROM m"""
+)
 def en11_completed(spark: SparkSession, d: str) -> DataFrame:
-    """EN11, EN12, EN13, SC15: null fields completed by a recorded client behind a cache, quotes verified."""
+    """EN11, EN12, EN13, SC15: null fields completed by a recorded client behind a stored cache, quotes verified and kept."""
     from marlinspike.operators import completion
+    from marlinspike.operators.tables import ParquetTable
 
     rows = once(spark, d, "normalized_opportunities").select("id", F.expr(TEXT).alias("text"))
     rows = enrich.with_experience(rows, F.col("text")).withColumn("_c", enrich.certificate_keys(F.col("text"))).withColumn("required_certificates", enrich.inferred(F.col("_c"), 0.9)).drop("_c")
-    none = spark.createDataFrame([], completion.CACHE)
-    cache = completion.merge_cache(none, completion.ask(rows, none, RecordedClient, "5", "recorded"))
+    cache = completion.refresh_cache(ParquetTable(spark, scratch_folder(spark, "cache")), rows, RecordedClient, "5", "recorded")
     out = completion.complete(rows, cache, "5", "recorded")
-    return out.select("id", "experience_level.value", "experience_level.provenance", F.array_join("required_certificates.value", ",").alias("certificates"))
+    level = F.col("experience_level")
+    return out.select("id", level["value"].alias("value"), level["provenance"].alias("provenance"), F.try_element_at(level["quotes"], level["value"]).alias("quote"), F.array_join("required_certificates.value", ",").alias("certificates"))
 
 
 class RecordedClient:
@@ -236,14 +259,19 @@ def pr1_json_postings(spark: SparkSession, d: str) -> DataFrame:
 _X = r"regexp_extract(payload, '(?s)<{0}>(.*?)</{0}>', 1)"
 
 
+def _decoded(sql: str) -> str:
+    """Entities of XML, and then of the markup in it, decoded in SQL."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{name}', '{sign}')"
+    return sql
+
+
 @query(
-    f"""SELECT id, {_X.format('title')} AS title, nullif(trim({_X.format('salary')}), '') AS salary_raw FROM {RAW} WHERE regexp_matches(payload, '(?s)^\\s*<item>.*</item>\\s*$') AND NOT contains({_X.format('title')} || {_X.format('salary')}, '&')"""
+    f"""SELECT id, {_decoded(_decoded(f"trim({_X.format('title')})"))} AS title, nullif({_decoded(f"trim({_X.format('salary')})")}, '') AS salary_raw FROM {RAW} WHERE regexp_matches(payload, '(?s)^\\s*<item>.*</item>\\s*$')"""
 )
 def pr3_rss_postings(spark: SparkSession, d: str) -> DataFrame:
-    """PR3, PR7: the RSS items' fields, of items without entities in them (SQL has no XML reader)."""
-    raw = once(spark, d, "raw_items")
-    plain = F.concat(F.regexp_extract("payload", r"(?s)<title>(.*?)</title>", 1), F.regexp_extract("payload", r"(?s)<salary>(.*?)</salary>", 1))
-    return feeds.from_rss_payload(raw.where(~F.contains(plain, F.lit("&")))).select("id", "title", "salary_raw")
+    """PR3, PR7: the RSS items' title and pay."""
+    return feeds.from_rss_payload(once(spark, d, "raw_items")).select("id", "title", "salary_raw")
 
 
 @query()

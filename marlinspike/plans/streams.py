@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlinspike.operators.tables import ParquetTable
 from marlinspike.plans.common import RAW
-from marlinspike.session import ensure_checkpoint_dir, table
+from marlinspike.session import scratch_folder, table
 from marlinspike.streaming import intake
 
 QUERIES: dict = {}
@@ -27,9 +25,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: beside the checkpoints."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "stream")
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:

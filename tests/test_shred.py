@@ -40,6 +40,9 @@ def test_parent_links_and_fields(spark):
     vessel, rotation = entity(adj, "vessel", {"name": "name"}).first(), entity(adj, "rotation", {"on": "weeks.on"}).first()
     position = entity(adj, "position", {"rank": "rank", "pay_min": "pay.min"}).first()
     assert (vessel["name"], rotation["on"], position["rank"], position["pay_min"]) == ("V", "3", "R", "5")
+    q = json.dumps({"vessels": [{"tags": ["b", "a", "b"], "name": "V"}, {"tags": "solo"}, {"name": "W"}]})
+    tags = entity(shred(spark.createDataFrame([(1, q), (1, q)], "id long, payload string")), "vessel", {"tags": "tags[]", "last": "tags"}).orderBy("vessel_no").collect()
+    assert [(r.tags, r.last) for r in tags] == [(["b", "a", "b"], "b"), (["solo"], "solo"), (None, None)]
     assert rotation["parent"] == vessel["node"] and position["parent"] == rotation["node"] and vessel["parent"] == 0
 
 

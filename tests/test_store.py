@@ -51,7 +51,7 @@ def test_interest_counts_keep_null_keys_apart(spark):
 
 def _pair(spark, profile, posting):
     p = "struct<career_stage:struct<value:string,confidence:double>,professions:struct<value:array<string>,confidence:double>,directions:struct<value:array<string>,confidence:double>,languages:struct<value:array<string>,confidence:double>,certificates:struct<value:array<string>,confidence:double>,preferred_countries:struct<value:array<string>,confidence:double>,hiring_country:struct<value:array<string>,confidence:double>,career_goal:struct<value:struct<profession:string,direction:string,country:string>,confidence:double>>"
-    one, many = "struct<value:string,provenance:string,confidence:double>", "struct<value:array<string>,provenance:string,confidence:double>"
+    one, many = "struct<value:string,provenance:string,confidence:double,quotes:map<string,string>>", "struct<value:array<string>,provenance:string,confidence:double,quotes:map<string,string>>"
     o = f"struct<type:string,profession:{one},direction:{one},required_languages:{many},experience_level:{one},required_certificates:{many},country:{one},hiring_scope:struct<anywhere:boolean,countries:array<string>,unresolved:array<string>,provenance:string,confidence:double>>"
     r = scoring.score(spark.createDataFrame([(profile, posting)], f"profile {p}, posting {o}")).first()
     return r.value, r.comparable_factors, {v.factor: v for v in r.verdicts}
@@ -59,18 +59,18 @@ def _pair(spark, profile, posting):
 
 def test_unknown_is_left_out_of_the_score(spark):
     assert _pair(spark, {}, {"type": "job"})[:2] == (None, 0)
-    value, n, v = _pair(spark, {"professions": (["Deck"], 1.0), "languages": ([], 1.0)}, {"type": "job", "profession": ("deck", "rule", 0.5), "required_languages": (["en"], "rule", 0.9)})
+    value, n, v = _pair(spark, {"professions": (["Deck"], 1.0), "languages": ([], 1.0)}, {"type": "job", "profession": ("deck", "rule", 0.5, None), "required_languages": (["en"], "rule", 0.9, None)})
     assert n == 2 and value == pytest.approx(0.5 / 1.4) and v["languages"].outcome == "mismatch" and v["profession"].posting_evidence == "deck [rule]"
     assert [x for x in v] == ["profession", "direction", "languages", "experience", "certificates", "country", "hiring_country", "career_goal"]
 
 
 def test_zero_confidence_and_empty_preference(spark):
-    value, n, _ = _pair(spark, {"professions": (["deck"], 0.0), "directions": ([], 1.0)}, {"type": "job", "profession": ("deck", "rule", 0.9), "direction": ("cruise", "rule", 1.0)})
+    value, n, _ = _pair(spark, {"professions": (["deck"], 0.0), "directions": ([], 1.0)}, {"type": "job", "profession": ("deck", "rule", 0.9, None), "direction": ("cruise", "rule", 1.0, None)})
     assert (value, n) == (None, 1)
 
 
 def test_internship_closes_only_a_shortfall(spark):
-    need = {"required_certificates": (["stcw"], "rule", 0.9)}
+    need = {"required_certificates": (["stcw"], "rule", 0.9, None)}
     job, intern = ({"type": t, **need} for t in ("job", "internship"))
     v = _pair(spark, {"certificates": ([], 1.0)}, job)[2]["certificates"]
     assert v.outcome == "mismatch" and list(v.caveats) == ["training_offer_signal_unavailable"] and v.profile_evidence == "none"
@@ -86,7 +86,7 @@ def test_hiring_office(spark):
 
 
 def test_goal_takes_the_weakest_link(spark):
-    v = _pair(spark, {"career_goal": (("deck", "cruise", None), 1.0)}, {"type": "job", "profession": ("Deck", "rule", 0.75), "direction": ("cruise", "rule", 1.0)})[2]["career_goal"]
+    v = _pair(spark, {"career_goal": (("deck", "cruise", None), 1.0)}, {"type": "job", "profession": ("Deck", "rule", 0.75, None), "direction": ("cruise", "rule", 1.0, None)})[2]["career_goal"]
     assert (v.outcome, v.weight) == ("match", 0.75)
 
 
@@ -113,16 +113,49 @@ class _Fake:
 
 
 def test_completion_fills_only_nulls_with_verified_quotes(spark):
-    lvl, lst = "struct<value:string,provenance:string,confidence:double>", "struct<value:array<string>,provenance:string,confidence:double>"
-    rows = spark.createDataFrame([(1, "a long text that asks for an STCW card", None, None), (2, "a long text that asks for an STCW card", ("entry", "rule", 0.9), None), (3, "this one will fail every time it is asked", None, None), (4, "short", None, None), (5, None, None, None)], f"id int, text string, experience_level {lvl}, required_certificates {lst}")
+    lvl, lst = "struct<value:string,provenance:string,confidence:double,quotes:map<string,string>>", "struct<value:array<string>,provenance:string,confidence:double,quotes:map<string,string>>"
+    rows = spark.createDataFrame([(1, "a long text that asks for an STCW card", None, None), (2, "a long text that asks for an STCW card", ("entry", "rule", 0.9, None), None), (3, "this one will fail every time it is asked", None, None), (4, "short", None, None), (5, None, None, None)], f"id int, text string, experience_level {lvl}, required_certificates {lst}")
     none = spark.createDataFrame([], completion.CACHE)
     new = completion.ask(rows, none, _Fake, "5", "m").cache()
     assert new.count() == 1 and completion.ask(rows, new, _Fake, "5", "m").count() == 0
     got = {r.id: r for r in completion.complete(rows, completion.merge_cache(none, new), "5", "m").collect()}
     assert got[1].experience_level.value == "mid" and list(got[1].required_certificates.value) == ["stcw"] and got[1].required_certificates.confidence == 0.6
+    assert got[1].experience_level.quotes == {"mid": "long  text"} and got[1].required_certificates.quotes == {"stcw": "an STCW card"}
     assert got[2].experience_level.value == "entry" and got[3].experience_level is None and got[5].required_certificates is None
 
 
+def test_answers_are_stored_before_they_are_read(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def extract(self, text):
+            asked.add(1)
+            return {"experience_level": {"value": "mid", "quote": text[:11], "basis": "stated"}, "required_certificates": []}
+
+    rows = spark.createDataFrame([(1, "a text long enough to be asked about"), (2, "another text long enough to be asked")], "id int, text string").selectExpr("*", "cast(null as struct<value:string,provenance:string,confidence:double,quotes:map<string,string>>) AS experience_level", "cast(null as struct<value:array<string>,provenance:string,confidence:double,quotes:map<string,string>>) AS required_certificates")
+    stored = tables.ParquetTable(spark, str(tmp_path / "cache"))
+    cache = completion.refresh_cache(stored, rows, Counting, "5", "m")
+    out = completion.complete(rows, cache, "5", "m")
+    assert out.count() == 2 and [r.experience_level.value for r in out.collect()] == ["mid", "mid"] and asked.value == 2
+    completion.refresh_cache(stored, rows, Counting, "5", "m")
+    assert asked.value == 2 and stored.read().count() == 2
+
+
+def test_of_two_writers_of_a_version_one_fails(spark, tmp_path):
+    t = tables.ParquetTable(spark, str(tmp_path / "t"))
+    t.ensure("k int")
+    t._point(1, t.version())
+    with pytest.raises(FileExistsError):
+        t._point(1, "other")
+    t.replace(spark.createDataFrame([(5,)], "k int"))
+    assert [r.k for r in t.read().collect()] == [5]
+
+
+def test_evidence_has_the_quote(spark):
+    v = _pair(spark, {"certificates": (["stcw"], 1.0), "professions": (["deck"], 1.0)}, {"type": "job", "profession": ("deck", "llm", 0.9, {"deck": "deck hands wanted"}), "required_certificates": (["stcw", "coc"], "llm", 0.9, {"stcw": "valid STCW documents"})})[2]
+    assert v["profession"].posting_evidence == "deck: deck hands wanted [llm]" and v["certificates"].posting_evidence == "stcw: valid STCW documents, coc [llm]"
+
+
 def test_retries_then_gives_up():
     calls = []
 
