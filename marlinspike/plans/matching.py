@@ -86,8 +86,9 @@ def ms_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fn27_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """FN27: content fingerprints of the profiles."""
-    return people(spark, d).select("user_id", scoring.fingerprint("profile").alias("fingerprint"))
+    """FN27: content fingerprints of the profiles' stages and languages as they are stored."""
+    rows = table(spark, d, "user_profiles").dropDuplicates(["user_id"]).selectExpr("user_id", "career_stage.value AS stage", "languages.value AS languages")
+    return rows.select("user_id", scoring.fingerprint("user_id", "stage", "languages").alias("fingerprint"))
 
 
 def sp_ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ pp AS (SELECT user_id, {_STAGE} AS stage, career_stage.confidence AS stage_c, li
   {lists(_DIRS)} AS dirs, {lists(_CERTS)}::VARCHAR[] AS certs, {lists(_CODES)} AS codes, s % 2 = 0 AS has_goal, CASE WHEN s % 4 = 0 THEN 'deck' END AS goal_p FROM u),
 en1 AS ({rule["en1_profession"]}), en3 AS ({rule["en3_country"]}), en5 AS ({rule["en5_hiring_scope"]}), en6 AS ({rule["en6_certificates"]}), en7 AS ({languages}), en8 AS ({rule["en8_experience"]}),
 oo AS (SELECT o.id, o.type, en1.profession AS prof, en1.confidence AS prof_c, r.direction AS dir, en7.required AS langs_r, en8.level, CASE WHEN en8.level = 'entry' THEN 0.95 ELSE 0.9 END AS level_c, en6.certificates AS certs_r, en3.country AS cty,
-  en5.id IS NOT NULL AS has_scope, en5.anywhere, en5.country AS scope FROM {STORED} o JOIN {POSTINGS} n USING (id) LEFT JOIN source_registry r ON r.source_id = o.source_id LEFT JOIN en1 USING (id) LEFT JOIN en3 USING (id) LEFT JOIN en5 USING (id) LEFT JOIN en6 USING (id) LEFT JOIN en7 USING (id) LEFT JOIN en8 USING (id)),
+  en5.id IS NOT NULL AS has_scope, en5.anywhere, en5.country AS scope, en5.unresolved FROM {STORED} o JOIN {POSTINGS} n USING (id) LEFT JOIN source_registry r ON r.source_id = o.source_id LEFT JOIN en1 USING (id) LEFT JOIN en3 USING (id) LEFT JOIN en5 USING (id) LEFT JOIN en6 USING (id) LEFT JOIN en7 USING (id) LEFT JOIN en8 USING (id)),
 pairs AS (SELECT DISTINCT user_id, opportunity_id FROM {EVENTS}),
 x AS (SELECT pairs.user_id, pairs.opportunity_id, pp.* EXCLUDE (user_id), oo.* EXCLUDE (id) FROM pairs JOIN pp USING (user_id) JOIN oo ON oo.id = pairs.opportunity_id),
 f AS (
@@ -132,8 +133,28 @@ f AS (
 """
     value = "CASE WHEN sum(CASE WHEN hit IS NOT NULL THEN w ELSE 0 END) > 0 THEN round(sum(CASE WHEN hit THEN w ELSE 0 END)::DOUBLE / sum(CASE WHEN hit IS NOT NULL THEN w ELSE 0 END), 6) END"
     scores = f"SELECT user_id, opportunity_id, {value} AS value, count(hit)::INT AS comparable_factors FROM f GROUP BY user_id, opportunity_id"
+    joined = lambda c: f"array_to_string({c}, ', ')"
+    ruled = lambda c: f"replace({c}, ',', ', ') || ' [rule]'"
+    short = "certs_r IS NOT NULL AND certs IS NOT NULL AND len(list_filter(string_split(certs_r, ','), lambda e: NOT list_contains(certs, e))) > 0 AND type = 'internship'"
+    texts = {
+        "profession": (ruled("prof"), joined("profs")),
+        "direction": (ruled("dir"), joined("dirs")),
+        "languages": (ruled("langs_r"), f"coalesce(nullif({joined('langs')}, ''), CASE WHEN langs IS NOT NULL THEN 'none' END)"),
+        "experience": (ruled("level"), "stage"),
+        "certificates": (f"CASE WHEN {short} THEN 'internship: training is part of the offer' ELSE {ruled('certs_r')} END", f"coalesce(nullif({joined('certs')}, ''), CASE WHEN certs IS NOT NULL THEN 'none' END)"),
+        "country": (ruled("cty"), joined("codes")),
+        "hiring_country": ("CASE WHEN anywhere THEN 'hires anywhere [rule]' WHEN scope IS NOT NULL THEN scope || ' [rule]' ELSE unresolved END", joined("codes")),
+        "career_goal": (
+            "CASE WHEN has_goal THEN nullif(concat_ws(', ', CASE WHEN goal_p IS NOT NULL THEN 'profession=' || prof END, 'direction=' || dir), '') END",
+            "CASE WHEN has_goal THEN concat_ws(', ', 'profession=' || goal_p, 'direction=cruise') END",
+        ),
+    }
+    evidence = " UNION ALL ".join(f"SELECT user_id, opportunity_id, '{k}' AS factor, {a} AS posting_evidence, {b} AS profile_evidence FROM x" for k, (a, b) in texts.items())
     return {
         "jn7_match_scores": base + scores,
+        "ms_evidence": base + evidence,
+        "fn27_fingerprints": f"""SELECT user_id, sha256('{{"user_id":"' || user_id || '","stage":' || coalesce('"' || career_stage.value || '"', 'null') || ',"languages":' || coalesce('[' || array_to_string(list_transform(languages.value, lambda x: '"' || x || '"'), ',') || ']', 'null') || '}}') AS fingerprint
+FROM {once_sql("user_profiles", "user_id")}""",
         "ms_outcomes": base + "SELECT factor, CASE WHEN hit IS NULL THEN 'not_comparable' WHEN hit THEN 'match' ELSE 'mismatch' END AS outcome, count(*) AS n, count(*) FILTER (caveat) AS with_caveat, round(avg(CASE WHEN hit IS NULL THEN 0 ELSE w END)::DOUBLE, 6) AS weight FROM f GROUP BY 1, 2",
         "sp_ranked": base + f"SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, opportunity_id)::INT AS rank FROM ({scores}) QUALIFY rank <= 3",
     }

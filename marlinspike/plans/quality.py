@@ -274,7 +274,13 @@ def pr3_rss_postings(spark: SparkSession, d: str) -> DataFrame:
     return feeds.from_rss_payload(once(spark, d, "raw_items")).select("id", "title", "salary_raw")
 
 
-@query()
+_OBJECT = f"(SELECT id, source_id, payload, regexp_matches(payload, '^\\s*[{{\\[]') AS is_json, CASE WHEN regexp_matches(payload, '^\\s*[{{\\[]') AND json_valid(payload) THEN {_ONE} END AS one FROM {RAW})"
+
+
+@query(
+    f"""SELECT source_id, error, count(*) AS n FROM (SELECT source_id, CASE WHEN payload IS NULL OR trim(payload) = '' THEN 'empty' WHEN is_json AND NOT json_valid(payload) THEN 'broken_json' WHEN is_json AND (one->>'$.id') IS NULL THEN 'no_posting'
+WHEN regexp_matches(payload, '^\\s*<item>') AND NOT regexp_matches(payload, '(?s)</item>\\s*$') THEN 'broken_xml' WHEN NOT is_json AND NOT regexp_matches(payload, '^\\s*<item>') THEN 'foreign_form' END AS error FROM {_OBJECT}) WHERE error IS NOT NULL GROUP BY ALL"""
+)
 def pr_quarantine(spark: SparkSession, d: str) -> DataFrame:
     """H4: payloads that can't be read, by source and reason."""
     return feeds.quarantine(once(spark, d, "raw_items")).groupBy("source_id", "error").agg(F.count("*").alias("n"))

@@ -206,12 +206,40 @@ def en9_salary(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "s.minimum", "s.maximum", "s.currency", "s.period")
 
 
-@query()
+_FIELD = "nullif(map_extract_value(source_fields, '{0}'), '')"
+_QUALIFIED = f"coalesce(nullif(concat_ws(chr(10), {_FIELD.format('skills_knowledge_expertise')}, {_FIELD.format('additional_requirements')}), ''), description, '')"
+
+
+def _over_qualified(name: str) -> str:
+    """A rule's SQL over the text that states requirements instead of the description."""
+    return "(" + SQL[name].replace(TEXT, _QUALIFIED) + ")"
+
+
+@query(
+    f"""SELECT n.id, a.profession, a.confidence AS profession_confidence, b.direction, b.workplace, c.country, coalesce(e.country, e.unresolved, CASE WHEN e.anywhere THEN 'anywhere' END) AS hires, f.certificates, g.required, g.preferred, h.level, s.currency, s.maximum
+FROM {POSTINGS} n JOIN ({SQL["en1_profession"]}) a USING (id) JOIN ({SQL["en2_source_config"]}) b USING (id) JOIN ({SQL["en3_country"]}) c USING (id) LEFT JOIN ({SQL["en5_hiring_scope"]}) e USING (id)
+JOIN {_over_qualified("en6_certificates")} f USING (id) JOIN {_over_qualified("en7_languages")} g USING (id) JOIN {_over_qualified("en8_experience")} h USING (id) LEFT JOIN ({SQL["en9_salary"]}) s USING (id)"""
+)
 def en14_enriched(spark: SparkSession, d: str) -> DataFrame:
-    """EN4, EN14, PR14, PR15: all rule fields of every posting, and the document they are stored as."""
+    """EN4, EN14, PR14: all rule fields of every posting."""
+    out = enrich.enrich(once(spark, d, "normalized_opportunities"), table(spark, d, "source_registry"))
+    scope = F.col("hiring_scope")
+    return out.select(
+        "id", F.col("profession.value").alias("profession"), F.col("profession.confidence").alias("profession_confidence"), F.col("direction.value").alias("direction"), F.col("workplace_type_hint.value").alias("workplace"), F.col("country.value").alias("country"),
+        F.coalesce(F.get(scope["countries"], F.lit(0)), F.get(scope["unresolved"], F.lit(0)), F.when(scope["anywhere"], "anywhere")).alias("hires"),
+        F.array_join("required_certificates.value", ",").alias("certificates"), F.array_join("required_languages.value", ",").alias("required"), F.array_join("preferred_languages.value", ",").alias("preferred"), F.col("experience_level.value").alias("level"), F.col("salary.currency").alias("currency"), F.col("salary.maximum").alias("maximum"),
+    )
+
+
+@query(
+    f"""SELECT n.id, '{{"profession":' || CASE WHEN a.profession IS NULL THEN 'null' ELSE '{{"value":"' || a.profession || '","provenance":"rule","confidence":' || a.confidence::VARCHAR || ',"quotes":null}}' END
+|| ',"experience_level":' || CASE WHEN h.level IS NULL THEN 'null' ELSE '{{"value":"' || h.level || '","provenance":"rule","confidence":' || CASE WHEN h.level = 'entry' THEN '0.95' ELSE '0.9' END || ',"quotes":null}}' END || ',"city":null}}' AS enriched
+FROM {POSTINGS} n JOIN ({SQL["en1_profession"]}) a USING (id) JOIN {_over_qualified("en8_experience")} h USING (id)"""
+)
+def pr15_stored_document(spark: SparkSession, d: str) -> DataFrame:
+    """PR15: derived fields as the JSON document they are stored as, unknown ones written out as null (three of them here)."""
     out = enrich.enrich(once(spark, d, "normalized_opportunities"), table(spark, d, "source_registry"))
-    fields = ["profession", "direction", "workplace_type_hint", "country", "hiring_scope", "required_certificates", "required_languages", "preferred_languages", "experience_level", "salary"]
-    return out.select("id", "source_id", "external_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("enriched"))
+    return out.select("id", enrich.document(("profession", "experience_level", "city")).alias("enriched"))
 
 
 @query(f"SELECT id, sha256(payload) AS content_hash, lower(r.content_hash) = sha256(payload) AS agrees FROM {RAW} r WHERE payload IS NOT NULL")
