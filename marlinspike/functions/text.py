@@ -51,15 +51,27 @@ def literal_list(values: Sequence[object]) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """HTML entities decoded: common named ones and decimal numbers of Latin-1, in one left-to-right sense (&amp; last)."""
+    """HTML entities decoded: common named ones and all numbers, decimal or hexadecimal, in one left-to-right sense (&amp; last)."""
     for name, sign in ENTITIES.items():
         if name == "&amp;":
-            for code in (39, 34, 38, 160, 8217, 8211):
-                text = F.replace(text, F.lit(f"&#{code};"), F.lit(chr(code)))
+            text = _unescape_numbers(text)
         text = F.replace(text, F.lit(name), F.lit(sign))
     return text
 
 
+def _unescape_numbers(text: Column) -> Column:
+    """Numeric entities by their code points; numbers that are none stay as written."""
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});"), F.lit(1)))
+
+    def decoded(done: Column, code: Column) -> Column:
+        n = F.when(F.startswith(code, F.lit("x")), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("bigint")
+        sign = F.when(((n > 0) & (n < 0xD800)) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        entity = F.concat(F.lit("&#"), code, F.lit(";"))
+        return F.when(sign.isNotNull(), F.replace(done, entity, sign)).otherwise(done)
+
+    return F.when(F.contains(text, F.lit("&#")), F.aggregate(codes, text, decoded)).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     """Markup to lines: scripts, styles and comments dropped, tags are line breaks, blanks in a line collapsed, blank lines dropped; null if nothing is left."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
@@ -124,6 +136,12 @@ def requirements_block(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(block, r"^\s+|\s+$", "")), F.lit(""))
 
 
+def required_tail(text: Column) -> Column:
+    """tail(), failing the read where the closing lines are missing: for feeds whose every item must have them."""
+    found = tail(text)
+    return F.when(found.isNull(), F.raise_error(F.lit("item without its closing lines")).cast("struct<description:string,salary:string,join_date:string,duration:string>")).otherwise(found)
+
+
 def tail(text: Column) -> Column:
     """Struct (description, salary, join_date, duration) of a text that ends in three consecutive lines
     "Salary:", "Join date:" and "Contract duration:"; null if it has no such run. One closing period is dropped."""

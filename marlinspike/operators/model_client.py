@@ -12,7 +12,7 @@ from email.utils import parsedate_to_datetime
 
 from marlinspike.vocab import CERTIFICATES, EXPERIENCE_LEVELS
 
-PROMPT_VERSION = "1"
+PROMPT_VERSION = "2"
 #: Sends (url, headers, body); gives (status, headers, body).
 Send = Callable[[str, dict[str, str], bytes], tuple[int, dict[str, str], bytes]]
 
@@ -28,12 +28,23 @@ def response_schema() -> dict:
     return {"type": "object", "properties": {"experience_level": level, "required_certificates": {"type": "array", "items": item("key", list(CERTIFICATES))}}, "required": ["experience_level", "required_certificates"], "additionalProperties": False}
 
 
+#: What a level means in years; the rules' own thresholds, fixed values.
+LEVELS_BY_YEARS = (("entry", "none asked for, or trainees wanted"), ("junior", "under 2 years"), ("mid", "2 years up to 4"), ("senior", "5 years and more"))
+
+
 def prompt(text: str) -> str:
-    """The question about one text."""
+    """The question about one text: what counts as a level and as a required certificate, and what doesn't."""
+    levels = "; ".join(f"{level}: {years}" for level, years in LEVELS_BY_YEARS)
     return (
-        "Read the job posting below. Say which experience level it asks for and which certificates a candidate must hold. "
-        "Copy the words that say so as the quote, exactly as they stand. Mark what the text says outright as stated and what follows from it as inferred. "
-        "If the text doesn't say, give null for the level and leave the list empty; don't guess.\n\n" + text
+        "Below is a job posting. Answer two things about it as JSON: experience_level and required_certificates. "
+        "For each answer copy the words it rests on as its quote, letter by letter from the posting; an answer without such words is no answer.\n"
+        f"Level, by the years asked for: {levels}. Years decide even where leading others is mentioned; lead is for required leadership without any number, "
+        "and experience that is asked for without a number is junior. The length of the contract, the age of ships and how often a course must be renewed are not experience, nor are the duties. "
+        "Nothing asked for: null. The basis is stated if the posting says it outright, inferred if it only follows.\n"
+        f"Certificates, by these keys only: {', '.join(CERTIFICATES)}. Count what an applicant has to hold already. "
+        "What is recommended, preferred, welcome or an advantage is not required. Knowing or following a standard is not holding it. "
+        "If the document that is required has no key of its own, leave it out rather than take a similar key; a visa of one country is not that of another. Nothing required: an empty list.\n\n"
+        + text
     )
 
 

@@ -144,6 +144,11 @@ def lost_certificates(records: DataFrame, payload: Column, readable: Column, exp
     return lost_keys(named, F.col("present"), F.col("readable"), expected, by)
 
 
+def sampling_pool(postings: DataFrame, text: str = "text") -> DataFrame:
+    """Postings worth labelling: a rule left the level or the certificates null and the text has at least 20 characters."""
+    return postings.where((F.col("experience_level").isNull() | F.col("required_certificates").isNull()) & (F.length(F.trim(text)) >= 20))
+
+
 def quotas(sizes: dict[str, int], total: int, favoured: str | None = None, favoured_most: int = 0) -> dict[str, int]:
     """An even split of `total` over strata, at most each one's size; what small ones lack goes to the largest remainders."""
     given = dict.fromkeys(sizes, 0)

@@ -178,24 +178,29 @@ def pr20_gold_rules(spark: SparkSession, d: str) -> DataFrame:
     return reports.gold_violations(gold).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-_STRATA = f"(SELECT id, source_id, length(trim(coalesce(description, ''))) AS n, md5(id::VARCHAR || '|20260720') AS o FROM {POSTINGS})"
+_POOL = f"""(SELECT n.id, n.source_id, md5(n.id::VARCHAR || '|20260720') AS o FROM {POSTINGS} n JOIN ({RULES["en6_certificates"]}) c USING (id) JOIN ({RULES["en8_experience"]}) l USING (id)
+WHERE length(trim(coalesce(description, ''))) >= 20 AND (certificates IS NULL OR level IS NULL))"""
 
 
-@query(f"SELECT id, source_id FROM {_STRATA} WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY o, id) <= 5")
+@query(f"SELECT id, source_id FROM {_POOL} QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY o, id) <= 5")
 def so7_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    """SO7, PR18: a seeded sample of five postings of each source (a sampling operator: the limit is the feature)."""
-    pool = once(spark, d, "normalized_opportunities").where(F.length(F.trim(F.coalesce("description", F.lit("")))) >= 20).select("id", "source_id")
+    """SO7, PR18: a seeded sample of five postings of each source in which the rules left a gap (a sampling operator: the limit is the feature)."""
+    rows = enrich.with_experience(once(spark, d, "normalized_opportunities").select("id", "source_id", F.expr(TEXT).alias("text")), F.col("text"))
+    pool = reports.sampling_pool(rows.withColumn("required_certificates", enrich.certificate_keys(F.col("text")))).select("id", "source_id")
     sources = [r[0] for r in table(spark, d, "source_registry").select("source_id").distinct().limit(10_000).collect()]
     return reports.stratified_sample(pool, "source_id", "id", dict.fromkeys(sources, 5), 20260720)
 
 
 @query(
-    f"""SELECT id, length(regexp_replace(trim(regexp_replace(t, '[\\s\\x{{A0}}]+', ' ', 'g')), '\\s', '', 'g')) >= 20 AS enough FROM (SELECT id, {TEXT} AS t FROM {POSTINGS})"""
+    f"""SELECT id FROM (SELECT id, {TEXT} AS t FROM {POSTINGS}) JOIN ({RULES["en6_certificates"]}) c USING (id) JOIN ({RULES["en8_experience"]}) l USING (id)
+WHERE (certificates IS NULL OR level IS NULL) AND length(regexp_replace(trim(regexp_replace(t, '[\\s\\x{{A0}}]+', ' ', 'g')), '\\s', '', 'g')) >= 20"""
 )
 def pr17_needs_model(spark: SparkSession, d: str) -> DataFrame:
-    """PR17: whether a text is long enough to be asked about."""
-    visible = F.length(F.regexp_replace(fn.plain_spaces(F.expr(TEXT)), r"\s", ""))
-    return once(spark, d, "normalized_opportunities").select("id", (visible >= 20).alias("enough"))
+    """PR17: postings that a model would be asked about."""
+    from marlinspike.operators import completion
+
+    rows = enrich.with_experience(once(spark, d, "normalized_opportunities").select("id", F.expr(TEXT).alias("text")), F.col("text"))
+    return completion.needs_completion(rows.withColumn("required_certificates", enrich.certificate_keys(F.col("text")))).select("id")
 
 
 _TENURE_SQL, _CERTS_SQL = RULES["en8_experience"], RULES["en6_certificates"]

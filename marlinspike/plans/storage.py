@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlinspike.operators import profiles, tables
+from marlinspike.operators import constraints, profiles, tables
 from marlinspike.plans.common import EVENTS, POSTINGS, RAW, STORED, once, once_sql
 from marlinspike.session import table
-from marlinspike.vocab import DIRECTIONS
+from marlinspike.vocab import CAREER_STAGES, DIRECTIONS, LANGUAGES, PROFESSIONS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -69,10 +71,13 @@ def sk3_cache_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge_cache(part(0, "old"), part(1, "new")).select("content_hash", "response")
 
 
-@query(f"SELECT e.id, e.user_id, e.action FROM {EVENTS} e SEMI JOIN user_profiles u USING (user_id)")
+@query(
+    f"""SELECT e.id, CASE WHEN u.user_id IS NULL THEN 'no_profile' WHEN e.dwell_seconds < 0 THEN 'negative_dwell' END AS error FROM {EVENTS} e LEFT JOIN (SELECT DISTINCT user_id FROM user_profiles) u USING (user_id)"""
+)
 def sk4_journal_append(spark: SparkSession, d: str) -> DataFrame:
-    """SK4, JN9: journal rows of known people."""
-    return once(spark, d, "behaviour_events").join(table(spark, d, "user_profiles").select("user_id"), "user_id", "left_semi").select("id", "user_id", "action")
+    """SK4, JN9: events to append, and why some are refused."""
+    accepted, refused = profiles.checked_events(once(spark, d, "behaviour_events"), table(spark, d, "user_profiles"))
+    return accepted.select("id", F.lit(None).cast("string").alias("error")).unionByName(refused.select("id", "error"))
 
 
 @query(f"SELECT DISTINCT user_id FROM {EVENTS} e ANTI JOIN (SELECT * FROM user_profiles WHERE user_id < '8') u USING (user_id)")
@@ -82,6 +87,14 @@ def sk5_create_absent(spark: SparkSession, d: str) -> DataFrame:
     return tables.insert_new(known, once(spark, d, "behaviour_events").select("user_id"), ["user_id"])
 
 
+def fact_changes(events: DataFrame) -> DataFrame:
+    """A change log made of the journal, alike in Spark and SQL: the test tables have none."""
+    source = F.when(F.col("action") == "apply", "stated").when(F.col("action") == "save", "imported").otherwise("observed")
+    return events.select(
+        "user_id", F.when(F.col("opportunity_id") % 2 == 0, "goal").otherwise("stage").alias("field"), source.alias("source"), F.col("occurred_at").alias("at"), F.col("id").alias("seq"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("v"), F.col("opportunity_id") % 10)).alias("value")
+    )
+
+
 _SOURCES = "CASE action WHEN 'apply' THEN 'stated' WHEN 'save' THEN 'imported' ELSE 'observed' END"
 _CHANGES = f"SELECT user_id, CASE WHEN opportunity_id % 2 = 0 THEN 'goal' ELSE 'stage' END AS field, {_SOURCES} AS source, occurred_at AS t, id AS seq, CASE WHEN id % 5 <> 0 THEN 'v' || (opportunity_id % 10)::VARCHAR END AS value FROM {EVENTS}"
 
@@ -95,10 +108,7 @@ SELECT user_id, field, value, source, epoch_us(t) AS stated_us FROM m WHERE valu
 )
 def sk6_fact_fold(spark: SparkSession, d: str) -> DataFrame:
     """SK6, SK7, PR9, SS5: facts after folding changes and clears, stated ones taking precedence."""
-    source = F.when(F.col("action") == "apply", "stated").when(F.col("action") == "save", "imported").otherwise("observed")
-    log = once(spark, d, "behaviour_events").select(
-        "user_id", F.when(F.col("opportunity_id") % 2 == 0, "goal").otherwise("stage").alias("field"), source.alias("source"), F.col("occurred_at").alias("at"), F.col("id").alias("seq"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("v"), F.col("opportunity_id") % 10)).alias("value")
-    )
+    log = fact_changes(once(spark, d, "behaviour_events"))
     return profiles.current_facts(log).select("user_id", "field", "value", "source", F.unix_micros("stated_at").alias("stated_us"))
 
 
@@ -222,15 +232,57 @@ def st9_keys_by_side(spark: SparkSession, d: str) -> DataFrame:
     return raw.subtract(stored).withColumn("side", F.lit("raw")).unionByName(raw.intersect(stored).withColumn("side", F.lit("both")))
 
 
-@query(f"SELECT EXISTS (SELECT 1 FROM {RAW} WHERE http_status >= 400) AS any_error, (SELECT count(*) FROM {RAW} WHERE http_status >= 400) AS errors")
+@query(f"SELECT source_id, EXISTS (SELECT 1 FROM {RAW} r WHERE r.source_id = g.source_id AND http_status >= 400) AS any_error FROM source_registry g")
 def so4_existence(spark: SparkSession, d: str) -> DataFrame:
-    """SO4: whether any fetch failed, and how many."""
-    return once(spark, d, "raw_items").agg((F.count_if(F.col("http_status") >= 400) > 0).alias("any_error"), F.count_if(F.col("http_status") >= 400).alias("errors"))
+    """SO4: whether any fetch of a source failed; a semi-join stops at a source's first one."""
+    failed = table(spark, d, "raw_items").where("http_status >= 400").select("source_id").distinct().withColumn("any_error", F.lit(True))
+    return table(spark, d, "source_registry").select("source_id").join(failed, "source_id", "left").select("source_id", F.coalesce("any_error", F.lit(False)).alias("any_error"))
+
 
+def _fact_sql(field: str) -> str:
+    return f"""SELECT 'user_profiles' AS "table", user_id AS key, '{field}:stated_not_certain' AS rule FROM {USERS} WHERE {field}.source = 'stated' AND {field}.confidence <> 1.0
+UNION ALL SELECT 'user_profiles', user_id, '{field}:confidence' FROM {USERS} WHERE NOT {field}.confidence BETWEEN 0 AND 1"""
 
-@query("SELECT user_id, array_to_string(list_filter(['career_stage:confidence', 'residence_country:confidence'], lambda x: (x = 'career_stage:confidence' AND career_stage.source = 'stated' AND career_stage.confidence <> 1.0) OR (x = 'residence_country:confidence' AND residence_country.source = 'stated' AND residence_country.confidence <> 1.0)), ',') AS broken FROM (SELECT DISTINCT user_id, career_stage, residence_country FROM user_profiles)")
+
+_FACT_FIELDS = ("career_stage", "residence_country", "professions", "languages", "preferred_countries")
+
+
+@query(
+    " UNION ALL ".join(_fact_sql(f) for f in _FACT_FIELDS)
+    + f""" UNION ALL SELECT 'opportunities', id::VARCHAR, 'salary:source_not_certain' FROM {STORED} WHERE salary.provenance = 'source' AND salary.confidence <> 1.0
+UNION ALL SELECT 'opportunities', id::VARCHAR, 'salary:confidence' FROM {STORED} WHERE NOT salary.confidence BETWEEN 0 AND 1
+UNION ALL SELECT 'behaviour_events', id::VARCHAR, 'dwell_negative' FROM {EVENTS} WHERE dwell_seconds < 0
+UNION ALL SELECT 'raw_items', id::VARCHAR, 'content_hash' FROM {RAW} WHERE NOT regexp_full_match(content_hash, '[0-9a-f]{{64}}')
+UNION ALL SELECT 'raw_items', id::VARCHAR, 'url' FROM {RAW} WHERE NOT regexp_matches(url, '^https?://[^/?#]+')"""
+)
 def pr19_constraints(spark: SparkSession, d: str) -> DataFrame:
-    """PR19: which facts break "stated is certain"."""
-    facts = ["career_stage", "residence_country"]
-    bad = F.array_compact(F.array(*[F.when((F.col(f"{f}.source") == "stated") & (F.col(f"{f}.confidence") != 1.0), f"{f}:confidence") for f in facts]))
-    return table(spark, d, "user_profiles").select("user_id", *facts).distinct().select("user_id", F.array_join(bad, ",").alias("broken"))
+    """PR19, SC21: every row of the tables that breaks a constraint of the data model, and which."""
+    people = table(spark, d, "user_profiles").dropDuplicates(["user_id"])
+    parts = [
+        ("user_profiles", constraints.broken(people, "user_id", {k: v for f in _FACT_FIELDS for k, v in constraints.fact_rules(f).items()})),
+        ("opportunities", constraints.broken(once(spark, d, "opportunities"), "id", constraints.derived_rules("salary"))),
+        ("behaviour_events", constraints.broken(once(spark, d, "behaviour_events"), "id", constraints.event_rules())),
+        ("raw_items", constraints.broken(once(spark, d, "raw_items"), "id", constraints.raw_rules())),
+    ]
+    named = [rows.select(F.lit(name).alias("table"), "key", "rule") for name, rows in parts]
+    return reduce(DataFrame.unionByName, named)
+
+
+_KNOWN = {"professions": list(PROFESSIONS), "languages": list(LANGUAGES)}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{f}' AS field, count(*) AS changes, count(*) FILTER (len(list_filter({f}.value, lambda x: x NOT IN ({", ".join(repr(k) for k in keys)}))) > 0) AS unknown_key FROM {USERS} WHERE {f}.value IS NOT NULL""" for f, keys in _KNOWN.items()
+    )
+    + f""" UNION ALL SELECT 'preferred_countries', count(*), count(*) FILTER (len(list_filter(preferred_countries.value, lambda x: NOT regexp_full_match(upper(x), '[A-Z][A-Z]'))) > 0) FROM {USERS} WHERE preferred_countries.value IS NOT NULL
+UNION ALL SELECT 'residence_country', count(*), count(*) FILTER (NOT regexp_full_match(upper(residence_country.value), '[A-Z][A-Z]')) FROM {USERS} WHERE residence_country.value IS NOT NULL
+UNION ALL SELECT 'career_stage', count(*), count(*) FILTER (career_stage.value NOT IN ({", ".join(repr(k) for k in CAREER_STAGES)})) FROM {USERS} WHERE career_stage.value IS NOT NULL"""
+)
+def sk6_checked_changes(spark: SparkSession, d: str) -> DataFrame:
+    """SK6, FN25: the stored facts as changes, checked against the vocabularies, by field."""
+    people = table(spark, d, "user_profiles").dropDuplicates(["user_id"])
+    single = ("career_stage", "residence_country")
+    facts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.source").alias("source"), F.col(f"{f}.confidence").alias("confidence"), F.col(f"{f}.stated_at").alias("at"), (F.when(F.col(f"{f}.value").isNotNull(), F.array(f"{f}.value")) if f in single else F.col(f"{f}.value")).alias("items")) for f in _FACT_FIELDS])
+    changes = people.select("user_id", F.explode(facts).alias("x")).select("user_id", "x.*", F.lit(0).cast("long").alias("seq")).where("items is not null")
+    return profiles.checked_changes(changes).groupBy("field").agg(F.count("*").alias("changes"), F.count_if(F.array_contains("errors", "unknown_key")).alias("unknown_key"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlinspike.operators.tables import ParquetTable
-from marlinspike.plans.common import RAW
+from marlinspike.plans.common import EVENTS, RAW, once
+from marlinspike.plans.storage import SQL as STORAGE_SQL
+from marlinspike.plans.storage import fact_changes
 from marlinspike.session import scratch_folder, table
 from marlinspike.streaming import intake
 
@@ -66,6 +68,28 @@ def ss3_journal(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/journal").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query(STORAGE_SQL["ag1_interest_counts"].replace(EVENTS, "behaviour_events"))
+def ss4_running_interest(spark: SparkSession, d: str) -> DataFrame:
+    """SS4: interest in total, by direction and by type of posting, as events come, every delivered event counted."""
+    at = _folder(spark)
+    kept = ParquetTable(spark, f"{at}/interest")
+    o = once(spark, d, "opportunities").join(table(spark, d, "source_registry").select("source_id", "direction"), "source_id", "left").select("id", "direction", F.col("type").alias("profession"))
+    stream = intake.running_interest(_stream(spark, d, "behaviour_events"), o)
+    write = lambda batch, _: kept.replace(batch)
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return kept.read()
+
+
+@query(STORAGE_SQL["sk6_fact_fold"])
+def ss5_fact_fold(spark: SparkSession, d: str) -> DataFrame:
+    """SS5: facts folded from a stream of changes, stated ones taking precedence; the stream delivered twice."""
+    at = _folder(spark)
+    kept = ParquetTable(spark, f"{at}/facts")
+    for run in ("a", "b"):
+        intake.start(fact_changes(_stream(spark, d, "behaviour_events")), intake.fact_fold(kept), f"{at}/checkpoint-{run}").awaitTermination()
+    return kept.read().select("user_id", "field", "value", "source", F.unix_micros("stated_at").alias("stated_us"))
+
+
 @query("SELECT user_id, action, count(*) AS n FROM behaviour_events GROUP BY user_id, action")
 def ss4_running_counts(spark: SparkSession, d: str) -> DataFrame:
     """SS4: actions counted as they come, the last state of each count kept."""

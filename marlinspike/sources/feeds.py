@@ -15,6 +15,10 @@ JSON_POSTING = """id string, url string, title string, description string, key_r
 RSS_ITEM = "title string, link string, guid string, pubDate string, description string, location string, salary string, category string, featured string, sector string, employer string, RecuiterJobNumber string, PostDate string, expiryDate string"
 
 
+def _needed(value: Column, of: str, name: str) -> Column:
+    return F.when(value.isNull(), F.raise_error(F.lit(f"{of} without {name}")).cast("string")).otherwise(value)
+
+
 def json_feed_items(documents: DataFrame, source_id: str, text: str = "value") -> DataFrame:
     """Raw items of whole JSON feed documents ({"data": [posting, ...]}): source_id, external_id, url, payload, content_hash.
 
@@ -26,8 +30,7 @@ def json_feed_items(documents: DataFrame, source_id: str, text: str = "value") -
     checked = F.when(items.isNull(), F.raise_error(F.lit("feed has no list of postings"))).otherwise(items)
     rows = documents.select(F.explode(checked).alias("v"))
     ext, url = F.try_variant_get("v", "$.id", "string"), F.try_variant_get("v", "$.url", "string")
-    need = lambda c, name: F.when(c.isNull(), F.raise_error(F.lit(f"posting without {name}")).cast("string")).otherwise(c)
-    return rows.select(F.lit(source_id).alias("source_id"), need(ext, "id").alias("external_id"), need(url, "url").alias("url"), F.to_json("v").alias("payload")).withColumn("content_hash", content_hash(F.col("payload")))
+    return rows.select(F.lit(source_id).alias("source_id"), _needed(ext, "posting", "id").alias("external_id"), _needed(url, "posting", "url").alias("url"), F.to_json("v").alias("payload")).withColumn("content_hash", content_hash(F.col("payload")))
 
 
 def read_json_feed(spark: SparkSession, path: str, source_id: str) -> DataFrame:
@@ -35,11 +38,17 @@ def read_json_feed(spark: SparkSession, path: str, source_id: str) -> DataFrame:
     return json_feed_items(spark.read.text(path, wholetext=True), source_id)
 
 
+def rss_feed_items(documents: DataFrame, source_id: str, text: str = "value") -> DataFrame:
+    """Raw items of whole RSS documents, each <item> as it is written; one without an id or a link fails the read."""
+    items = documents.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?s)(<item\b.*?</item>)"), F.lit(1))).alias("payload"))
+    read = items.withColumn("x", F.from_xml("payload", RSS_ITEM, {"mode": "PERMISSIVE"}))
+    ext = F.coalesce(rss_id(F.col("x.guid")), optional(F.col("x.RecuiterJobNumber")))
+    return read.select(F.lit(source_id).alias("source_id"), _needed(ext, "item", "id").alias("external_id"), _needed(optional(F.col("x.link")), "item", "link").alias("url"), "payload", content_hash(F.col("payload")).alias("content_hash"))
+
+
 def read_rss_feed(spark: SparkSession, path: str, source_id: str) -> DataFrame:
-    """Raw items of RSS files: one row per <item>, the item as JSON in payload."""
-    items = spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
-    ext = F.coalesce(rss_id(F.col("guid")), optional(F.col("RecuiterJobNumber")))
-    return items.select(F.lit(source_id).alias("source_id"), ext.alias("external_id"), optional(F.col("link")).alias("url"), F.to_json(F.struct("*")).alias("payload")).withColumn("content_hash", content_hash(F.col("payload")))
+    """rss_feed_items() over files, one document each."""
+    return rss_feed_items(spark.read.text(path, wholetext=True), source_id)
 
 
 def rss_id(guid: Column) -> Column:
@@ -94,7 +103,7 @@ def from_rss_payload(raw: DataFrame) -> DataFrame:
     off the description and kept as fields; "Location:" and "Requirements:" are read from the text.
     """
     item = F.from_xml(F.col("payload"), RSS_ITEM, {"mode": "PERMISSIVE"})
-    shaped = raw.where(F.col("payload").rlike(r"(?s)^\s*<item>.*</item>\s*$")).withColumn("x", item).where("x.title is not null or x.guid is not null").withColumn("body", html_to_text(F.col("x.description"))).withColumn("t", tail(F.col("body")))
+    shaped = raw.where(F.col("payload").rlike(r"(?s)^\s*<item\b.*</item>\s*$")).withColumn("x", item).where("x.title is not null or x.guid is not null").withColumn("body", html_to_text(F.col("x.description"))).withColumn("t", tail(F.col("body")))
     text = F.coalesce("t.description", F.when(F.col("t").isNull(), F.col("body")))
     fields = {"sector": F.regexp_replace(optional(F.col("x.sector")), r"^\d+\.\s*", ""), "featured": optional(F.col("x.featured")), "expires": optional(F.col("x.expiryDate")), "join_date": F.col("t.join_date"), "duration": F.col("t.duration"), "additional_requirements": requirements_block(text)}
     return shaped.select(

@@ -117,6 +117,9 @@ def test_offsets_of_matches(spark):
 def test_text_functions(spark):
     assert _one(spark, "<p>A&amp;B</p><script>x</script><br>C&nbsp; D<!-- n -->", fn.html_to_text) == "A&B\nC D"
     assert _one(spark, "<p> </p>", fn.html_to_text) is None
+    assert _one(spark, "it&#39;s &#x2019;&#8217; &#x1F600; &#999999999; &#xD800; &amp;#39;", fn.unescape) == "it's ’’ 😀 &#999999999; &#xD800; &#39;"
+    with pytest.raises(Exception, match="closing lines"):
+        _one(spark, "no tail", fn.required_tail)
     assert _one(spark, "Street, Shop, NA", fn.address) == "Street, Shop"
     assert _one(spark, "x\nRequirements: a\nb: c\nOther:\nd", fn.requirements_block) == "a\nb: c"
     t = _one(spark, "Salary: first\nText\nSalary: 5 USD.\nJoin date: now\nContract duration: 3 months.", fn.tail)

@@ -1,12 +1,13 @@
 import datetime as dt
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marlinspike import jobs
-from marlinspike.operators import completion, profiles, reports, scoring, tables
+from marlinspike.operators import completion, constraints, profiles, reports, scoring, tables
 from marlinspike.sources import feeds, http, registry
 from marlinspike.streaming import intake
 
@@ -28,6 +29,73 @@ def test_facts_fold_like_one_change_after_another(spark):
     assert profiles.current_facts(df.limit(0)).count() == 0
 
 
+def test_setting_and_clearing_facts(spark):
+    day = lambda n: dt.datetime(2025, 1, n)
+    people = spark.createDataFrame([(u, day(1), day(1)) for u in ("a", "b", "c")], "user_id string, created_at timestamp, updated_at timestamp")
+    facts = spark.createDataFrame([("a", "languages", (["en"], 1.0), "stated", day(1)), ("b", "languages", (["en"], 0.5), "observed", day(1))], "user_id string, field string, value struct<items:array<string>,confidence:double>, source string, stated_at timestamp")
+    changes = [
+        ("a", "languages", "observed", 0.5, day(2), 1, ["de"]),  # a person's own answer stands
+        ("a", "residence_country", "stated", 1.0, day(2), 2, ["pl"]),  # codes are upper case
+        ("a", "languages", "observed", 1.0, day(3), 3, None),  # nor may it be cleared
+        ("b", "languages", "stated", 1.0, day(2), 4, []),  # an empty list is an answer
+        ("b", "professions", "stated", 1.0, day(2), 5, ["nonsense"]),
+        ("b", "career_goal", "stated", 1.0, day(2), 6, ["profession=deck", "country=no"]),
+        ("b", "career_goal", "stated", 1.0, day(3), 7, ["profession=nonsense"]),
+        ("b", "career_goal", "stated", 1.0, day(3), 8, []),
+        ("b", "hobby", "stated", 1.0, day(2), 9, ["x"]),
+        ("b", "certificates", "stated", 0.9, day(2), 10, ["stcw"]),
+        ("c", "languages", "stated", 1.0, day(2), 11, None),  # clearing nothing touches nothing
+        ("zz", "languages", "stated", 1.0, day(2), 12, ["en"]),
+    ]
+    touched, after, refused = profiles.set_facts(people, facts, spark.createDataFrame(changes, profiles.CHANGE), F.lit(day(9)))
+    assert {(r.user_id, r.field): (list(r.value["items"]), r.source) for r in after.collect()} == {
+        ("a", "languages"): (["en"], "stated"), ("a", "residence_country"): (["PL"], "stated"), ("b", "languages"): ([], "stated"), ("b", "career_goal"): (["profession=deck", "country=NO"], "stated"),
+    }
+    assert {r.user_id: r.updated_at for r in touched.collect()} == {"a": day(9), "b": day(9), "c": day(1)}
+    assert {r.seq: list(r.errors) for r in refused.collect()} == {1: ["stated_is_protected"], 3: ["stated_is_protected"], 5: ["unknown_key"], 7: ["unknown_key"], 8: ["empty_goal"], 9: ["unknown_field"], 10: ["stated_not_certain"], 12: ["no_profile"]}
+    assert profiles.profile_of(people, "a").count() == 1 and profiles.profile_of(people, "x").count() == 0
+
+
+def test_journal_takes_all_events_or_none(spark, tmp_path):
+    people = spark.createDataFrame([("a",)], "user_id string")
+    schema = "id long, user_id string, dwell_seconds int"
+    journal = tables.ParquetTable(spark, str(tmp_path / "journal"))
+    assert profiles.append_events(journal, spark.createDataFrame([(1, "a", None), (1, "a", 5)], schema), people) == 2
+    for bad in ((2, "b", 1), (2, "a", -1)):
+        with pytest.raises(ValueError):
+            profiles.append_events(journal, spark.createDataFrame([(3, "a", 1), bad], schema), people)
+    assert journal.read().count() == 2
+
+
+def test_broken_constraints(spark):
+    rows = spark.createDataFrame([(1, ("v", "source", 0.9), "A" * 64, -1), (2, ("v", "rule", 1.5), "a" * 64, None), (3, None, None, 0)], "id int, f struct<value:string,provenance:string,confidence:double>, content_hash string, dwell_seconds int")
+    rules = constraints.derived_rules("f") | constraints.event_rules() | {"content_hash": constraints.F.col("content_hash").rlike("^[0-9a-f]{64}$")}
+    assert sorted(tuple(r) for r in constraints.broken(rows, "id", rules).collect()) == [("1", "content_hash"), ("1", "dwell_negative"), ("1", "f:source_not_certain"), ("2", "f:confidence")]
+    goal = spark.createDataFrame([(1, ((None, None, None),)), (2, (("deck", None, None),)), (3, None)], "id int, career_goal struct<value:struct<profession:string,direction:string,country:string>>")
+    assert [tuple(r) for r in constraints.broken(goal, "id", constraints.goal_rules()).collect()] == [("1", "goal_empty")]
+
+
+def test_streamed_facts_fold_batch_by_batch(spark, tmp_path):
+    schema = "user_id string, field string, source string, at timestamp, seq long, value string"
+    batches = [
+        [("a", "x", "stated", dt.datetime(2025, 1, 5), 1, "own"), ("b", "x", "observed", dt.datetime(2025, 1, 5), 2, "seen")],
+        [("a", "x", "observed", dt.datetime(2025, 1, 9), 3, "seen"), ("b", "x", "observed", dt.datetime(2025, 1, 1), 4, "late"), ("b", "y", "stated", dt.datetime(2025, 1, 1), 5, "own")],
+        [("a", "x", "stated", dt.datetime(2025, 1, 9), 6, None), ("b", "y", "observed", dt.datetime(2025, 1, 9), 7, None)],
+    ]
+    kept = tables.ParquetTable(spark, str(tmp_path / "facts"))
+    step, seen = intake.fact_fold(kept), []
+    for i, rows in enumerate(batches):
+        step(spark.createDataFrame(rows, schema), i)
+        seen.append({(r.user_id, r.field): r.value for r in kept.read().collect()})
+    assert seen == [{("a", "x"): "own", ("b", "x"): "seen"}, {("a", "x"): "own", ("b", "x"): "late", ("b", "y"): "own"}, {("b", "x"): "late", ("b", "y"): "own"}]
+
+
+def test_feeds_of_one_host_share_a_partition():
+    feeds_ = [["a", "https://x.example/a"], ["b", "https://X.example/b"], ["c", "https://y.example/c"]]
+    parts = http._Reader({"feeds": json.dumps(feeds_)}).partitions()
+    assert [len(p.feeds) for p in parts] == [2, 1]
+
+
 def test_facts_and_export_of_one_very_busy_person(spark):
     log = spark.range(6000).selectExpr("if(id % 3 = 0, 'busy', 'u' || id % 500) AS user_id", "'goal' AS field", "if(id % 1000 = 0, 'stated', 'observed') AS source", "timestamp_seconds(id) AS at", "id AS seq", "if(id % 2000 = 0, null, 'v' || id) AS value", "id AS extra")
     facts = {r.user_id: (r.value, r.source) for r in profiles.current_facts(log).collect()}
@@ -196,7 +264,12 @@ def test_feeds_and_jobs_end_to_end(spark, tmp_path):
     with pytest.raises(LookupError):
         jobs.coverage(spark, at, "nobody")
     item = feeds.read_rss_feed(spark, str(tmp_path / "feed.xml"), "x").first()
-    assert item.external_id == "77" and "Cook & baker" in item.payload
+    assert item.external_id == "77" and item.payload.startswith("<item>") and item.payload.endswith("</item>")
+    assert jobs.ingest(spark, at, reg, "x", str(tmp_path / "feed.xml")) == (1, 2)
+    for bad in ("<item><title>T</title><link>https://x.example/1</link></item>", "<item><title>T</title><guid>https://x/vacId/1</guid></item>"):
+        (tmp_path / "bad.xml").write_text(f"<rss><channel>{bad}</channel></rss>")
+        with pytest.raises(Exception, match="item without"):
+            feeds.read_rss_feed(spark, str(tmp_path / "bad.xml"), "x").collect()
 
 
 def test_registry_errors(spark):
