@@ -145,7 +145,28 @@ kept AS (SELECT source_id, k FROM keyed JOIN total USING (source_id) WHERE k <>
 found AS (SELECT DISTINCT id, line_no::INT AS line_no FROM keyed SEMI JOIN kept USING (source_id, k))
 """
 
+# Words are runs of letters and digits; every text once, with its word runs of three, and the pairs of texts that share half of them.
+_ALIKE = r"""
+WITH RECURSIVE rec AS (SELECT DISTINCT id, title, description FROM normalized_opportunities WHERE id IS NOT NULL AND description IS NOT NULL),
+txt AS (SELECT row_number() OVER () AS k, title, description, list(id) AS ids, min(id) AS least FROM rec GROUP BY title, description),
+wds AS (SELECT k, regexp_extract_all(lower(coalesce(title || chr(10), '') || description), '[\p{L}\p{N}]+') AS ws FROM txt WHERE len(regexp_extract_all(description, '[\p{L}\p{N}]+')) >= 30),
+sh AS (SELECT DISTINCT k, unnest(list_transform(range(1, greatest(1, len(ws) - 2) + 1), lambda i: array_to_string(ws[i : i + 2], ' '))) AS s FROM wds),
+n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+shared AS (SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.k < b.k GROUP BY ALL),
+alike AS (SELECT ka, kb FROM shared JOIN n x ON x.k = ka JOIN n y ON y.k = kb WHERE 2 * c >= x.n + y.n - c)
+"""
+
 SQL = {
+    "p3_found": _ALIKE
+    + """, member AS (SELECT k, unnest(ids) AS id FROM txt)
+SELECT least(p.id, q.id) AS id_a, greatest(p.id, q.id) AS id_b FROM alike JOIN member p ON p.k = ka JOIN member q ON q.k = kb
+UNION ALL SELECT p.id, q.id FROM member p JOIN member q ON p.k = q.k AND p.id < q.id SEMI JOIN n ON n.k = p.k""",
+    "p3_groups": _ALIKE
+    + """, edge AS (SELECT ka AS a, kb AS b FROM alike UNION ALL SELECT kb, ka FROM alike),
+reach(k, root) AS (SELECT k, k FROM txt UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.k),
+class AS (SELECT r.k, min(t.least) AS class_id FROM reach r JOIN txt t ON t.k = r.root GROUP BY r.k),
+links AS (SELECT a AS k, count(*) AS n FROM edge GROUP BY a)
+SELECT unnest(ids) AS id, class_id, coalesce(l.n, 0) AS text_links, len(ids) AS copies FROM txt JOIN class USING (k) LEFT JOIN links l USING (k)""",
     "p6_found": _LINES + "SELECT id, line_no FROM found",
     "p6_cleaned": _LINES
     + """, gone AS (SELECT id, list(line_no) AS gone FROM found GROUP BY id)
