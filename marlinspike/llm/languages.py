@@ -23,17 +23,17 @@ LABEL_NAMES = {
     "fr": ["fra", "fre", "french", "français"],
     "pl": ["pol", "polish", "polski"],
 }
-#: The first article of the Universal Declaration of Human Rights in each language, so that one without any labelled document isn't unknown; fixed values.
+#: The first article of the Universal Declaration of Human Rights (fixed values) and two everyday sentences in each language, so that one without any labelled document isn't unknown.
 SEEDS = {
-    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
-    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
-    "uk": "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства.",
-    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros.",
-    "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade.",
-    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",
-    "nl": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen.",
-    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité.",
-    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. Yesterday evening we walked along the river and talked about the children, the weather and what to cook for dinner. My brother comes by train tomorrow morning if it does not snow.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Вчера вечером мы гуляли вдоль реки и говорили о детях, о погоде и о том, что приготовить на ужин. Завтра утром брат приедет на поезде, если не будет снега.",
+    "uk": "Всі люди народжуються вільними і рівними у своїй гідності та правах. Вони наділені розумом і совістю і повинні діяти у відношенні один до одного в дусі братерства. Учора ввечері ми гуляли вздовж річки й розмовляли про дітей, про погоду та про те, що приготувати на вечерю. Завтра вранці брат приїде потягом, якщо не буде снігу.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros. Ayer por la tarde paseamos junto al río y hablamos de los niños, del tiempo y de lo que íbamos a cocinar para la cena. Mañana temprano llega mi hermano en tren, si no nieva.",
+    "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade. Ontem à tarde passeamos junto ao rio e falamos das crianças, do tempo e do que íamos cozinhar para o jantar. Amanhã cedo chega o meu irmão de comboio, se não nevar.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen. Gestern Abend gingen wir am Fluss spazieren und sprachen über die Kinder, das Wetter und was wir zum Essen kochen wollten. Morgen früh kommt mein Bruder mit dem Zug, wenn es nicht schneit.",
+    "nl": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen. Gisteravond wandelden we langs de rivier en praatten we over de kinderen, het weer en wat we zouden koken. Morgenvroeg komt mijn broer met de trein, als het niet sneeuwt.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité. Hier soir nous nous sommes promenés au bord de la rivière et nous avons parlé des enfants, du temps et de ce que nous allions préparer pour le dîner. Demain matin mon frère arrive en train, s'il ne neige pas.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Wczoraj wieczorem spacerowaliśmy wzdłuż rzeki i rozmawialiśmy o dzieciach, o pogodzie i o tym, co ugotować na kolację. Jutro rano brat przyjedzie pociągiem, jeśli nie będzie śniegu.",
 }
 #: Latin spelling of Cyrillic letters; fixed values.
 LATIN = dict(zip("абвгдезийклмнопрстуфыэіґ", "a b v g d e z i y k l m n o p r s t u f y e i g".split())) | {
@@ -89,12 +89,13 @@ class LineModel:
         self.weights, self.languages = weights, languages
 
     @classmethod
-    def fit(cls, samples: list[tuple[str, str]], smooth: float = 0.3) -> LineModel:
+    def fit(cls, samples: list[tuple[str, str]], smooth: float = 0.05) -> LineModel:
+        """Gram shares by language, mixed with `smooth` of an even spread: what none has seen says the same of all, however much text each has."""
         counts = np.zeros((1 << BITS, len(LANGUAGES)), dtype=np.float64)
         for i, lang in enumerate(LANGUAGES):
             joined = "\n".join(t for t, l in samples if l == lang)
             counts[:, i] += np.bincount(_grams(_codes(f" {joined.lower()} "))[1], minlength=1 << BITS)
-        p = (counts + smooth) / (counts + smooth).sum(axis=0)
+        p = (1 - smooth) * counts / np.maximum(1, counts.sum(axis=0)) + smooth / len(counts)
         w = np.log(p)
         return cls((w - w.mean(axis=1, keepdims=True)).astype(np.float32))
 

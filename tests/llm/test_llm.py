@@ -185,6 +185,27 @@ def test_documents_and_lines(spark):
     assert languages.languages(df.limit(0)).count() == 0
 
 
+#: Sentences from elsewhere, two of each language.
+ELSEWHERE = {
+    "en": ["The library opens at nine and closes when the last reader has gone home.", "My grandmother used to bake bread with walnuts on Sundays."],
+    "de": ["Die Bibliothek öffnet um neun Uhr und schließt, wenn der letzte Leser gegangen ist.", "Meine Großmutter hat sonntags oft Brot mit Walnüssen gebacken."],
+    "nl": ["De bibliotheek gaat om negen uur open en sluit als de laatste lezer naar huis is.", "Mijn grootmoeder bakte op zondag vaak brood met walnoten."],
+    "fr": ["La bibliothèque ouvre à neuf heures et ferme quand le dernier lecteur est parti.", "Ma grand-mère faisait souvent du pain aux noix le dimanche."],
+    "es": ["La biblioteca abre a las nueve y cierra cuando se ha ido el último lector.", "Mi abuela solía hacer pan con nueces los domingos."],
+    "pt": ["A biblioteca abre às nove horas e fecha quando o último leitor vai embora.", "A minha avó costumava fazer pão com nozes aos domingos, não é verdade?"],
+    "pl": ["Biblioteka jest otwierana o dziewiątej i zamykana, gdy wyjdzie ostatni czytelnik.", "Moja babcia często piekła w niedziele chleb z orzechami."],
+    "ru": ["Библиотека открывается в девять часов и закрывается, когда уходит последний читатель.", "Моя бабушка часто пекла по воскресеньям хлеб с орехами."],
+    "uk": ["Бібліотека відчиняється о дев'ятій годині і зачиняється, коли піде останній читач.", "Моя бабуся часто пекла щонеділі хліб з горіхами."],
+}
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_languages_of_sentences_from_elsewhere(spark):
+    model = languages.train(spark.read.parquet("/root/testdata/sf0.1/normalized_opportunities.parquet"))
+    texts, codes = zip(*[(t, code) for code, ts in ELSEWHERE.items() for t in ts])
+    assert sum(a == b for a, b in zip(languages.main_languages(list(texts), model.weights), codes)) >= 17
+
+
 # --- free values
 
 PLACES = [(1, "Nordland", [], "country", "Nordland"), (2, "Ostreich-Weston", [], "country", "Ostreich-Weston"), (3, "Karmelvik", ["Old Karm"], "port", "Nordland"), (4, "Twinport", [], "port", "Nordland"), (5, "Twinport", [], "port", "Ostreich-Weston"), (6, "Sunder Sea", [], "region", None), (7, "Worldwide", ["Global"], "region", None), (8, "Melgar Gulf", [], "region", None)]
@@ -207,6 +228,51 @@ def test_titles(value, ref):
     assert canonical.Matcher(JOBS).title(value) == ref
 
 
+def _all_pairs_like(sets, words):
+    """TokenSets.like() without its index: every word against every token."""
+    out = {}
+    for i, p in enumerate(sets.phrases):
+        met = {}
+        for t in set(p.split()):
+            for w in words:
+                most = max(1, round(sets.tolerance * len(t)))
+                d = 0 if w == t else canonical.osa(w, t, most) if min(len(w), len(t)) >= 3 else most + 1
+                if d <= most:
+                    met[t] = max(met.get(t, 0.0), 1 - d / max(len(t), len(w)))
+        share = sum(sets.weight[t] * x for t, x in met.items()) / sets.total[i]
+        if share >= 1 - sets.tolerance - 1e-9:
+            out[p] = (round(share, 9), len(met) == len(set(p.split())))
+    return out
+
+
+def test_token_index_finds_what_comparing_everything_finds():
+    rnd = random.Random(6)
+    name = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
+    phrases = [" ".join([name(), *rnd.choice([[], ["port"], [name()], ["gulf"]])]) for _ in range(150)]
+    sets = canonical.TokenSets(list(dict.fromkeys(phrases)), 0.34)
+    hits = 0
+    for _ in range(400):
+        letters = list(rnd.choice(phrases))
+        for _ in range(rnd.randint(0, 2)):
+            at = rnd.randrange(len(letters))
+            how = rnd.randrange(4)
+            if how == 0:
+                del letters[at]
+            elif how == 1:
+                letters.insert(at, rnd.choice("abkz"))
+            elif how == 2:
+                letters[at] = rnd.choice("abkz")
+            elif at:
+                letters[at - 1], letters[at] = letters[at], letters[at - 1]
+        words = "".join(letters).split()
+        rnd.shuffle(words)
+        got = {p: (round(x, 9), whole) for x, p, _, whole in sets.like(words)}
+        want = _all_pairs_like(sets, words)
+        hits += len(want)
+        assert got == want
+    assert hits > 300
+
+
 def test_edit_distance_counts_swaps():
     assert canonical.osa("abcd", "abdc", 3) == 1 and canonical.osa("abc", "xyz", 2) == 3 and canonical.osa("", "ab", 2) == 2
 
