@@ -213,7 +213,7 @@ def rough_language(text: Column) -> Column:
 
 def percent(value: Column) -> Column:
     """A share as text, a dash for null."""
-    return F.coalesce(F.format_string("%.1f%%", value * 100), F.lit("—"))
+    return F.when(value.isNotNull(), F.format_string("%.1f%%", value * 100)).otherwise("—")
 
 
 def stratum(text: Column) -> Column:

@@ -49,8 +49,8 @@ def ensure(spark: SparkSession, folder: str) -> None:
     upgrade(spark, folder)
 
 
-def refetch(spark: SparkSession, folder: str, registry: DataFrame, source_id: str, path: str, limit: int | None = None) -> int:
-    """Stores the raw versions of a feed that aren't stored yet, and how many there were."""
+def refetch(spark: SparkSession, folder: str, registry: DataFrame, source_id: str, path: str, limit: int | None = None, now: Column | None = None) -> int:
+    """Stores the raw versions of a feed that aren't stored yet, and how many there were; fetched_at is `now`, the clock unless given."""
     ensure(spark, folder)
     table = ParquetTable(spark, f"{folder}/raw_items")
     items = reader_for(configs(registry), source_id)(spark, path, source_id)
@@ -58,7 +58,7 @@ def refetch(spark: SparkSession, folder: str, registry: DataFrame, source_id: st
     existing = table.read()
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     shaped = items.select(
-        (F.lit(start) + 1 + F.monotonically_increasing_id()).alias("id"), "source_id", "external_id", "url", F.current_timestamp().alias("fetched_at"), "payload", F.lit(None).cast("string").alias("content_type"), "content_hash", F.lit(200).alias("http_status")
+        (F.lit(start) + 1 + F.monotonically_increasing_id()).alias("id"), "source_id", "external_id", "url", (now if now is not None else F.current_timestamp()).alias("fetched_at"), "payload", F.lit(None).cast("string").alias("content_type"), "content_hash", F.lit(200).alias("http_status")
     )
     new = insert_new(existing, shaped, ["source_id", "external_id", "content_hash"], order=["id"]).persist()
     count = new.count()

@@ -241,13 +241,6 @@ class RecordedClient:
         return {"experience_level": level, "required_certificates": certs}
 
 
-@query()
-def sc1_normalized(spark: SparkSession, d: str) -> DataFrame:
-    """SC1, SC2, SC17, PR1-PR7: postings read from JSON and RSS payloads."""
-    out = feeds.normalize(once(spark, d, "raw_items"))
-    return out.select("id", "source_id", "external_id", "url", "title", "employer", "location_raw", "recruitment_office_raw", "salary_raw", "declared_type", "language")
-
-
 _ONE = "coalesce(payload->'$.data[0]', payload->'$.posting', payload::JSON)"
 
 
@@ -279,6 +272,23 @@ def pr3_rss_postings(spark: SparkSession, d: str) -> DataFrame:
     return feeds.from_rss_payload(once(spark, d, "raw_items")).select("id", "title", "salary_raw")
 
 
+_XD = lambda tag: f"nullif({_decoded(f'trim({_X.format(tag)})')}, '')"
+_PLACE = f"""nullif(array_to_string(list_filter(list_transform(string_split(regexp_replace(trim({_XD("location")}), ',\\s*[Nn][Aa]\\s*$', ''), ','), lambda x: trim(x)), lambda x: x <> ''), ', '), '')"""
+
+
+@query(
+    f"""SELECT id, source_id, coalesce(p->>'$.id', external_id) AS external_id, coalesce(p->>'$.url', url) AS url, nullif(trim(p->>'$.title'), '') AS title, nullif(trim(p->>'$.job.structure_custom_group_one.name'), '') AS employer, NULL AS location_raw,
+  nullif(trim(p->>'$.location.name'), '') AS recruitment_office_raw, nullif(trim(p->>'$.compensation'), '') AS salary_raw
+FROM (SELECT *, {_ONE} AS p FROM {RAW} WHERE regexp_matches(payload, '^\\s*\\{{') AND json_valid(payload)) WHERE p->>'$.id' IS NOT NULL
+UNION ALL SELECT id, source_id, coalesce(nullif(regexp_extract({_X.format('guid')}, '/vacId/([0-9]+)', 1), ''), {_XD("RecuiterJobNumber")}, external_id), coalesce({_XD("link")}, url), {_decoded(_XD("title"))}, {_XD("employer")}, {_PLACE}, NULL, {_XD("salary")}
+FROM {RAW} WHERE regexp_matches(payload, '(?s)^\\s*<item>.*</item>\\s*$')"""
+)
+def sc1_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """SC1, SC2, SC17, PR1-PR7: postings read from JSON and RSS payloads."""
+    out = feeds.normalize(once(spark, d, "raw_items"))
+    return out.select("id", "source_id", "external_id", "url", "title", "employer", "location_raw", "recruitment_office_raw", "salary_raw")
+
+
 _OBJECT = f"(SELECT id, source_id, payload, regexp_matches(payload, '^\\s*[{{\\[]') AS is_json, CASE WHEN regexp_matches(payload, '^\\s*[{{\\[]') AND json_valid(payload) THEN {_ONE} END AS one FROM {RAW})"
 
 
@@ -291,7 +301,13 @@ def pr_quarantine(spark: SparkSession, d: str) -> DataFrame:
     return feeds.quarantine(once(spark, d, "raw_items")).groupBy("source_id", "error").agg(F.count("*").alias("n"))
 
 
-@query()
+_SHARES = ", ".join(f"'{f} ' || CASE WHEN active > 0 THEN printf('%.1f%%', round(filled_{f} * 100.0 / active, 1)) ELSE '—' END" for f in (*_PLAIN, "salary"))
+
+
+@query(
+    f"""SELECT source_trust, source_id, concat_ws('; ', printf('%s (%s): %d rows, %d active, %d rejected', source_id, source_trust, total, active, rejected), {_SHARES}) AS line FROM (
+SELECT source_id, source_trust, count(*) AS total, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'rejected') AS rejected, {_FILLED}, count(*) FILTER (status = 'active' AND salary.value IS NOT NULL) AS filled_salary FROM {_JOINED} GROUP BY source_id, source_trust)"""
+)
 def sk10_report_lines(spark: SparkSession, d: str) -> DataFrame:
     """SK10, FN26, SO2: the coverage report as text."""
     return reports.report_lines(reports.coverage(_posted(spark, d), _PLAIN, ("salary",)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 #: Profession keys and their aliases; fixed values. Longest alias wins, then the earlier line.
 PROFESSIONS = {
     "master": ["master", "captain"],
@@ -159,3 +162,22 @@ JUNK_TITLES = ["untitled", "n/a", "test", "-"]
 def terms(vocabulary: dict[str, list[str]]) -> list[tuple[str, str, int]]:
     """(key, term, order) of every term, in order."""
     return [(k, t, i) for i, (k, t) in enumerate((k, t) for k, ts in vocabulary.items() for t in ts)]
+
+
+def load_mapping(path: str) -> dict:
+    """A dictionary file as a mapping: JSON, or YAML where the yaml package is there; anything but a mapping is an error."""
+    text = Path(path).read_text(encoding="utf-8")
+    try:
+        found = json.loads(text)
+    except ValueError:
+        import yaml
+
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return found
+
+
+def vocabulary(path: str, section: str, key: str = "key", words: str = "aliases") -> dict[str, list[str]]:
+    """key -> words of a dictionary file's section, a list of entries with a key and a list of words, in written order."""
+    return {str(e[key]): [str(w) for w in e.get(words) or []] for e in load_mapping(path).get(section) or []}

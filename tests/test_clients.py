@@ -37,13 +37,24 @@ def _get(url, headers, timeout):
     return (429, b"") if "busy" in url else (200, b'{"jobs": [1, 2]}') if "open" in url else (200, b"<html>")
 
 
-def test_probe_counts_and_tells_throttling_apart(spark):
+def test_probe_counts_and_tells_throttling_apart(spark, tmp_path):
     p = spark.createDataFrame([("a", "https://{slug}.example/jobs")], "platform string, template string")
     e = spark.createDataFrame([("open",), ("busy",), ("shut",), ("gone",), ("open",)], "slug string")
     found = probe.probe(probe.candidates(p, e), lambda: Polite("me", interval=0, attempts=1, get=_get, sleep=lambda s: None)).cache()
     assert {r.slug: (r.status, r.postings) for r in found.collect()} == {"open": ("live", 2), "busy": ("throttled", None), "shut": ("disallowed", None), "gone": ("closed", None)}
     assert tuple(probe.summary(found).first()) == ("a", 4, 1, 2, 1)
     assert probe.listed(b"[1]") == 1 and probe.listed(b"nothing") is None and probe.listed(b'{"data": 3}') is None
+    probe.write_found(found, str(tmp_path / "found"))
+    assert [r.slug for r in spark.read.json(str(tmp_path / "found")).collect()] == ["open"]
+
+
+def test_every_platform_counts_its_own_list(spark):
+    bodies = {"recruitee": {"offers": [{"title": "T" * 99}], "data": [1, 2]}, "lever": [{"title": "A"}, {}], "workable": {"jobs": []}, "pinpoint": {"jobs": [1]}}
+    get = lambda url, headers, timeout: (404, b"") if url.endswith("robots.txt") else next(((200, json.dumps(v).encode()) for k, v in bodies.items() if k in url), (404, b""))
+    e = spark.createDataFrame([("acme",)], "slug string")
+    rows = probe.probe(probe.candidates(probe.platforms(spark), e), lambda: Polite("me", interval=0, attempts=1, get=get, sleep=lambda s: None)).collect()
+    got = {r.platform: (r.status, r.postings, r["sample"]) for r in rows}
+    assert len(got) == 8 and got["recruitee"] == ("live", 1, "T" * 60) and got["lever"] == ("live", 2, "A") and got["workable"] == ("empty", 0, None) and got["pinpoint"] == ("closed", None, None) and got["ashby"][0] == "closed"
 
 
 GOLD = [
@@ -79,6 +90,7 @@ def test_evaluation_of_both_fields_over_runs(spark, tmp_path):
     assert kinds == [("a", "certificates", "key_rejected", "STCW card"), ("b", "certificates", "false_fill", "stcw <- an STCW card"), ("b", "certificates", "invalid_quote", "an STCW card"), ("b", "experience", "false_fill", "not there"), ("b", "experience", "invalid_quote", "not there")]
     assert [r.line for r in evaluation.disagreement_lines(found).collect()][0] == "certificates/false_fill: 1"
     assert log.read().count() == 8 and evaluation.spread_lines(spread).count() == 4 and "precision 100.0%" in evaluation.metric_lines(measured).first().line
+    assert any("recall —" in r.line for r in evaluation.metric_lines(measured).collect())
 
 
 def test_gold_files(spark, tmp_path):

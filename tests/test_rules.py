@@ -138,3 +138,14 @@ def test_gate_flags_both_copies_and_scores(spark):
     assert got["b"] == (["empty_title", "invalid_url", "description_too_short", "duplicate_content"], 0.0, [], "rejected")
     assert got["c"] == ([], 1.0, ["source_trashed"], "active")
     assert got["d"][0] == ["empty_title", "invalid_url", "description_too_short"]
+
+
+def test_dictionary_files(tmp_path):
+    from marlinspike import vocab
+
+    path = tmp_path / "d.json"
+    path.write_text('{"languages": [{"key": "en", "aliases": ["English"]}, {"key": "xx"}]}')
+    assert vocab.vocabulary(str(path), "languages") == {"en": ["English"], "xx": []} and vocab.vocabulary(str(path), "none") == {}
+    path.write_text("[1]")
+    with pytest.raises(ValueError):
+        vocab.load_mapping(str(path))

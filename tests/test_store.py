@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlinspike import jobs
-from marlinspike.operators import completion, constraints, profiles, reports, scoring, tables
+from marlinspike.operators import completion, constraints, enrich, profiles, reports, scoring, tables
 from marlinspike.sources import feeds, http, registry
 from marlinspike.streaming import intake
 
@@ -300,3 +300,16 @@ def test_streamed_intake_is_idempotent(spark, tmp_path):
         intake.start(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), intake.raw_intake(t), str(tmp_path / f"cp{run}")).awaitTermination()
     assert t.read().count() == 2
     assert t.read().agg(F.max("fetched_at")).first()[0] == dt.datetime(2025, 1, 1)
+
+
+def test_lost_certificates_against_a_direct_count(spark):
+    payloads = [
+        ("s", json.dumps({"id": "1", "title": "Cook", "description": "<p>needs STCW</p>", "contacts": {"note": "HUET and <b>STCW</b>"}})),
+        ("s", json.dumps({"id": "2", "title": "Cook", "description": "no papers", "nested": [{"deep": {"x": "valid HUET"}}]})),
+        ("s", json.dumps({"id": "3", "title": "Cook", "benefits": "HUET"})),
+        ("r", "<item><title>Cook</title><guid>x/vacId/9</guid><featured>STCW</featured><description>no papers</description></item>"),
+    ]
+    raw = spark.createDataFrame([(i, s, str(i), "https://x.example", p, "h") for i, (s, p) in enumerate(payloads)], "id long, source_id string, external_id string, url string, payload string, content_hash string")
+    read = feeds.normalize(raw).select("id", enrich.qualification_text(F.col("source_fields"), F.col("description")).alias("readable"))
+    rows = reports.lost_certificates(raw.join(read, "id"), F.col("payload"), F.col("readable"), expected=["stcw"], by=["source_id"]).collect()
+    assert [(r.source_id, r.key, r.n, r.expected) for r in rows] == [("s", "huet", 2, False), ("r", "stcw", 1, True)]
