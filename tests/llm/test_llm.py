@@ -183,6 +183,7 @@ def test_documents_and_lines(spark):
     sure = {(r.id, r.line_no): r.confidence for r in languages.languages(df, model=model).collect()}
     assert sure[2, 0] == 1.0 and 0.5 < sure[1, 0] < 1.0 and 0 < sure[1, 3] <= 1.0
     assert languages.languages(df.limit(0)).count() == 0
+    assert languages.main_languages(["", "12 %", en], model.weights) == [None, None, "en"] and languages.main_languages([], model.weights) == []
 
 
 #: Sentences from elsewhere, two of each language.
@@ -353,6 +354,8 @@ def test_tokens_round_trip(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, "x", "x")], "doc_id long, text string, tokens string")
     got = {r.id: r.tokens for r in count_tokens(df).collect()}
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    first = count_tokens(df, features={"first": lambda ts: [t[:1] or None for t in ts]}).collect()
+    assert {r.id: (r.first, r.tokens) for r in first} == {i: ((t or "")[:1] or None, got[i]) for i, t in enumerate(texts)}
 
 
 # --- mixing
