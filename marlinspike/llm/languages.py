@@ -42,6 +42,7 @@ LATIN = dict(zip("абвгдезийклмнопрстуфыэіґ", "a b v g d
 LATIN_UK = LATIN | {"г": "h", "и": "y", "й": "i", "х": "kh", "ь": ""}
 
 BITS = 15
+CHUNK = 200_000
 _NOISE = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+|\b[\w-]+(?:\.[\w-]+)*\.(?!\d)[^\W\d_]{2,24}(?:[/:?]\S*|\b(?=\s|$|[.,;)]))")
 _LETTER = np.zeros(0x110000, dtype=bool)
 for _lo, _hi in ((0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x250), (0x370, 0x530), (0x530, 0x600), (0x1E00, 0x2000)):
@@ -56,7 +57,8 @@ def label_language(label: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), plain), F.try_element_at(F.create_map(*pairs), F.regexp_extract(plain, r"^([^\s_-]+)", 1)))
 
 
-_DOTTED = re.compile(r"\w\.\w|[@/]")
+#: What a line with an address in it has; the sign stands first, so that the search skips other letters.
+_DOTTED = re.compile(r"\.\w|[@/]")
 
 
 def _clean(line: str) -> str:
@@ -101,16 +103,21 @@ class LineModel:
 
     def score(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihoods, letters) of each piece, in one sparse pass over all of them."""
-        parts = [_codes(f" {p} ") for p in pieces]
-        if not parts:
-            return np.zeros((0, len(self.languages)), dtype=np.float32), np.zeros(0, dtype=np.int64)
-        sizes = np.array([len(p) for p in parts])
-        c = np.concatenate(parts)
-        own = np.repeat(np.arange(len(parts)), sizes)
-        at, bucket = _grams(c)
-        owner = own[at + 1]
-        letters = np.bincount(owner, minlength=len(parts))
-        sums = np.stack([np.bincount(owner, weights=self.weights[:, i][bucket], minlength=len(parts)) for i in range(len(self.languages))], axis=1)
+        sums, letters = np.zeros((len(pieces), len(self.languages))), np.zeros(len(pieces), dtype=np.int64)
+        sizes = np.array([len(p) + 2 for p in pieces], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < len(pieces):
+            # Pieces of some CHUNK letters at a time bound the memory, however long the texts are.
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + CHUNK, "right")))
+            at, bucket = _grams(_codes("".join(f" {p} " for p in pieces[lo:hi])))
+            owner = np.repeat(np.arange(lo, hi), sizes[lo:hi])[at + 1]
+            for b in range(0, len(owner), CHUNK):
+                own = owner[b : b + CHUNK]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                sums[own[first]] += np.add.reduceat(self.weights[bucket[b : b + CHUNK]], first, axis=0, dtype=np.float64)
+                letters[own[first]] += np.diff(first, append=len(own))
+            lo = hi
         return sums, letters
 
 

@@ -34,12 +34,19 @@ LEAST_WEIGHT, LEAST_DOCUMENTS, LONGEST_RUN = 0.6, 3, 3
 SHARE, PLAIN_WORDS = 0.2, 40
 TRIES = tuple(round(0.5 + 0.025 * i, 3) for i in range(15))
 _WORD = re.compile(r"[^\W_]+")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def sentences(text: str) -> list[str]:
     """Sentences with their words alone, in lower case between single blanks; pieces without words stay as sentences."""
-    return [f" {' '.join(_WORD.findall(s))} " for s in _SENTENCE.split(text.lower()) if s.strip()]
+    low = text.lower()
+    if _OTHER_SPACE.search(low):
+        pieces = _SENTENCE.split(low)
+    else:
+        # The same cuts where blanks and line ends are the only white space.
+        pieces = low.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+    return [f" {' '.join(_WORD.findall(s))} " for s in pieces if s.strip()]
 
 
 def _pattern(term: str) -> str:

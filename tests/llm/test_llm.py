@@ -457,3 +457,14 @@ OUTSIDE = {
 @pytest.mark.parametrize("subject", OUTSIDE)
 def test_texts_from_elsewhere(subject):
     assert subjects.SubjectModel(subjects.curated_terms()).topic(OUTSIDE[subject]) == subject
+
+
+def test_scores_do_not_depend_on_how_pieces_are_batched(monkeypatch):
+    model = languages.LineModel.fit([(s, code) for code, t in languages.SEEDS.items() for s in languages.both_spellings(t, code)])
+    pieces = [*languages.SEEDS.values(), "", "12", "x", *(t * 30 for t in languages.SEEDS.values())]
+    sums, letters = model.score(pieces)
+    for chunk in (1, 50, 3000):
+        monkeypatch.setattr(languages, "CHUNK", chunk)
+        again, n = model.score(pieces)
+        assert np.allclose(again, sums) and (n == letters).all()
+    assert [languages.LANGUAGES[i] for i in sums.argmax(axis=1)[:9]] == list(languages.SEEDS) and letters[9] == letters[10] == 0 and letters[11] <= 1
