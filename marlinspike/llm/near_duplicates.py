@@ -36,9 +36,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str, width: int) -> np.ndarray:
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters and digits, in lower case."""
+    return WORD.findall(text.lower()) if text else []
+
+
+def shingle_hashes(said: list[str], width: int) -> np.ndarray:
     """Distinct sorted 64-bit hashes of all runs of `width` consecutive words; a shorter text is one run."""
-    words = np.array([_HASHES[w] for w in WORD.findall(text.lower())], dtype=np.uint64)
+    words = np.array([_HASHES[w] for w in said], dtype=np.uint64)
     if not len(words):
         return words
     n = max(1, len(words) - width + 1)
@@ -107,8 +112,9 @@ def _sketcher(width: int, bands: int, rows: int, min_words: int):
             for at in range(0, len(frame), 1000):
                 keys, sets = [], []
                 for key, head, body in zip(frame["key"].iloc[at : at + 1000], frame["head"].iloc[at : at + 1000], frame["body"].iloc[at : at + 1000]):
-                    if len(WORD.findall(body)) >= min_words:
-                        s = shingle_hashes(f"{head}\n{body}" if head is not None else body, width)
+                    said = words_of(body)
+                    if len(said) >= min_words:
+                        s = shingle_hashes(words_of(head) + said, width)
                         if len(s):
                             keys.append(key)
                             sets.append(s)
@@ -128,7 +134,7 @@ def _verifier(width: int, threshold: float):
             if key not in known:
                 if len(known) > 2000:
                     known.clear()
-                known[key] = shingle_hashes(f"{head}\n{body}" if head is not None else body, width)
+                known[key] = shingle_hashes(words_of(head) + words_of(body), width)
             return known[key]
 
         for f in frames:
@@ -162,7 +168,7 @@ def once_each(texts: DataFrame, min_words: int) -> DataFrame:
 def _copied(min_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.loc[[len(WORD.findall(x)) >= min_words for x in f["body"]], ["key"]]
+            yield f.loc[[len(words_of(x)) >= min_words for x in f["body"]], ["key"]]
 
     return run
 
