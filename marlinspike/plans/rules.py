@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marlinspike.functions import text as fn
 from marlinspike.operators import enrich, gate
 from marlinspike.plans.common import POSTINGS, RAW, TEXT, TITLE, WB, WE, once, sql_regex
-from marlinspike.session import table
+from marlinspike.session import spread, table
 from marlinspike.vocab import CERTIFICATES, COUNTRIES, DECLARED_TYPES, JUNK_TITLES, LANGUAGES, PROFESSIONS, TYPE_KEYWORDS, terms
 
 QUERIES: dict = {}
@@ -88,7 +88,7 @@ FROM (SELECT id, CASE lower(declared_type) {_KNOWN} END AS k, CASE {_TYPE} END A
 )
 def pr13_classify(spark: SparkSession, d: str) -> DataFrame:
     """PR13, WN3: the type of every posting."""
-    return table(spark, d, "normalized_opportunities").select("id", gate.classification(F.col("declared_type"), F.col("title")).alias("c")).select("id", "c.type", "c.confidence").dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).select("id", gate.classification(F.col("declared_type"), F.col("title")).alias("c")).select("id", "c.type", "c.confidence").dropDuplicates(["id"])
 
 
 @query(
@@ -98,14 +98,14 @@ SELECT id, {_longest("map_extract_value(source_fields, 'department')", PROFESSIO
 def en1_profession(spark: SparkSession, d: str) -> DataFrame:
     """EN1, JN5, WN2: profession by structured field, else by title; the longest alias wins."""
     p = enrich.profession(enrich.structured_text(F.col("source_fields")), F.col("title"))
-    return table(spark, d, "normalized_opportunities").select("id", p.alias("p")).select("id", F.col("p.value").alias("profession"), F.col("p.confidence")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).select("id", p.alias("p")).select("id", F.col("p.value").alias("profession"), F.col("p.confidence")).dropDuplicates(["id"])
 
 
 @query(f"SELECT n.id, r.direction, r.workplace_type_hint AS workplace FROM {POSTINGS} n LEFT JOIN source_registry r USING (source_id)")
 def en2_source_config(spark: SparkSession, d: str) -> DataFrame:
     """EN2, JN6: direction and workplace from the source's configuration."""
     config = table(spark, d, "source_registry").select("source_id", "direction", F.col("workplace_type_hint").alias("workplace"))
-    return table(spark, d, "normalized_opportunities").join(config, "source_id", "left").select("id", "direction", "workplace").dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).join(config, "source_id", "left").select("id", "direction", "workplace").dropDuplicates(["id"])
 
 
 @query(
@@ -114,7 +114,7 @@ FROM (SELECT id, source_id, location_raw AS place FROM {POSTINGS}) LEFT JOIN sou
 )
 def en3_country(spark: SparkSession, d: str) -> DataFrame:
     """EN3: country of work of shore postings, the longest name wins."""
-    rows = table(spark, d, "normalized_opportunities").join(table(spark, d, "source_registry").select("source_id", "workplace_type_hint"), "source_id", "left")
+    rows = spread(table(spark, d, "normalized_opportunities")).join(table(spark, d, "source_registry").select("source_id", "workplace_type_hint"), "source_id", "left")
     return rows.select("id", enrich.country(F.col("location_raw"), F.col("workplace_type_hint"))["value"].alias("country")).dropDuplicates(["id"])
 
 
@@ -125,7 +125,7 @@ FROM (SELECT id, head, {_longest("head", COUNTRIES)} AS code FROM (SELECT id, tr
 def en5_hiring_scope(spark: SparkSession, d: str) -> DataFrame:
     """EN5: what the recruiting office says about who is hired."""
     s = enrich.hiring_scope(F.col("recruitment_office_raw"))
-    rows = table(spark, d, "normalized_opportunities").select("id", s.alias("s")).where("s is not null")
+    rows = spread(table(spark, d, "normalized_opportunities")).select("id", s.alias("s")).where("s is not null")
     return rows.select("id", "s.anywhere", F.get("s.countries", F.lit(0)).alias("country"), F.get("s.unresolved", F.lit(0)).alias("unresolved")).dropDuplicates(["id"])
 
 
@@ -135,7 +135,7 @@ _CERTS = ", ".join(f"CASE WHEN regexp_matches(t, '{WB}({'|'.join(sql_regex(p.low
 @query(f"SELECT id, nullif(array_to_string(list_filter([{_CERTS}], lambda x: x IS NOT NULL), ','), '') AS certificates FROM (SELECT id, lower({TEXT}) AS t FROM {POSTINGS})")
 def en6_certificates(spark: SparkSession, d: str) -> DataFrame:
     """EN6: certificates that a text names, in the vocabulary's order."""
-    return table(spark, d, "normalized_opportunities").select("id", F.array_join(enrich.certificate_keys(F.expr(TEXT)), ",").alias("certificates")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).select("id", F.array_join(enrich.certificate_keys(F.expr(TEXT)), ",").alias("certificates")).dropDuplicates(["id"])
 
 
 _NAMES = "|".join(t.lower() for _, t, _ in terms(LANGUAGES))
@@ -161,7 +161,7 @@ SELECT id, required, preferred FROM x LEFT JOIN r USING (id) LEFT JOIN p USING (
 )
 def en7_languages(spark: SparkSession, d: str) -> DataFrame:
     """EN7, ST4, FN11: languages required and preferred, judged by the sentence of each mention."""
-    rows = table(spark, d, "normalized_opportunities").select("id", F.expr(TITLE).alias("title"), F.expr(TEXT).alias("text"))
+    rows = spread(table(spark, d, "normalized_opportunities")).select("id", F.expr(TITLE).alias("title"), F.expr(TEXT).alias("text"))
     rows = enrich.with_languages(rows, F.col("title"), F.col("text"))
     return rows.select("id", F.array_join("required", ",").alias("required"), F.array_join("preferred", ",").alias("preferred")).dropDuplicates(["id"])
 
@@ -182,7 +182,7 @@ FROM x LEFT JOIN y USING (id)"""
 )
 def en8_experience(spark: SparkSession, d: str) -> DataFrame:
     """EN8, AG12, FN12, FN20: level by the longest tenure asked for."""
-    rows = table(spark, d, "normalized_opportunities").select("id", F.expr(TEXT).alias("text"))
+    rows = spread(table(spark, d, "normalized_opportunities")).select("id", F.expr(TEXT).alias("text"))
     return enrich.with_experience(rows, F.col("text")).select("id", F.col("experience_level.value").alias("level")).dropDuplicates(["id"])
 
 
@@ -205,7 +205,7 @@ UNION ALL SELECT id, CASE WHEN NOT upto THEN replace(ns[1], ' ', '')::DECIMAL(18
 )
 def en9_salary(spark: SparkSession, d: str) -> DataFrame:
     """EN9, EN10, FN19: the two regular pay notations."""
-    rows = table(spark, d, "normalized_opportunities").select("id", enrich.salary(F.col("salary_raw")).alias("s")).where("s is not null")
+    rows = spread(table(spark, d, "normalized_opportunities")).select("id", enrich.salary(F.col("salary_raw")).alias("s")).where("s is not null")
     return rows.select("id", "s.minimum", "s.maximum", "s.currency", "s.period").dropDuplicates(["id"])
 
 
@@ -267,33 +267,33 @@ lambda x: trim(regexp_replace(x, '[\\s\\x{{A0}}]+', ' ', 'g'))), lambda x: x <>
 )
 def fn3_html_to_text(spark: SparkSession, d: str) -> DataFrame:
     """FN3, FN4: markup made of title and description back to lines."""
-    return table(spark, d, "normalized_opportunities").where("title is not null").select("id", fn.html_to_text(F.expr(_HTML)).alias("text")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).where("title is not null").select("id", fn.html_to_text(F.expr(_HTML)).alias("text")).dropDuplicates(["id"])
 
 
 @query(f"SELECT id, trim(regexp_replace(translate(description, '‘’“”', '''''\"\"'), '[\\s\\x{{A0}}]+', ' ', 'g')) AS text FROM {POSTINGS}")
 def fn6_plain_spaces(spark: SparkSession, d: str) -> DataFrame:
     """FN6: white space and quote signs made plain."""
-    return table(spark, d, "normalized_opportunities").select("id", fn.plain_spaces(F.col("description")).alias("text")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).select("id", fn.plain_spaces(F.col("description")).alias("text")).dropDuplicates(["id"])
 
 
 @query(f"SELECT id, coalesce(contains(trim(regexp_replace(description, '[\\s\\x{{A0}}]+', ' ', 'g')), trim(regexp_replace(title, '[\\s\\x{{A0}}]+', ' ', 'g'))), false) AS held FROM {POSTINGS}")
 def fn7_quote_held(spark: SparkSession, d: str) -> DataFrame:
     """FN7: whether a description holds the title as a quote."""
-    return table(spark, d, "normalized_opportunities").select("id", fn.quote_in(F.col("description"), F.col("title")).alias("held")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).select("id", fn.quote_in(F.col("description"), F.col("title")).alias("held")).dropDuplicates(["id"])
 
 
 @query(f"SELECT id, regexp_extract(url, '^([a-z][a-z0-9+.-]*)://', 1) AS scheme, regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1) AS host FROM {POSTINGS} WHERE regexp_matches(url, '^https?://[^/?#]+')")
 def fn15_url_parts(spark: SparkSession, d: str) -> DataFrame:
     """FN15: scheme and host of each valid link."""
     u = F.col("url")
-    return table(spark, d, "normalized_opportunities").where(u.rlike("^https?://[^/?#]+")).select("id", fn.scheme(u).alias("scheme"), fn.host(u).alias("host")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).where(u.rlike("^https?://[^/?#]+")).select("id", fn.scheme(u).alias("scheme"), fn.host(u).alias("host")).dropDuplicates(["id"])
 
 
 @query(f"SELECT id, epoch_us(date_trunc('second', posted_at)) AS parsed_us FROM {POSTINGS} WHERE posted_at IS NOT NULL")
 def fn16_feed_dates(spark: SparkSession, d: str) -> DataFrame:
     """FN16: feed dates written and read back."""
     written = F.date_format("posted_at", "EEE, d MMM yyyy HH:mm:ss Z")
-    return table(spark, d, "normalized_opportunities").where("posted_at is not null").select("id", F.unix_micros(fn.rfc822(written)).alias("parsed_us")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).where("posted_at is not null").select("id", F.unix_micros(fn.rfc822(written)).alias("parsed_us")).dropDuplicates(["id"])
 
 
 _STOP = ", ".join(f"{{'n': len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in words.split())}))), 'rank': {-i}, 'lang': '{lang}'}}" for i, (lang, words) in enumerate(fn.STOP_WORDS.items()))
@@ -304,7 +304,7 @@ _STOP = ", ".join(f"{{'n': len(list_filter(ws, lambda w: w IN ({', '.join(repr(w
 )
 def fn21_rough_language(spark: SparkSession, d: str) -> DataFrame:
     """FN21: a first guess of the language by short words."""
-    return table(spark, d, "normalized_opportunities").where("description is not null").select("id", fn.rough_language(F.col("description")).alias("language")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).where("description is not null").select("id", fn.rough_language(F.col("description")).alias("language")).dropDuplicates(["id"])
 
 
 @query(
@@ -313,7 +313,7 @@ SELECT id, regexp_matches(t, 'experience|опыт|стаж|плавценз') AS
 )
 def fn29_stratum(spark: SparkSession, d: str) -> DataFrame:
     """FN29: which requirement hints a text holds."""
-    return table(spark, d, "normalized_opportunities").select("id", fn.stratum(F.expr(TEXT)).alias("stratum")).dropDuplicates(["id"])
+    return spread(table(spark, d, "normalized_opportunities")).select("id", fn.stratum(F.expr(TEXT)).alias("stratum")).dropDuplicates(["id"])
 
 
 @query(
@@ -322,5 +322,5 @@ FROM {POSTINGS} WHERE location_raw IS NOT NULL AND NOT contains(location_raw, '&
 )
 def pr8_address(spark: SparkSession, d: str) -> DataFrame:
     """PR8: location segments tidied, a closing NA dropped."""
-    rows = table(spark, d, "normalized_opportunities").where("location_raw is not null and not contains(location_raw, '&') and lower(trim(location_raw)) <> 'na'")
+    rows = spread(table(spark, d, "normalized_opportunities")).where("location_raw is not null and not contains(location_raw, '&') and lower(trim(location_raw)) <> 'na'")
     return rows.select("id", fn.address(F.col("location_raw")).alias("place")).dropDuplicates(["id"])

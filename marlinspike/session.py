@@ -45,6 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table with fewer partitions than the session has cores, spread over the cores; a larger one stays where it lies.
+
+    For heavy per-row work on a small table, whose one file would otherwise keep one core busy; rows and results are the same.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses the cluster's spark.checkpoint.dir; sets a folder of its own only where none is set, as in tests."""
     sc = spark.sparkContext
